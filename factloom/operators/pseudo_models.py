@@ -1,0 +1,34 @@
+"""Stand-ins for model output: the true record, wrapped or damaged in a known way.  Used where
+no model is available, so that recovery and scoring have input whose result is known."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from factloom.functions.draws import with_draws
+from factloom.operators.corrupt import with_corruption
+from factloom.operators.generate import SEED
+
+MODELS = ["clean", "fenced", "chatty", "corrupted", "truncated"]
+DRAWS = ["cut", "cut_share"]
+
+
+def predictions(examples: DataFrame, seed: int = SEED) -> DataFrame:
+    """(model, example_id, raw_output): every model's output for every example.
+
+    ``truncated`` loses up to 600 thousandths of its length, one output in four nothing.
+    """
+    df = with_draws(with_corruption(examples, seed), "example_id", seed, "cut", DRAWS)
+    record = F.col("record_json")
+    lost = F.when(F.pmod("draw_cut", F.lit(4)) == 0, 0).otherwise(
+        F.floor(F.length(record) * F.pmod("draw_cut_share", F.lit(601)) / 1000)
+    )
+    outputs = {
+        "clean": record,
+        "fenced": F.concat(F.lit("Here it is:\n```json\n"), record, F.lit("\n```\nAnything else?")),
+        "chatty": F.concat(F.lit("  The text describes one event. "), record, F.lit(" That is all.\n")),
+        "corrupted": F.col("corrupted_json"),
+        "truncated": record.substr(F.lit(1), (F.length(record) - lost).cast("int")),
+    }
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), outputs[m].alias("raw_output")) for m in MODELS])
+    return df.select("example_id", F.explode(pairs).alias("p")).select("p.model", "example_id", "p.raw_output")
