@@ -97,7 +97,7 @@ def structural_fidelity(value: Column) -> Column:
     first_is_object = is_kind(F.try_element_at(items, F.lit(1)), "object")
     return (
         F.when(section.isNull(), 1.0)
-        .when(F.coalesce(first, F.lit("")) == "object", F.when(whole, 1.0).otherwise(0.5))
+        .when(F.coalesce(first_is_object, F.lit(False)), F.when(whole, 1.0).otherwise(0.5))
         .otherwise(0.0)
     )
 
