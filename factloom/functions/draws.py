@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.plan import staged
+
 DRAWS_PER_DIGEST = 6
 DRAWS_PER_WORD = 3
 DRAW_BITS = 20
@@ -38,7 +40,7 @@ def with_draws(
     digests = (len(names) + DRAWS_PER_DIGEST - 1) // DRAWS_PER_DIGEST
     words = (len(names) + DRAWS_PER_WORD - 1) // DRAWS_PER_WORD
     out = df.withColumns({f"_digest{d}": digest(seed, f"{stage}{d}", key) for d in range(digests)})
-    out = out.withColumns({f"_word{w}": word(F.col(f"_digest{w // 2}"), w % 2) for w in range(words)})
+    out = staged(out, {f"_word{w}": word(F.col(f"_digest{w // 2}"), w % 2) for w in range(words)})
     out = out.withColumns(
         {
             f"draw_{name}": lane(F.col(f"_word{i // DRAWS_PER_WORD}"), i % DRAWS_PER_WORD)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.plan import staged
+
 FENCE = "```"
 # The characters Unicode counts as white space.
 SPACE = (
@@ -42,7 +44,7 @@ def _last_brace(text: Column) -> Column:
 def repair_truncated(df: DataFrame, raw: str = "raw_output", out: str = "repaired") -> DataFrame:
     """An output that starts as an object but does not end as one is cut after its last
     closing brace; all others stay as they are.  ``was_truncated`` marks the former."""
-    df = df.withColumn("_bare", strip(F.col(raw)))
+    df = staged(df, {"_bare": strip(F.col(raw))})
     bare = F.col("_bare")
     df = df.withColumn("was_truncated", bare.startswith("{") & ~bare.endswith("}"))
     cut = F.when(_last_brace(bare) > 0, bare.substr(F.lit(1), _last_brace(bare))).otherwise(bare)
@@ -55,7 +57,7 @@ def recover(df: DataFrame, raw: str = "raw_output", repair: bool = False) -> Dat
     if repair:
         df = repair_truncated(df, raw, "repaired")
         raw = "repaired"
-    df = df.withColumn("_body", strip(unfence(F.col(raw))))
+    df = staged(df, {"_body": strip(unfence(F.col(raw)))})
     df = df.withColumns({"_start": F.instr("_body", "{"), "_end": _last_brace(F.col("_body"))})
     df = df.withColumn(
         "_candidate",
@@ -65,9 +67,7 @@ def recover(df: DataFrame, raw: str = "raw_output", repair: bool = False) -> Dat
         ).when(F.col("_start") == 0, F.col("_body")),
     )
     candidate = F.col("_candidate")
-    df = df.withColumn(
-        "_wrapped", F.try_parse_json(F.concat(F.lit("["), candidate, F.lit(f',"{END_MARK}"]')))
-    )
+    df = staged(df, {"_wrapped": F.try_parse_json(F.concat(F.lit("["), candidate, F.lit(f',"{END_MARK}"]')))})
     one_value = (F.try_variant_get("_wrapped", "$[1]", "string") == END_MARK) & F.try_variant_get(
         "_wrapped", "$[2]", "variant"
     ).isNull()
@@ -76,7 +76,7 @@ def recover(df: DataFrame, raw: str = "raw_output", repair: bool = False) -> Dat
     framed = F.try_parse_json(F.concat(F.lit('{"v":'), candidate, F.lit("}"))).isNotNull()
     strict = one_value & (~candidate.contains(END_MARK) | framed)
     value = F.try_variant_get("_wrapped", "$[0]", "variant")
-    df = df.withColumn("parsed", F.when(strict & ~F.is_variant_null(value), value))
+    df = staged(df, {"parsed": F.when(strict & ~F.is_variant_null(value), value)})
     df = df.withColumns(
         {
             "valid_json": F.col("parsed").isNotNull(),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom import vocabulary as V
 from factloom.functions.chat import chat_prompt, message
+from factloom.functions.plan import built_once, staged
 from factloom.functions.draws import pick, with_draws
 from factloom.operators.generate import RECORD_FIELDS, SECTIONS, SEED, text_array
 
@@ -27,22 +28,16 @@ def _filled(section: str) -> Column:
     return F.coalesce(F.size(section), F.lit(0)) > 0
 
 
-def with_corruption(examples: DataFrame, seed: int = SEED, kind: str | None = None) -> DataFrame:
-    """Add ``kind`` and ``corrupted_json``.  A kind that has nothing to work on (one entity
-    left, no amounts, no dates) leaves the record as it is."""
-    df = with_draws(examples, "example_id", seed, "pair", DRAWS)
-    df = df.withColumn("kind", F.lit(kind) if kind else pick(text_array(KINDS), F.col("draw_kind")))
-    item, is_kind = F.col("draw_item"), lambda k: F.col("kind") == k
+@built_once
+def _sections() -> Column:
+    """Names of the sections that have elements."""
+    return F.filter(F.array(*[F.when(_filled(s), F.lit(s)) for s in SECTIONS]), lambda s: s.isNotNull())
 
-    filled = F.filter(
-        F.array(*[F.when(_filled(s), F.lit(s)) for s in SECTIONS]), lambda s: s.isNotNull()
-    )
-    df = df.withColumn(
-        "_lost",
-        F.when(is_kind("missing_field"), F.try_element_at(
-            filled, (F.lit(1) + F.pmod(F.col("draw_section"), F.greatest(F.size(filled), F.lit(1)))).cast("int")
-        )),
-    )
+
+@built_once
+def _corrupted_fields() -> list[Column]:
+    """The record's fields after the corruption named in ``kind``."""
+    item, is_kind = F.col("draw_item"), lambda k: F.col("kind") == k
     kept = lambda section: F.coalesce(F.col("_lost") != section, F.lit(True))
 
     entities, financials, dates = F.col("entities"), F.col("financials"), F.col("dates")
@@ -92,7 +87,17 @@ def with_corruption(examples: DataFrame, seed: int = SEED, kind: str | None = No
         F.when(is_kind("flat_instead_of_nested"), F.transform(entities, lambda e: e["name"])).alias(FLAT_KEY)
     )
     fields.append(F.when(is_kind("multiple_errors"), F.lit(NOTE)).alias(NOTE_KEY))
-    return df.withColumn("corrupted_json", F.to_json(F.struct(*fields))).drop(
+    return fields
+
+
+def with_corruption(examples: DataFrame, seed: int = SEED, kind: str | None = None) -> DataFrame:
+    """Add ``kind`` and ``corrupted_json``.  A kind that has nothing to work on (one entity
+    left, no amounts, no dates) leaves the record as it is."""
+    df = with_draws(examples, "example_id", seed, "pair", DRAWS)
+    df = staged(df, {"kind": F.lit(kind) if kind else pick(text_array(KINDS), F.col("draw_kind"))})
+    place = F.lit(1) + F.pmod(F.col("draw_section"), F.greatest(F.size(_sections()), F.lit(1)))
+    df = staged(df, {"_lost": F.when(F.col("kind") == "missing_field", F.try_element_at(_sections(), place.cast("int")))})
+    return staged(df, {"corrupted_json": F.to_json(F.struct(*_corrupted_fields()))}).drop(
         "_lost", "draw_kind", "draw_item", "draw_section"
     )
 

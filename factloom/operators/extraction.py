@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.plan import staged
 from factloom.functions.recovery import recover
 from factloom.functions.schema_rules import field, is_kind, members, violations
 
@@ -184,11 +185,11 @@ def typed_projection(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     fits = F.coalesce(is_kind(field(v, "event_type"), "string"), F.lit(False))
     for ok, _ in sections.values():
         fits = fits & ok
-    df = df.withColumn("typed_ok", F.col("is_object") & fits)
+    df = staged(df, {"typed_ok": F.col("is_object") & fits})
     result = F.struct(
         _string(field(v, "event_type")).alias("event_type"), *[t.alias(n) for n, (_, t) in sections.items()]
     )
-    return df.withColumn("result", F.when(F.col("typed_ok"), result))
+    return staged(df, {"result": F.when(F.col("typed_ok"), result)})
 
 
 def short_id(*parts: Column) -> Column:
@@ -200,7 +201,8 @@ def respond(
 ) -> DataFrame:
     """Response rows from raw outputs: recover (no truncation repair), validate, project."""
     df = recover(outputs, raw)
-    df = df.withColumn("schema_valid", F.coalesce(F.size(violations(F.col("parsed"), F.col("is_object"))) == 0, F.lit(False)))
+    broken = violations(F.col("parsed"), F.col("is_object"))
+    df = staged(df, {"schema_valid": F.coalesce(F.size(broken) == 0, F.lit(False))})
     df = typed_projection(df)
     return df.select(
         key,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom import vocabulary as V
 from factloom.functions.draws import between, pick, with_draws
+from factloom.functions.plan import built_once, once, staged
 from factloom.session import spread
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES, Choice, Scenario, Whole
 
@@ -37,21 +38,21 @@ def text_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+@built_once
+def _amounts() -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(text).alias("text"), F.lit(value).cast("bigint").alias("value"), F.lit(text[0]).alias("currency")
+            )
+            for text, value in V.AMOUNTS
+        ]
+    )
+
+
 def amount_choice(draw: Column) -> Column:
     """(text, value, currency) of the amount table; currency is the text's first character."""
-    return pick(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(text).alias("text"),
-                    F.lit(value).cast("bigint").alias("value"),
-                    F.lit(text[0]).alias("currency"),
-                )
-                for text, value in V.AMOUNTS
-            ]
-        ),
-        draw,
-    )
+    return pick(_amounts(), draw)
 
 
 def day_choice(draw: Column) -> Column:
@@ -79,6 +80,7 @@ def _by_scenario(build: Callable[[Scenario], Column | None]) -> Column:
     return chain
 
 
+@built_once
 def _slot_column(draw_name: str) -> Column:
     """Column of one physical slot: scenarios that draw it the same way share a branch."""
     branches: dict[tuple, list[str]] = {}
@@ -120,11 +122,9 @@ def with_slots(
     kept = [F.col(key).alias("example_id")] + [F.col(c).alias(f"given_{s}") for s, c in given.items()]
     df = with_draws(spread(base.select(*kept)), "example_id", seed, "gen", DRAWS)
     chosen = F.lit(scenario) if scenario else pick(text_array(SCENARIO_NAMES), F.col("draw_scenario"))
-    df = df.withColumn("scenario", chosen)
+    df = staged(df, {"scenario": chosen})
     for stage in SLOT_STAGES:
-        df = df.withColumns(
-            {s: F.col(f"given_{s}") if s in given else _slot_column(s) for s in stage}
-        )
+        df = staged(df, {s: F.col(f"given_{s}") if s in given else _slot_column(s) for s in stage})
     day = F.col("given_day") if "day" in given else day_choice(F.col("draw_day"))
     df = df.withColumns({a: amount_choice(F.col(f"draw_{a}")) for a in AMOUNT_SLOTS})
     df = df.withColumns(date_pair(day))
@@ -140,7 +140,7 @@ def missing_slots(slots: DataFrame) -> DataFrame:
         names.append(F.when(F.col("date_raw").isNull(), F.lit("date_raw")))
         return F.filter(F.array(*names), lambda n: n.isNotNull())
 
-    return slots.withColumn("missing", _by_scenario(of))
+    return staged(slots, {"missing": _by_scenario(of)})
 
 
 def fill_unknown(slots: DataFrame) -> DataFrame:
@@ -216,6 +216,7 @@ def _currency(draw: str, mode: str) -> Column:
     return F.col(draw if mode == "own" else "amount_a")["currency"]
 
 
+@built_once
 def rendered_text() -> Column:
     return _by_scenario(lambda s: fill(s, s.text))
 
@@ -234,6 +235,7 @@ def _metric_value(s: Scenario, source: str) -> Column:
     return _value(s, source).cast("variant")
 
 
+@built_once
 def record_columns(currency_mode: str = "own") -> dict[str, Column]:
     """The record's fields as typed columns; fields a scenario lacks are null and so are
     left out of the JSON.  Amounts and metric values are VARIANT (text or number)."""
@@ -312,15 +314,10 @@ RECORD_FIELDS = (
 def examples_from_slots(slots: DataFrame, currency_mode: str = "own") -> DataFrame:
     """(example_id, scenario, text, record fields, record_json, num_entities)."""
     df = slots.select(
-        "example_id", "scenario", rendered_text().alias("text"),
-        *[c.alias(n) for n, c in record_columns(currency_mode).items()],
-    )
-    return df.withColumns(
-        {
-            "record_json": F.to_json(F.struct(*RECORD_FIELDS)),
-            "num_entities": F.size("entities"),
-        }
+        "example_id", "scenario", once(rendered_text()).alias("text"),
+        *[once(c).alias(n) for n, c in record_columns(currency_mode).items()],
     )
+    return staged(df, {"record_json": F.to_json(F.struct(*RECORD_FIELDS)), "num_entities": F.size("entities")})
 
 
 def generate_examples(

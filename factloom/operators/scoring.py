@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.plan import built_once, staged
 from factloom.functions.recovery import recover
 from factloom.functions.schema_rules import field, is_kind, members, violations
 
@@ -105,42 +106,45 @@ def structural_fidelity(value: Column) -> Column:
 def prediction_features(df: DataFrame, parsed: str = "parsed", json_text: str = "json_text") -> DataFrame:
     """Add the predicted parts (``pred_*``), the broken rules and the structure score.
     Null for an output that is not an object."""
-    value = F.when(F.col("is_object"), F.col(parsed))
-    df = df.withColumn("_object", value)
-    found = F.col("_object")
-    only = lambda c: F.when(F.col("is_object"), c)
-    return df.withColumns(
-        {
-            "pred_keys": only(section_names(found)),
-            "pred_names": only(entity_names(found, bare_strings=True)),
-            "pred_dates": only(date_pairs(found, both_required=True)),
-            "pred_amounts": only(amount_texts(found, F.col(json_text))),
-            "pred_skipped": only(skipped_names(found)),
-            "structure": only(structural_fidelity(found)),
-            "violations": violations(F.col(parsed), F.col("is_object")),
-        }
-    ).drop("_object")
+    df = df.withColumn("_object", F.when(F.col("is_object"), F.col(parsed)))
+    return staged(df, _prediction_parts(parsed, json_text)).drop("_object")
+
+
+@built_once
+def _prediction_parts(parsed: str, json_text: str) -> dict[str, Column]:
+    found, only = F.col("_object"), lambda c: F.when(F.col("is_object"), c)
+    return {
+        "pred_keys": only(section_names(found)),
+        "pred_names": only(entity_names(found, bare_strings=True)),
+        "pred_dates": only(date_pairs(found, both_required=True)),
+        "pred_amounts": only(amount_texts(found, F.col(json_text))),
+        "pred_skipped": only(skipped_names(found)),
+        "structure": only(structural_fidelity(found)),
+        "violations": violations(F.col(parsed), F.col("is_object")),
+    }
 
 
 def truth_features(truth: DataFrame, json_text: str = "record_json", key: str = "example_id") -> DataFrame:
     """(key, truth_keys, truth_names, truth_dates, truth_amounts, other columns).  A truth that
     cannot be parsed has null parts, so its predictions get no scores."""
     df = recover(truth.withColumnRenamed(json_text, "_truth_text"), "_truth_text")
-    value = F.when(F.col("is_object"), F.col("parsed"))
-    df = df.withColumn("_object", value)
-    found, only = F.col("_object"), lambda c: F.when(F.col("is_object"), c)
-    df = df.withColumns(
-        {
-            "truth_keys": only(section_names(found)),
-            "truth_names": only(entity_names(found, bare_strings=False)),
-            "truth_dates": only(date_pairs(found, both_required=False)),
-            "truth_amounts": only(amount_texts(found, F.col("json_text"))),
-        }
-    )
+    df = df.withColumn("_object", F.when(F.col("is_object"), F.col("parsed")))
+    df = staged(df, _truth_parts())
     extra = [c for c in truth.columns if c not in (key, json_text)]
     return df.select(key, *[f"truth_{p}" for p in PARTS], *extra)
 
 
+@built_once
+def _truth_parts() -> dict[str, Column]:
+    found, only = F.col("_object"), lambda c: F.when(F.col("is_object"), c)
+    return {
+        "truth_keys": only(section_names(found)),
+        "truth_names": only(entity_names(found, bare_strings=False)),
+        "truth_dates": only(date_pairs(found, both_required=False)),
+        "truth_amounts": only(amount_texts(found, F.col("json_text"))),
+    }
+
+
 def _recall(part: str) -> Column:
     shared = F.size(F.array_intersect(f"truth_{part}", f"pred_{part}"))
     total = F.size(f"truth_{part}")

@@ -49,7 +49,8 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score(outputs(spark, sf), truth(spark, sf))
+    ex = examples(spark, sf)
+    return score(predictions(ex), ex.select("example_id", "scenario", "record_json"))
 
 
 def chat_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -315,7 +315,7 @@ def scores_ctes(source="outputs", truth="(SELECT example_id, scenario, record_js
     pre = lambda p: f"CASE WHEN len(pred_{p}) > 0 THEN {shared(p)} / len(pred_{p}) ELSE 0.0 END"
     return recover_ctes(source, repair=True) + f""",
 pf AS (SELECT model, example_id, raw_output, valid_json, is_object, json_text, {violations_sql()} AS violations,
-  CASE WHEN json_type(json_text, '$.entities') IS NULL THEN 1.0 WHEN {first} = 'OBJECT' THEN CASE WHEN {whole} THEN 1.0 ELSE 0.5 END ELSE 0.0 END AS structure,
+  CASE WHEN json_type(json_text, '$.entities') IS NULL THEN 1.0::DOUBLE WHEN {first} = 'OBJECT' THEN CASE WHEN {whole} THEN 1.0 ELSE 0.5 END ELSE 0.0 END AS structure,
   {features('pred', 'json_text', True)} FROM rec),
 tf AS (SELECT example_id, scenario, {features('truth', 'record_json', False)} FROM (SELECT *, TRUE AS is_object FROM {truth})),
 sc0 AS (SELECT pf.*, tf.* EXCLUDE (example_id) FROM pf LEFT JOIN tf USING (example_id)),

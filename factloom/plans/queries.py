@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.functions import chat
 from factloom.functions.draws import with_draws
+from factloom.functions.plan import staged
 from factloom.functions.recovery import recover, repair_truncated
 from factloom.functions.schema_rules import violations
 from factloom.operators import compare, conversations, extraction, requests, scoring, splits, trainlog
@@ -476,7 +477,7 @@ QUERIES["repair_truncated"] = QUERIES.pop("repair_truncated_outputs")
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
     df = recover(I.outputs(spark, sf), repair=True)
-    return df.withColumn("violations", violations(F.col("parsed"), F.col("is_object")))
+    return staged(df, {"violations": violations(F.col("parsed"), F.col("is_object"))})
 
 
 @query
