@@ -37,8 +37,8 @@ def unfence(text: Column) -> Column:
 
 def _last_brace(text: Column) -> Column:
     """1-based position of the last closing brace, 0 if there is none."""
-    back = F.instr(F.reverse(text), "}")
-    return F.when(back > 0, F.length(text) - back + 1).otherwise(0)
+    after = F.substring_index(text, "}", -1)
+    return F.when(text.contains("}"), F.length(text) - F.length(after)).otherwise(0)
 
 
 def repair_truncated(df: DataFrame, raw: str = "raw_output", out: str = "repaired") -> DataFrame:

@@ -69,7 +69,7 @@ RECORD_SCHEMA = {
 # JSON kind -> names Spark gives it in a VARIANT.
 KINDS = {
     "string": ["STRING"],
-    "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "TINYINT", "SMALLINT", "INT"],
+    "number": ["BIGINT", "DOUBLE", "FLOAT"],  # and DECIMAL(p, s)
     "boolean": ["BOOLEAN"],
     "null": ["VOID"],
     "object": ["OBJECT"],
@@ -78,10 +78,14 @@ KINDS = {
 
 
 def is_kind(value: Column, *kinds: str) -> Column:
-    """Whether the value has one of the JSON kinds; null for a null (absent) value.  The
-    type name is read once: lambdas are interpreted and would repeat it."""
-    bare = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
-    return bare.isin([n for k in kinds for n in KINDS[k]])
+    """Whether the value has one of the JSON kinds (scalar ones, or one of object and array);
+    null for a null (absent) value."""
+    name = F.schema_of_variant(value)
+    if kinds in (("object",), ("array",)):
+        return name.startswith(KINDS[kinds[0]][0] + "<")
+    plain = [n for k in kinds for n in KINDS[k]]
+    test = name == plain[0] if len(plain) == 1 else name.isin(plain)
+    return test | name.startswith("DECIMAL(") if "number" in kinds else test
 
 
 def members(value: Column, path: str = "$") -> Column:
