@@ -97,7 +97,7 @@ def label(metric: Column) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", value)
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value))
 
 
 def percent(value: Column) -> Column:

@@ -127,7 +127,7 @@ def levels(
 
 
 def _four(value: Column) -> Column:
-    return F.format_string("%.4f", value)
+    return F.when(value.isNotNull(), F.format_string("%.4f", value))
 
 
 def sft_step_table(log: DataFrame) -> DataFrame:
