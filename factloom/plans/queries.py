@@ -433,16 +433,20 @@ def rule_based_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counting_model():
-    """A small model for runs without a real one: reports the text's length, and fails on
-    lengths divisible by 7."""
+    """Loader of a small model for runs without a real one: it reports the text's length, and
+    fails on lengths divisible by 7.  Inner functions travel to the executors by value, so this
+    package need not be installed there."""
 
-    def generate(text: str) -> str:
-        n = len(text)
-        if n % 7 == 0:
-            raise ValueError(f"length {n}")
-        return f'```json\n{{"event_type":"note","entities":[],"metrics":[{{"name":"chars","value":{n}}}]}}\n```'
+    def load():
+        def generate(text: str) -> str:
+            n = len(text)
+            if n % 7 == 0:
+                raise ValueError(f"length {n}")
+            return f'```json\n{{"event_type":"note","entities":[],"metrics":[{{"name":"chars","value":{n}}}]}}\n```'
 
-    return generate
+        return generate
+
+    return load
 
 
 def _response_rows(df: DataFrame) -> DataFrame:
@@ -458,7 +462,7 @@ def _response_rows(df: DataFrame) -> DataFrame:
 def extract_plugged_model(spark: SparkSession, sf: str) -> DataFrame:
     """Documents through the model seam: Arrow batches, one load per task, failures as rows."""
     docs = table(configure(spark), sf, "documents")
-    generate = jobs.model_generator(_counting_model, "doc_id", "text")
+    generate = jobs.model_generator(_counting_model(), "doc_id", "text")
     return _response_rows(jobs.extract_requests(docs, generate, "doc_id"))
 
 
@@ -739,7 +743,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def stream_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """The batch extraction as a stream."""
-    generate = jobs.model_generator(_counting_model, "doc_id", "text")
+    generate = jobs.model_generator(_counting_model(), "doc_id", "text")
     out = _response_rows(jobs.extract_requests(_stream(spark, sf, "documents"), generate, "doc_id"))
     return _run_stream(spark, out, "extraction")
 

@@ -16,12 +16,15 @@ T0 = datetime(2024, 1, 1)
 
 
 def echo_model():
-    def generate(text):
-        if "bad" in text:
-            raise ValueError("bad text")
-        return text
+    def load():
+        def generate(text):
+            if "bad" in text:
+                raise ValueError("bad text")
+            return text
 
-    return generate
+        return generate
+
+    return load
 
 
 REQUESTS = [
@@ -30,7 +33,7 @@ REQUESTS = [
 
 
 def respond(df):
-    out = jobs.extract_requests(df, jobs.model_generator(echo_model, "request_id", "text"))
+    out = jobs.extract_requests(df, jobs.model_generator(echo_model(), "request_id", "text"))
     status = extraction.request_status(F.col("admission"), F.lit(0.0), F.col("error"), F.col("valid_json"), F.lit(True))
     return out.select("request_id", "valid_json", "schema_valid", "typed_ok", "error", status.alias("status"))
 
