@@ -7,7 +7,7 @@ does not name is allowed.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -120,38 +120,54 @@ def _types(schema: dict) -> list[str]:
     return [t] if isinstance(t, str) else list(t)
 
 
-def _leaf_rules(value: Column, schema: dict, path: str) -> list[tuple[Column, str]]:
-    """Rules of a text or number field; an absent field (null column) breaks none."""
-    rules = [(~is_kind(value, *_types(schema)), f"{path}:type")]
+def _fits(value: Column, schema: dict) -> Column:
+    """Whether a text or number field has an allowed type and value; null if it is absent."""
     if "enum" in schema:
-        as_text = F.when(is_kind(value, "string"), F.try_variant_get(value, "$", "string"))
-        allowed = F.coalesce(as_text.isin(schema["enum"]), F.lit(False))
-        rules.append((value.isNotNull() & ~allowed, f"{path}:enum"))
-    return rules
+        return F.when(is_kind(value, "string"), F.try_variant_get(value, "$", "string").isin(schema["enum"])).when(
+            value.isNotNull(), False
+        )
+    return is_kind(value, *_types(schema))
+
+
+def _leaf_codes(value: Column, schema: dict, path: str) -> list[tuple[Column, str]]:
+    """Rules a field breaks; an absent field (null column) breaks none."""
+    codes = [(~is_kind(value, *_types(schema)), f"{path}:type")]
+    if "enum" in schema:
+        codes.append((~_fits(value, schema), f"{path}:enum"))
+    return codes
 
 
 def _leaf(value: Column, schema: dict, path: str) -> Column:
-    return _codes(*_leaf_rules(value, schema, path))
+    return _codes(*_leaf_codes(value, schema, path))
+
+
+def _object_fits(value: Column, schema: dict) -> Column:
+    """Whether a value is an object that breaks no rule.  Something that is no object has no
+    fields, so a required one is missing."""
+    tests = [
+        F.coalesce(_fits(field(value, name), sub), F.lit(name not in schema["required"]))
+        for name, sub in schema["properties"].items()
+    ]
+    return reduce(lambda x, y: x & y, tests)
 
 
 def _object(value: Column, schema: dict, path: str) -> Column:
     """Codes of an object whose fields are text or numbers; a value that is no object
     breaks only the type rule."""
-    rules = [(field(value, name).isNull(), f"{path}.{name}:required") for name in schema["required"]]
+    codes = [(field(value, name).isNull(), f"{path}.{name}:required") for name in schema["required"]]
     for name, sub in schema["properties"].items():
-        rules += _leaf_rules(field(value, name), sub, f"{path}.{name}")
-    return F.when(is_kind(value, "object"), _codes(*rules)).otherwise(_codes((F.lit(True), f"{path}:type")))
+        codes += _leaf_codes(field(value, name), sub, f"{path}.{name}")
+    return F.when(is_kind(value, "object"), _codes(*codes)).otherwise(_codes((F.lit(True), f"{path}:type")))
 
 
 def _array(value: Column, schema: dict, path: str) -> Column:
-    """Codes of an array of objects; every code once, however many elements break it."""
-    inner = F.array_distinct(
-        F.flatten(F.transform(members(value), lambda e: _object(e, schema["items"], f"{path}[]")))
-    )
-    return (
-        F.when(value.isNull(), F.array().cast("array<string>"))
-        .when(members(value).isNull(), _codes((F.lit(True), f"{path}:type")))
-        .otherwise(inner)
+    """Codes of an array of objects; every code once, however many elements break it.  Only
+    elements that do not fit are looked at rule by rule."""
+    items = schema["items"]
+    bad = F.filter(members(value), lambda e: ~_object_fits(e, items))
+    inner = F.array_distinct(F.flatten(F.transform(bad, lambda e: _object(e, items, f"{path}[]"))))
+    return F.coalesce(
+        F.when(value.isNull(), F.array().cast("array<string>")), inner, _codes((F.lit(True), f"{path}:type"))
     )
 
 

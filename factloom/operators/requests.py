@@ -36,13 +36,14 @@ def latency_histogram(log: DataFrame, by: str = "service") -> DataFrame:
     )
 
 
-def inflight_requests(log: DataFrame, by: str = "service", bucket_seconds: int = 3600) -> DataFrame:
-    """(by, ts, inflight, peak): requests in progress after each instant at which one starts or
+def inflight_requests(log: DataFrame, by: str = "service", bucket_seconds: int = 1) -> DataFrame:
+    """(by, ts, inflight): requests in progress after each instant at which one starts or
     ends; ends count before starts.
 
     Two-level running sum: changes are first combined per instant, then per time bucket; the running
     total over buckets gives each bucket its starting level, and the running sum within a bucket
-    adds to it.  No window spans a whole service.
+    adds to it.  A second holds at most a million distinct instants, however many requests
+    fall into it, so no window grows with the log.
     """
     ends = F.col("start_ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("elapsed_s").cast("decimal(18,6)"))
     points = log.select(

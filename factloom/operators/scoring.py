@@ -44,7 +44,7 @@ def entity_names(value: Column, bare_strings: bool) -> Column:
     def name(e: Column) -> Column:
         named = _text(field(e, "name"))
         named = F.when(named != "", F.lower(named))
-        return F.coalesce(F.lower(_text(e)), named) if bare_strings else named
+        return F.coalesce(named, F.lower(_text(e))) if bare_strings else named
 
     names = F.transform(members(value, "$.entities"), name)
     return _distinct(names)

@@ -61,7 +61,8 @@ def test_conversation_longer_than_a_chunk(spark):
 
 
 def test_message_functions(spark):
-    df = spark.sql("select array(struct('system' as role, 'S' as content), struct('user', 'U'), struct('assistant', 'A'), struct('user', 'V')) m")
+    turns = [("system", "S"), ("user", "U"), ("assistant", "A"), ("user", "V")]
+    df = spark.createDataFrame([(turns,)], "m array<struct<role:string,content:string>>")
     r = df.select(
         chat.render_messages(F.col("m")).alias("all"), chat.render_messages(chat.prompt_part(F.col("m")), True).alias("prompt"),
         chat.first_answer(F.col("m")).alias("answer"),
