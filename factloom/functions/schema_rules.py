@@ -7,7 +7,7 @@ does not name is allowed.
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -98,15 +98,6 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def _with(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
-
-
-def _check(rule, schema: dict, path: str, value: Column) -> Column:
-    return rule(value, schema, path)
-
-
 def _codes(*conditions: tuple[Column, str]) -> Column:
     return F.array(*[F.when(broken, F.lit(code)) for broken, code in conditions])
 
@@ -137,10 +128,6 @@ def _leaf_codes(value: Column, schema: dict, path: str) -> list[tuple[Column, st
     return codes
 
 
-def _leaf(value: Column, schema: dict, path: str) -> Column:
-    return _codes(*_leaf_codes(value, schema, path))
-
-
 def _object_fits(value: Column, schema: dict) -> Column:
     """Whether a value is an object that breaks no rule.  Something that is no object has no
     fields, so a required one is missing."""
@@ -160,25 +147,29 @@ def _object(value: Column, schema: dict, path: str) -> Column:
     return F.when(is_kind(value, "object"), _codes(*codes)).otherwise(_codes((F.lit(True), f"{path}:type")))
 
 
-def _array(value: Column, schema: dict, path: str) -> Column:
-    """Codes of an array of objects; every code once, however many elements break it.  Only
-    elements that do not fit are looked at rule by rule."""
-    items = schema["items"]
-    bad = F.filter(members(value), lambda e: ~_object_fits(e, items))
+def _array(root: Column, name: str, schema: dict, required: bool) -> Column:
+    """Codes of a section that is an array of objects; every code once, however many elements
+    break it.  Only elements that do not fit are looked at rule by rule, and the section itself
+    (a copy) only if it is no array."""
+    path, items = f"$.{name}", schema["items"]
+    bad = F.filter(members(root, path), lambda e: ~_object_fits(e, items))
     inner = F.array_distinct(F.flatten(F.transform(bad, lambda e: _object(e, items, f"{path}[]"))))
+    absent = _codes((F.lit(required), f"{path}:required"))
     return F.coalesce(
-        F.when(value.isNull(), F.array().cast("array<string>")), inner, _codes((F.lit(True), f"{path}:type"))
+        inner, F.when(field(root, name).isNull(), absent).otherwise(_codes((F.lit(True), f"{path}:type")))
     )
 
 
 def violations(value: Column, is_object: Column, schema: dict = RECORD_SCHEMA) -> Column:
     """Sorted codes of the broken rules; null for a null value."""
-    parts = [
-        _codes(*[(field(value, name).isNull(), f"$.{name}:required") for name in schema["required"]])
-    ]
+    parts = []
     for name, sub in schema["properties"].items():
-        rule = _array if "items" in sub else _leaf
-        parts.append(_with(field(value, name), partial(_check, rule, sub, f"$.{name}")))
+        required = name in schema["required"]
+        if "items" in sub:
+            parts.append(_array(value, name, sub, required))
+        else:
+            missing = [(field(value, name).isNull(), f"$.{name}:required")] if required else []
+            parts.append(_codes(*missing, *_leaf_codes(field(value, name), sub, f"$.{name}")))
     checked = F.when(is_object, F.array_sort(_present(F.concat(*parts)))).otherwise(
         F.array(F.lit("$:type"))
     )

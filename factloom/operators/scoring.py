@@ -27,9 +27,8 @@ PREVIEW_CHARS = 200
 PARTS = ("keys", "names", "dates", "amounts")
 
 
-def section_names(value: Column) -> Column:
-    keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-    return F.array_remove(keys, NOTE_KEY)
+def section_names(json_text: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.json_object_keys(json_text)), NOTE_KEY)
 
 
 def _text(value: Column) -> Column:
@@ -37,7 +36,7 @@ def _text(value: Column) -> Column:
     return F.when(is_kind(value, "string"), F.try_variant_get(value, "$", "string"))
 
 
-def entity_names(value: Column, bare_strings: bool) -> Column:
+def entity_names(entities: Column, bare_strings: bool) -> Column:
     """Lower-cased distinct names.  Empty names are left out, except that a prediction's
     bare string counts as it is."""
 
@@ -46,14 +45,13 @@ def entity_names(value: Column, bare_strings: bool) -> Column:
         named = F.when(named != "", F.lower(named))
         return F.coalesce(named, F.lower(_text(e))) if bare_strings else named
 
-    names = F.transform(members(value, "$.entities"), name)
-    return _distinct(names)
+    return _distinct(F.transform(entities, name))
 
 
-def skipped_names(value: Column) -> Column:
+def skipped_names(entities: Column) -> Column:
     """Entities whose name is there but is not text."""
     other = F.filter(
-        members(value, "$.entities"),
+        entities,
         lambda e: F.coalesce(~is_kind(field(e, "name"), "string", "null"), F.lit(False)),
     )
     return F.coalesce(F.size(other), F.lit(0))
@@ -88,17 +86,15 @@ def _distinct(values: Column) -> Column:
     return F.coalesce(some, F.array().cast("array<string>"))
 
 
-def structural_fidelity(value: Column) -> Column:
+def structural_fidelity(value: Column, entities: Column) -> Column:
     """1 without an entity section or with whole objects throughout; 0.5 if the first entity is an
     object but some lack type or name; 0 for anything else."""
-    section, items = field(value, "entities"), members(value, "$.entities")
-    whole = F.forall(
-        items, lambda e: field(e, "type").isNotNull() & field(e, "name").isNotNull()
-    )
-    first_is_object = is_kind(F.try_element_at(items, F.lit(1)), "object")
+    whole = F.forall(entities, lambda e: field(e, "type").isNotNull() & field(e, "name").isNotNull())
+    first_is_object = is_kind(F.try_element_at(entities, F.lit(1)), "object")
     return (
-        F.when(section.isNull(), 1.0)
-        .when(F.coalesce(first_is_object, F.lit(False)), F.when(whole, 1.0).otherwise(0.5))
+        F.when(F.coalesce(first_is_object, F.lit(False)), F.when(whole, 1.0).otherwise(0.5))
+        .when(entities.isNotNull(), 0.0)
+        .when(field(value, "entities").isNull(), 1.0)
         .otherwise(0.0)
     )
 
@@ -106,20 +102,25 @@ def structural_fidelity(value: Column) -> Column:
 def prediction_features(df: DataFrame, parsed: str = "parsed", json_text: str = "json_text") -> DataFrame:
     """Add the predicted parts (``pred_*``), the broken rules and the structure score.
     Null for an output that is not an object."""
+    return staged(_with_entities(df, parsed), _prediction_parts(parsed, json_text)).drop("_object", "_entities")
+
+
+def _with_entities(df: DataFrame, parsed: str) -> DataFrame:
+    """The value if it is an object, and its entity array, which several parts read."""
     df = df.withColumn("_object", F.when(F.col("is_object"), F.col(parsed)))
-    return staged(df, _prediction_parts(parsed, json_text)).drop("_object")
+    return staged(df, {"_entities": members(F.col("_object"), "$.entities")})
 
 
 @built_once
 def _prediction_parts(parsed: str, json_text: str) -> dict[str, Column]:
-    found, only = F.col("_object"), lambda c: F.when(F.col("is_object"), c)
+    found, entities, only = F.col("_object"), F.col("_entities"), lambda c: F.when(F.col("is_object"), c)
     return {
-        "pred_keys": only(section_names(found)),
-        "pred_names": only(entity_names(found, bare_strings=True)),
+        "pred_keys": only(section_names(F.col(json_text))),
+        "pred_names": only(entity_names(entities, bare_strings=True)),
         "pred_dates": only(date_pairs(found, both_required=True)),
         "pred_amounts": only(amount_texts(found, F.col(json_text))),
-        "pred_skipped": only(skipped_names(found)),
-        "structure": only(structural_fidelity(found)),
+        "pred_skipped": only(skipped_names(entities)),
+        "structure": only(structural_fidelity(found, entities)),
         "violations": violations(F.col(parsed), F.col("is_object")),
     }
 
@@ -128,18 +129,17 @@ def truth_features(truth: DataFrame, json_text: str = "record_json", key: str =
     """(key, truth_keys, truth_names, truth_dates, truth_amounts, other columns).  A truth that
     cannot be parsed has null parts, so its predictions get no scores."""
     df = recover(truth.withColumnRenamed(json_text, "_truth_text"), "_truth_text")
-    df = df.withColumn("_object", F.when(F.col("is_object"), F.col("parsed")))
-    df = staged(df, _truth_parts())
+    df = staged(_with_entities(df, "parsed"), _truth_parts())
     extra = [c for c in truth.columns if c not in (key, json_text)]
     return df.select(key, *[f"truth_{p}" for p in PARTS], *extra)
 
 
 @built_once
 def _truth_parts() -> dict[str, Column]:
-    found, only = F.col("_object"), lambda c: F.when(F.col("is_object"), c)
+    found, entities, only = F.col("_object"), F.col("_entities"), lambda c: F.when(F.col("is_object"), c)
     return {
-        "truth_keys": only(section_names(found)),
-        "truth_names": only(entity_names(found, bare_strings=False)),
+        "truth_keys": only(section_names(F.col("json_text"))),
+        "truth_names": only(entity_names(entities, bare_strings=False)),
         "truth_dates": only(date_pairs(found, both_required=False)),
         "truth_amounts": only(amount_texts(found, F.col("json_text"))),
     }
