@@ -142,7 +142,7 @@ def _section(value: Column, name: str, ok: Callable[[Column], Column], build: Ca
     """(section fits, typed section); an absent section is an empty one."""
     items = members(value, f"$.{name}")
     absent = field(value, name).isNull()
-    fits = absent | F.coalesce(F.forall(items, ok), F.lit(False))
+    fits = F.coalesce(F.forall(items, ok), absent)
     return fits, F.transform(F.coalesce(items, F.array().cast("array<variant>")), build)
 
 
