@@ -1,24 +1,62 @@
 """Preparation of a training corpus from ``documents``: stages that each call one operator.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what it returns is
-written as Parquet and read again as the next one's input.
+written as Parquet and read again as the next one's input.  All but the last return the columns of
+``documents``; n_chars follows the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.llm import quality_classifier as classifier
 from factloom.llm.common import read, written
 from factloom.llm.line_dedup import drop_repeated_lines
+from factloom.llm.mixing import mix
+from factloom.llm.ngram_join import jaccard_components
+from factloom.llm.queries import held_out, token_digests
 
+#: A fitted classifier and draws by hash: no SQL.  Tested against a brute-force version.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    labels = read(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
+    return classifier.score(docs, classifier.train(docs, labels)).where("predicted = 1").select(docs.columns)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(docs).select(docs.columns)
+    """All documents, without the lines that others repeat."""
+    kept = drop_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id; rows without id stay."""
+    parts = jaccard_components(docs.select("doc_id", "text"))
+    extra = written(parts.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    mixed = mix(docs).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests."""
+    return token_digests(docs)
 
 
-STAGES = [("line dedup", lines)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources", mixture),
+    ("BPE encoding and decoding", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from factloom.llm.kernels import U, mix
 SLICES = 64
 #: Slot numbers a task gathers before it emits them.
 GATHER = 1 << 22
-_loaded: dict[str, tuple[np.ndarray, ...]] = {}
+_loaded: dict[str, np.ndarray] = {}
 
 
 def slots(hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:
@@ -88,21 +88,23 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[n
     return path
 
 
-def load(path: str, bits: int, planes: int) -> tuple[np.ndarray, ...]:
-    """The filter as arrays of bytes, one per plane; kept by the Python worker for its next tasks."""
-    if path not in _loaded:
-        _loaded.clear()
-        bulk = (1 << bits) // (8 if planes > 1 else 1)
-        out = tuple(np.zeros(bulk, np.uint8) for _ in range(planes))
+def load(path: str, bits: int, plane: int | None = None) -> np.ndarray:
+    """A filter's slots as bytes: of two Bloom filters the one of ``plane``, packed, else the counts.
+    Kept by the Python worker for its next tasks."""
+    key = f"{path} {plane}"
+    if key not in _loaded:
+        while len(_loaded) > 1:
+            del _loaded[next(iter(_loaded))]
+        out = np.zeros((1 << bits) // (1 if plane is None else 8), np.uint8)
+        part = len(out) // SLICES
         where, folder = fs.FileSystem.from_uri(path)
         files = [f.path for f in where.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-")]
         if files:
             for batch in ds.dataset(files, filesystem=where, format="parquet").to_batches(batch_size=1):
                 for k, found in zip(*(batch.column(c).to_pylist() for c in ("slice", "planes"))):
-                    for plane, raw in zip(out, found):
-                        plane[k * bulk // SLICES : (k + 1) * bulk // SLICES] = np.frombuffer(raw, np.uint8)
-        _loaded[path] = out
-    return _loaded[path]
+                    out[k * part : (k + 1) * part] = np.frombuffer(found[plane or 0], np.uint8)
+        _loaded[key] = out
+    return _loaded[key]
 
 
 def seen(plane: np.ndarray, hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:

@@ -61,7 +61,7 @@ def drop_repeated_lines(
     path = filters.build(docs.select(text_col), hashes, "lines", bits, probes, 2)
 
     def suspects(batches):
-        twice = filters.load(path, bits, 2)[1]
+        twice = filters.load(path, bits, 1)
         for batch in batches:
             found = []
             for text in batch.column(text_col):
@@ -74,6 +74,7 @@ def drop_repeated_lines(
     held = written(marked.where("size(_suspects) > 0").withColumn("_row", F.monotonically_increasing_id()), "suspects")
     lines = held.select("_row", F.col(id_col).alias("_id"), F.explode("_suspects").alias("_key"))
     firsts = lines.groupBy("_key").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= least_docs)
+    firsts = written(firsts.drop("_n"), "repeated")  # its size decides how it is joined
     gone = (
         lines.join(firsts, "_key").where(F.col("_id").isNull() | (F.col("_id") < F.col("_keeper")))
         .groupBy("_row").agg(F.collect_list("_key").alias("_gone"))
