@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 INSTRUCTION = (
     "Read the text and return one JSON object with its event type, entities, dates, "
@@ -70,15 +70,28 @@ def count_words(text: Column) -> Column:
     return F.size(words(text))
 
 
-def length_budget(text: Column, limit: int, counter: Callable[[Column], Column] = count_words) -> dict[str, Column]:
-    """Token count, whether it passes the budget, and the text cut to the budget.
+def length_pieces(text: Column, limit: int) -> Column:
+    """The text in pieces of at most ``limit`` white-space words, which joined give it back."""
+    tokens = F.regexp_extract_all(text, F.lit(r"\s*\S+(?:\s+\z)?"), F.lit(0))
+    cut = lambda t: F.transform(
+        F.sequence(F.lit(1), F.size(t), F.lit(limit)), lambda i: F.array_join(F.slice(t, i, F.lit(limit)), "")
+    )
+    # Bound once: the words are found by one pass over the text.
+    bound = F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, cut(t)).otherwise(F.array(text)))
+    return F.element_at(bound, 1)
+
 
-    ``counter`` may be any column function, for instance a ``pandas_udf`` around a real
-    tokenizer; the cut is by whitespace words and keeps the first ``limit`` of them.
+def length_budget(
+    df: DataFrame, text: str, limit: int, counter: Callable[[Column], Column] = count_words
+) -> DataFrame:
+    """One row per piece: ``n_tokens`` of the whole text, ``over_budget``, ``piece_no`` from 0 and ``piece``.
+
+    ``counter`` may be any column function, for instance a ``pandas_udf`` around a real tokenizer; pieces are
+    cut by white-space words, and nothing of the text is lost.  A null text gives one null piece.
     """
-    count = counter(text)
-    return {
-        "n_tokens": count,
-        "over_budget": count > limit,
-        "kept_text": F.when(count > limit, F.array_join(F.slice(words(text), 1, limit), " ")).otherwise(text),
-    }
+    counted = df.withColumn("n_tokens", counter(F.col(text)))
+    pieces = F.when(F.col("n_tokens") > limit, length_pieces(F.col(text), limit)).otherwise(F.array(text))
+    rest = [c for c in counted.columns if c != text]
+    return counted.withColumn("over_budget", F.col("n_tokens") > limit).select(
+        *rest, "over_budget", F.posexplode(pieces).alias("piece_no", "piece")
+    )

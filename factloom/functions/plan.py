@@ -4,36 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def once(value: Column) -> Column:
-    """The value, computed in its own projection.
+def staged(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``withColumns`` whose columns are computed once and not inlined further up.
 
-    Catalyst copies the definition of a column into every later filter and projection that uses
-    it, which for a parse or a long conditional multiplies plan size and work.  It does not move
-    expressions that depend on the partition, so the (always true) condition keeps them in place.
+    Catalyst copies the definition of a column into every later filter and projection that uses it,
+    which for a parse or a long conditional multiplies plan size and work.  It does not look into a
+    generator, so the columns are made as the one row of an inlined array; filters on other columns
+    still pass below it, down to the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
-def staged(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """``withColumns`` whose columns are computed once and not inlined further up."""
-    return df.withColumns({name: once(value) for name, value in columns.items()})
+    made = F.inline_outer(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, made)
 
 
 def built_once(build: Callable) -> Callable:
     """Keep the columns a function of plain arguments builds.  Columns depend on neither data nor
     session, but building a long one takes a call into the JVM for every part of it."""
-    kept: dict = {}
+    kept: WeakKeyDictionary = WeakKeyDictionary()
 
     @wraps(build)
     def get(*args, **kwargs):
-        key = (id(SparkContext._gateway), args, tuple(sorted(kwargs.items())))
-        if key not in kept:
-            kept[key] = build(*args, **kwargs)
-        return kept[key]
+        of_gateway = kept.setdefault(SparkContext._gateway, {})
+        key = (args, tuple(sorted(kwargs.items())))
+        if key not in of_gateway:
+            of_gateway[key] = build(*args, **kwargs)
+        return of_gateway[key]
 
     return get

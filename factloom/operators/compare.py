@@ -25,23 +25,21 @@ RATE = "valid_json_rate"
 PLACES = 6
 
 
-def _aggregates(cap: int | None = None) -> list[Column]:
+def _aggregates() -> list[Column]:
     mean = lambda c: F.round(F.avg(c), PLACES)
     out = [
         F.count("*").alias("total_samples"),
         F.count_if(F.col("valid_json") & (F.col("entity_f1") < ERROR_BELOW)).alias("error_samples"),
         mean(F.col("valid_json").cast("double")).alias(RATE),
     ]
-    if cap is not None:
-        out.append(F.least(F.count("*"), F.lit(cap)).alias("reported_samples"))
     out += [mean(m).alias(m) for m in METRICS]
     # The plain means are over scored outputs only; these count an unscored one as 0.
     out += [mean(F.coalesce(F.col(m), F.lit(0.0))).alias(f"{m}_all") for m in METRICS if m != "hallucination_count"]
     return out
 
 
-def model_metrics(scores: DataFrame, cap: int | None = None) -> DataFrame:
-    return scores.groupBy("model").agg(*_aggregates(cap))
+def model_metrics(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("model").agg(*_aggregates())
 
 
 def valid_json_rate(scores: DataFrame) -> DataFrame:
@@ -53,26 +51,35 @@ def valid_json_rate(scores: DataFrame) -> DataFrame:
 
 
 def metrics_by_scenario(scores: DataFrame) -> DataFrame:
-    """Means per model and scenario with totals over either and both."""
-    cubed = scores.cube("model", "scenario").agg(
-        F.count("*").alias("total_samples"),
-        F.round(F.avg(F.col("valid_json").cast("double")), PLACES).alias(RATE),
-        *[F.round(F.avg(m), PLACES).alias(m) for m in METRICS],
+    """Means per model and scenario with totals over either and both: sums and counts per model and
+    scenario first, and only these few rows are cubed."""
+    measured = {RATE: F.col("valid_json").cast("double"), **{m: F.col(m) for m in METRICS}}
+    parts = scores.groupBy("model", "scenario").agg(
+        F.count("*").alias("n"),
+        *[f(c).alias(f"{k}_{m}") for m, c in measured.items() for k, f in (("sum", F.sum), ("n", F.count))],
     )
-    return cubed.withColumns(
-        {c: F.coalesce(c, F.lit("(all)")) for c in ("model", "scenario")}
+    cubed = parts.cube("model", "scenario").agg(
+        F.sum("n").alias("total_samples"),
+        *[F.round(F.try_divide(F.sum(f"sum_{m}"), F.sum(f"n_{m}")), PLACES).alias(m) for m in measured],
     )
+    return cubed.withColumns({c: F.coalesce(c, F.lit("(all)")) for c in ("model", "scenario")})
 
 
 def model_coverage(models: DataFrame, results: DataFrame) -> DataFrame:
-    """Every expected model with its result; one without gets rate 0 and no metrics."""
+    """Every expected model with its result.  One that has an ``error`` failed, one without result was
+    skipped; both get rate 0 and no metrics."""
+    if "error" not in models.columns:
+        models = models.withColumn("error", F.lit(None).cast("string"))
     joined = models.join(results, "model", "left")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("total_samples").isNull(), "skipped").otherwise("evaluated")
+    joined = joined.withColumn("status", status)
+    ran = F.col("status") == "evaluated"
+    rest = [c for c in results.columns if c not in ("model", "total_samples", "error_samples", RATE)]
     return joined.withColumns(
         {
-            "status": F.when(F.col("total_samples").isNull(), "skipped").otherwise("evaluated"),
-            "total_samples": F.coalesce("total_samples", F.lit(0).cast("bigint")),
-            "error_samples": F.coalesce("error_samples", F.lit(0).cast("bigint")),
-            RATE: F.coalesce(RATE, F.lit(0.0)),
+            **{c: F.when(ran, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in ("total_samples", "error_samples")},
+            RATE: F.when(ran, F.col(RATE)).otherwise(0.0),
+            **{c: F.when(ran, F.col(c)) for c in rest},
         }
     )
 
@@ -136,6 +143,6 @@ def metrics_delta(results: DataFrame, old: str, new: str, metrics: list[str] = M
 
 
 def find_model(results: DataFrame, part: str, order: str = "model") -> DataFrame:
-    """First model, in the given order, whose name holds ``part`` in any case."""
+    """First model, by the ``order`` column (the place in a list, for one), whose name holds ``part`` in any case."""
     hits = results.filter(F.contains(F.lower("model"), F.lit(part.lower())))
     return hits.agg(F.min_by("model", order).alias("model")).withColumn("part", F.lit(part))

@@ -1,26 +1,27 @@
 """Chat rows stored one turn per row.
 
-A conversation becomes message arrays of at most 256 turns (``chunk`` numbers them), so a
-conversation of any length stays whole without one group growing without bound.
-``(conv_id, turn)`` is expected to be unique.
+A conversation becomes one row.  Its turns are gathered in pieces of 256 turns first, so the
+ordered arrays that are sorted stay short; the row itself is as long as the conversation.
+Turns without a conversation id belong to none and are left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-TURNS_PER_CHUNK = 256
+TURNS_PER_PIECE = 256
 
 
 def to_messages(turns: DataFrame) -> DataFrame:
-    """(conv_id, chunk, messages) from (conv_id, turn, role, text)."""
-    chunk = F.floor(F.col("turn") / TURNS_PER_CHUNK).alias("chunk")
-    grouped = turns.groupBy("conv_id", chunk).agg(
+    """(conv_id, messages) from (conv_id, turn, role, text), in the order of the turns."""
+    piece = F.floor(F.col("turn") / TURNS_PER_PIECE).alias("piece")
+    pieces = turns.filter(F.col("conv_id").isNotNull()).groupBy("conv_id", piece).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
     )
-    return grouped.select(
-        "conv_id", "chunk",
-        F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"),
+    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("piece", "t"))).alias("p"))
+    turns_of = F.flatten(F.transform("p", lambda p: p["t"]))
+    return whole.select(
+        "conv_id", F.transform(turns_of, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages")
     )
 
 

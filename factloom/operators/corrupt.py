@@ -118,13 +118,9 @@ def preference_pairs(examples: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def capped_union(train: DataFrame, held_out: DataFrame, cap: int, order: str = "example_id") -> DataFrame:
-    """Train rows first, then held-out rows, at most ``cap`` in all (top-k, no global sort).
-    ``source_split`` shows which of them came from the held-out part."""
-    both = train.withColumns({"source_split": F.lit("train"), "_rank": F.lit(0)}).unionByName(
-        held_out.withColumns({"source_split": F.lit("eval"), "_rank": F.lit(1)})
-    )
-    return both.orderBy("_rank", order).limit(cap).drop("_rank")
+def source_union(train: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Train rows and held-out rows; ``source_split`` shows which came from where."""
+    return train.withColumn("source_split", F.lit("train")).unionByName(held_out.withColumn("source_split", F.lit("eval")))
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:

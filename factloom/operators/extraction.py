@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,13 +26,12 @@ AMOUNT_PATTERN = r"[$€£¥][0-9]+(?:\.[0-9]+)?[MB]"
 NAME_PATTERN = r"""[A-Z][^\s,.;:()"']*(?: [A-Z&][^\s,.;:()"']*)+"""
 
 
-def with_admission(requests: DataFrame, text: str = "text", limit: int = MAX_CHARS) -> DataFrame:
-    """``admission``: ok, empty or too_large.  Rejected requests stay as rows."""
+def with_admission(requests: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    """``admission``: ok, empty or, above a ``limit``, too_large.  Rejected requests stay as rows."""
     length = F.length(text)
-    return requests.withColumn(
-        "admission",
-        F.when(F.coalesce(length, F.lit(0)) == 0, "empty").when(length > limit, "too_large").otherwise("ok"),
-    )
+    label = F.when(F.coalesce(length, F.lit(0)) == 0, "empty")
+    label = label if limit is None else label.when(length > limit, "too_large")
+    return requests.withColumn("admission", label.otherwise("ok"))
 
 
 def with_prompt(requests: DataFrame, text: str = "text") -> DataFrame:
@@ -74,42 +73,66 @@ def rule_based_output(text: Column) -> Column:
 
 
 def generate_outputs(
-    requests: DataFrame,
-    load: Callable[[], Callable[[str], str]],
-    key: str = "request_id",
-    text: str = "text",
+    requests: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], key: str = "request_id", text: str = "text"
 ) -> DataFrame:
-    """(key, raw_output, error, latency_ms) from a generator run on the executors.
+    """The requests without ``text``, with raw_output, error, loaded and latency_ms from a model on the executors.
 
-    ``load`` is called once per task and returns the function that turns a text into raw output.
-    A text the function fails on gives a row with ``error`` set; the job goes on.  Size the
-    partitions by inference cost, and write the result before recovery, so that changed rules
-    do not repeat inference.
+    ``load`` returns the function that turns a list of texts into their outputs; a Python worker calls it once
+    and keeps what it returned for its later tasks.  If a batch fails, its texts are tried one by one, and one
+    that fails gives a row with ``error``; if the model cannot be loaded, every row says so (``loaded`` false).
+    latency_ms is the batch's time shared by its texts.  Size the partitions by inference cost, and write the
+    result before recovery, so that changed rules do not repeat inference.
     """
+    token = uuid.uuid4().hex
+    names = [c for c in requests.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sys
         import time
 
-        generate = load()
+        models = sys.__dict__.setdefault("_loaded_models", {})  # lives as long as the worker process
+        if token not in models:
+            try:
+                models[token] = load(), None
+            except Exception as e:
+                models[token] = None, f"{type(e).__name__}: {e}"
+        generate, failed = models[token]
         for batch in batches:
-            rows: list[tuple[Any, ...]] = []
-            for k, t in zip(batch[key], batch[text]):
-                start = time.perf_counter()
+            texts, start = list(batch[text]), time.perf_counter()
+            if generate is None:
+                results = [(None, failed)] * len(texts)
+            else:
                 try:
-                    out, error = generate(t), None
-                except Exception as e:  # one bad text must not fail the job
-                    out, error = None, f"{type(e).__name__}: {e}"
-                rows.append((k, out, error, (time.perf_counter() - start) * 1000))
-            yield pd.DataFrame(rows, columns=[key, "raw_output", "error", "latency_ms"])
-
-    key_type = dict(requests.dtypes)[key]
-    return requests.select(key, text).mapInPandas(
-        run, schema=f"{key} {key_type}, raw_output string, error string, latency_ms double"
-    )
+                    results = [(out, None) for out in generate(texts)]
+                    if len(results) != len(texts):
+                        raise ValueError(f"{len(results)} outputs for {len(texts)} texts")
+                except Exception:
+                    results = []
+                    for t in texts:
+                        try:
+                            results.append((generate([t])[0], None))
+                        except Exception as e:  # one bad text must not fail the job
+                            results.append((None, f"{type(e).__name__}: {e}"))
+            took = (time.perf_counter() - start) * 1000 / max(1, len(texts))
+            out = batch[names].copy()
+            out["raw_output"], out["error"] = [r for r, _ in results], [e for _, e in results]
+            out["loaded"], out["latency_ms"] = generate is not None, took
+            yield out
+
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields if f.name != text)
+    return requests.mapInPandas(run, schema=f"{carried}, raw_output string, error string, loaded boolean, latency_ms double")
 
 
 # --- typed projection -------------------------------------------------------------
 
+SECTION_FIELDS = {
+    "entities": ("type", "name"),
+    "dates": ("raw", "normalized", "context"),
+    "financials": ("type", "amount", "currency"),
+    "relationships": ("type", "subject", "object"),
+    "metrics": ("name", "value", "value_kind"),
+}
+
 NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -139,10 +162,9 @@ def _strings_ok(e: Column, *names: str) -> Column:
 
 
 def _section(value: Column, name: str, ok: Callable[[Column], Column], build: Callable[[Column], Column]):
-    """(section fits, typed section); an absent section is an empty one."""
-    items = members(value, f"$.{name}")
-    absent = field(value, name).isNull()
-    fits = F.coalesce(F.forall(items, ok), absent)
+    """(section fits, typed section) from the staged array ``_<name>``; an absent section is an empty one."""
+    items = F.col(f"_{name}")
+    fits = F.when(items.isNotNull(), F.forall(items, ok)).otherwise(field(value, name).isNull())
     return fits, F.transform(F.coalesce(items, F.array().cast("array<variant>")), build)
 
 
@@ -151,6 +173,7 @@ def typed_projection(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     taken from numeric text; keys outside the type are dropped; this is independent of schema
     validity."""
     v = F.col(parsed)
+    df = staged(df, {f"_{n}": members(v, f"$.{n}") for n in SECTION_FIELDS})
     s = lambda e, n: _string(field(e, n)).alias(n)
     entities = _section(
         v, "entities", lambda e: _strings_ok(e, "type", "name"), lambda e: F.struct(s(e, "type"), s(e, "name"))
@@ -174,7 +197,7 @@ def typed_projection(df: DataFrame, parsed: str = "parsed") -> DataFrame:
         v, "metrics",
         lambda e: _strings_ok(e, "name") & F.coalesce(is_kind(field(e, "value"), "string", "number", "boolean"), F.lit(False)),
         lambda e: F.struct(
-            s(e, "name"), F.try_variant_get(field(e, "value"), "$", "string").alias("value"),
+            s(e, "name"), _metric_text(field(e, "value")).alias("value"),
             F.when(is_kind(field(e, "value"), "string"), "string").otherwise("number").alias("value_kind"),
         ),
     )
@@ -189,7 +212,13 @@ def typed_projection(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     result = F.struct(
         _string(field(v, "event_type")).alias("event_type"), *[t.alias(n) for n, (_, t) in sections.items()]
     )
-    return staged(df, {"result": F.when(F.col("typed_ok"), result)})
+    return staged(df, {"result": F.when(F.col("typed_ok"), result)}).drop(*[f"_{n}" for n in SECTION_FIELDS])
+
+
+def _metric_text(value: Column) -> Column:
+    """A metric's value as text; a boolean is the number it is coerced to."""
+    truth = F.try_variant_get(value, "$", "boolean").cast("int").cast("double").cast("string")
+    return F.when(is_kind(value, "boolean"), truth).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def short_id(*parts: Column) -> Column:
@@ -211,7 +240,7 @@ def respond(
         "valid_json",
         "schema_valid",
         "typed_ok",
-        *[c for c in ("latency_ms", "error", "admission") if c in outputs.columns],
+        *[c for c in ("latency_ms", "error", "admission", "loaded") if c in outputs.columns],
     )
 
 
@@ -229,15 +258,6 @@ def request_status(admission: Column, latency_ms: Column, error: Column, valid_j
     )
 
 
-SECTION_FIELDS = {
-    "entities": ("type", "name"),
-    "dates": ("raw", "normalized", "context"),
-    "financials": ("type", "amount", "currency"),
-    "relationships": ("type", "subject", "object"),
-    "metrics": ("name", "value", "value_kind"),
-}
-
-
 def section_rows(df: DataFrame, section: str, key: str = "example_id") -> DataFrame:
     """One row per element of a section of ``result``; a record without any gives one row
     with nulls."""

@@ -1,7 +1,7 @@
 """Generation of (text, record) examples.
 
-Everything here is a narrow projection over the rows of the input table: no shuffle, no
-Python on executors.  Values are staged (draws, then slots, then text and record) so that
+Everything here is a narrow projection over the rows of the input table, whose bare ids are
+dealt out once, and no Python on executors.  Values are staged (draws, then slots, then text and record) so that
 no draw is computed twice.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom import vocabulary as V
 from factloom.functions.draws import between, pick, with_draws
-from factloom.functions.plan import built_once, once, staged
+from factloom.functions.plan import built_once, staged
 from factloom.session import spread
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES, Choice, Scenario, Whole
 
@@ -120,7 +120,7 @@ def with_slots(
     """
     given = dict(given or {})
     kept = [F.col(key).alias("example_id")] + [F.col(c).alias(f"given_{s}") for s, c in given.items()]
-    df = with_draws(spread(base.select(*kept)), "example_id", seed, "gen", DRAWS)
+    df = with_draws(spread(base.select(*kept), "example_id"), "example_id", seed, "gen", DRAWS)
     chosen = F.lit(scenario) if scenario else pick(text_array(SCENARIO_NAMES), F.col("draw_scenario"))
     df = staged(df, {"scenario": chosen})
     for stage in SLOT_STAGES:
@@ -313,10 +313,8 @@ RECORD_FIELDS = (
 
 def examples_from_slots(slots: DataFrame, currency_mode: str = "own") -> DataFrame:
     """(example_id, scenario, text, record fields, record_json, num_entities)."""
-    df = slots.select(
-        "example_id", "scenario", once(rendered_text()).alias("text"),
-        *[once(c).alias(n) for n, c in record_columns(currency_mode).items()],
-    )
+    made = {"text": rendered_text(), **record_columns(currency_mode)}
+    df = staged(slots, made).select("example_id", "scenario", *made)
     return staged(df, {"record_json": F.to_json(F.struct(*RECORD_FIELDS)), "num_entities": F.size("entities")})
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from factloom.functions.running import join_keys, sums_before
+
 OK_CODE = 200
 # The default upper bounds of a request-latency histogram, in seconds.
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 PERCENTILES = [0.50, 0.90, 0.99]
-KEPT_FAILURES = 5
 SKETCH_ACCURACY = 100_000
 
 
@@ -40,8 +41,8 @@ def inflight_requests(log: DataFrame, by: str = "service", bucket_seconds: int =
     """(by, ts, inflight): requests in progress after each instant at which one starts or
     ends; ends count before starts.
 
-    Two-level running sum: changes are first combined per instant, then per time bucket; the running
-    total over buckets gives each bucket its starting level, and the running sum within a bucket
+    Running sum in levels: changes are first combined per instant, then per time bucket; the running
+    total over buckets (itself in blocks) gives each bucket its starting level, and the running sum within a bucket
     adds to it.  A second holds at most a million distinct instants, however many requests
     fall into it, so no window grows with the log.
     """
@@ -62,13 +63,10 @@ def inflight_requests(log: DataFrame, by: str = "service", bucket_seconds: int =
     )
     change = F.col("up") - F.col("down")
     per_bucket = instants.groupBy(by, "bucket").agg(F.sum(change).alias("change"))
-    level = F.sum("change").over(W.partitionBy(by).orderBy("bucket")) - F.col("change")
-    starting = per_bucket.select(by, "bucket", level.alias("starting"))
+    starting = sums_before(per_bucket, [by], "bucket", "change")
     inside = F.sum(change).over(W.partitionBy(by, "bucket").orderBy("ts"))
-    return (
-        instants.withColumn("inside", inside)
-        .join(starting, [by, "bucket"])
-        .select(by, "ts", (F.col("starting") + F.col("inside")).alias("inflight"))
+    return join_keys(instants.withColumn("inside", inside), starting, [by, "bucket"]).select(
+        by, "ts", (F.col("before") + F.col("inside")).alias("inflight")
     )
 
 
@@ -134,18 +132,14 @@ def latency_percentiles(
         F.struct(
             F.lit(p).alias("p"),
             (F.col("q")[2 * i] if p - slack > 0 else F.col("least")).alias("low"),
-            F.when(F.col("n") * slack < 2, F.col("greatest")).otherwise(
-                F.col("q")[2 * i + 1] if p + slack < 1 else F.col("greatest")
-            ).alias("high"),
+            (F.col("q")[2 * i + 1] if p + slack < 1 else F.col("greatest")).alias("high"),
             F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))).alias("rank"),
         )
         for i, p in enumerate(percentiles)
     ]
     bounds = sketch.select(by, F.array(*brackets).alias("brackets"))
     candidates = (
-        log.select(by, F.col(value).alias("v"))
-        .filter(F.col("v").isNotNull())
-        .join(bounds, by)
+        join_keys(log.select(by, F.col(value).alias("v")).filter(F.col("v").isNotNull()), bounds, [by])
         .select(by, "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["high"])).alias("b"))
         .select(by, "b.p", "b.rank", F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("inside"))
         .groupBy(by, "p", "rank", "inside")
@@ -160,12 +154,16 @@ def latency_percentiles(
     )
 
 
-def failure_sample(log: DataFrame, by: str = "service", n: int = KEPT_FAILURES) -> DataFrame:
-    """The first ``n`` failures of each group.  Spark keeps at most ``n`` rows per group and task
-    before the shuffle."""
+def failures(log: DataFrame, by: str = "service", bucket_seconds: int = 1) -> DataFrame:
+    """All failures with their ``place`` (from 1) within the group, by start and request id.  Places are
+    counted inside a second and added to the failures of earlier seconds."""
     failed = log.filter(~F.coalesce(F.col("status_code") == OK_CODE, F.lit(False)))
-    place = F.row_number().over(W.partitionBy(by).orderBy("start_ts", "request_id"))
-    return failed.withColumn("place", place).filter(F.col("place") <= n)
+    second = F.floor(F.unix_micros(F.col("start_ts").cast("timestamp")) / (bucket_seconds * 1_000_000))
+    failed = failed.withColumn("_second", second)
+    before = sums_before(failed.groupBy(by, "_second").agg(F.count("*").alias("n")), [by], "_second", "n")
+    inside = F.row_number().over(W.partitionBy(by, "_second").orderBy("start_ts", "request_id"))
+    placed = join_keys(failed.withColumn("_inside", inside), before, [by, "_second"])
+    return placed.withColumn("place", F.col("before") + F.col("_inside")).drop("before", "_inside", "_second")
 
 
 def request_metrics_windowed(log: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.plan import built_once, staged
-from factloom.functions.recovery import recover
+from factloom.functions.recovery import recover, repair_truncated
 from factloom.functions.schema_rules import field, is_kind, members, violations
 
 # Metric names, in the order they are reported.
@@ -22,7 +22,6 @@ METRICS = [
 ]
 NOTE_KEY = "_note"
 ERROR_BELOW = 0.5
-PREVIEW_CHARS = 200
 
 PARTS = ("keys", "names", "dates", "amounts")
 
@@ -197,11 +196,12 @@ def score(
     key: str = "example_id",
     repair: bool = True,
 ) -> DataFrame:
-    """(model, key, valid_json, is_object, preview, metrics, parts) for every prediction."""
-    found = prediction_features(recover(predictions, raw, repair))
+    """(model, key, valid_json, is_object, preview, metrics, parts) for every prediction; ``preview`` is the
+    whole output as it was parsed, with ``repair`` the repaired one."""
+    shown = repair_truncated(predictions, raw, "preview") if repair else predictions.withColumn("preview", F.col(raw))
+    found = prediction_features(recover(shown, "preview"))
     slim = found.select(
-        "model", key, "valid_json", "is_object", "violations", "structure", "pred_skipped",
-        F.substring(raw, 1, PREVIEW_CHARS).alias("preview"),
+        "model", key, "valid_json", "is_object", "violations", "structure", "pred_skipped", "preview",
         *[f"pred_{p}" for p in PARTS],
     )
     return with_metrics(align(slim, truth_features(truth, key=key), key))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from factloom.functions.draws import DRAW_BITS, digest, lane, word
 
-BUCKET_CHARS = 4  # 16**4 = 65,536 hash buckets
+LEVEL_CHARS, LEVELS = 4, 3  # 16**4 = 65,536 buckets at each of three levels of the hash
 
 
 def shuffle_key(key: str, seed: int, stage: str = "split") -> Column:
@@ -17,41 +17,35 @@ def exact_split(df: DataFrame, key: str, seed: int, share: float = 0.9, stage: s
     """Add ``split``: the first ``floor(share * n)`` rows of a seeded shuffle are ``train``, the
     rest ``eval``.
 
-    The place of the cut is found from the key column alone: count per hash bucket (at most
-    65,536 rows), running total, then a ranking of the one bucket the cut falls into.  The rows
-    themselves are only compared with that place, so they are not shuffled.  Copies of a key are
-    counted first and stay on one side.
+    The place of the cut is found from the key column alone: rows per bucket of the hash (65,536 counts,
+    combined before the shuffle), then the same inside the bucket of the cut, three levels deep; only the
+    keys of the last bucket, one in 2^48, are put in order.  The rows themselves are compared with that
+    place and never shuffled.  Copies of a key stay on one side.
     """
-    keys = (
-        df.select(F.col(key).alias("k"), shuffle_key(key, seed, stage).alias("h"))
-        .groupBy("h", "k")
-        .agg(F.count("*").alias("n"))
-        .withColumn("b", F.substring("h", 1, BUCKET_CHARS))
-    )
-    buckets = keys.groupBy("b").agg(F.sum("n").alias("n"))
-    in_order = W.orderBy("b")
-    running = buckets.select(
-        "b",
-        (F.sum("n").over(in_order) - F.col("n")).alias("before"),
-        F.sum("n").over(in_order).alias("upto"),
-        F.floor(F.sum("n").over(W.partitionBy()) * F.lit(share)).alias("target"),
-    )
-    # The bucket in which the running total passes the target; beyond the last one, all are train.
-    cut = running.filter((F.col("before") <= F.col("target")) & (F.col("target") < F.col("upto")))
-    cut_bucket = cut.select("b").scalar()
-    left = cut.select(F.col("target") - F.col("before")).scalar()
+    h = F.coalesce(shuffle_key(key, seed, stage), F.lit(""))
+    hashed = df.select(F.col(key).alias("k"), h.alias("h"))
+    left = hashed.agg(F.floor(F.count("*") * F.lit(share)).alias("left")).scalar()
+    prefix = F.lit("")
+    for level in range(LEVELS):
+        inside = hashed.filter(F.substring("h", 1, LEVEL_CHARS * level) == prefix) if level else hashed
+        counts = inside.groupBy(F.substring("h", 1, LEVEL_CHARS * (level + 1)).alias("b")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.orderBy("b"))
+        cut = counts.select("b", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+        # The bucket in which the running total passes what is left; beyond the last one, all are train.
+        cut = cut.filter((F.col("before") <= left) & (left < F.col("upto")))
+        prefix, left = cut.select("b").scalar(), cut.select(left - F.col("before")).scalar()
+    chars = LEVEL_CHARS * LEVELS
     last = (
-        keys.filter(F.col("b") == cut_bucket)
+        hashed.filter(F.substring("h", 1, chars) == prefix)
+        .groupBy("h", "k").agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(W.orderBy("h", "k")))
         .filter(F.col("upto") <= left)
         .agg(F.max(F.struct("h", "k")).alias("last"))
     )
-    h = shuffle_key(key, seed, stage)
-    bucket = F.substring(h, 1, BUCKET_CHARS)
-    place = F.struct(h.alias("h"), F.col(key).alias("k"))
+    place, bucket = F.struct(h.alias("h"), F.col(key).alias("k")), F.substring(h, 1, chars)
     is_train = (
-        F.coalesce(bucket < cut_bucket, F.lit(True))
-        | (F.coalesce(bucket == cut_bucket, F.lit(False)) & F.coalesce(place <= last.scalar(), F.lit(False)))
+        F.coalesce(bucket < prefix, F.lit(True))
+        | (F.coalesce(bucket == prefix, F.lit(False)) & F.coalesce(place <= last.scalar(), F.lit(False)))
     )
     return df.withColumn("split", F.when(is_train, "train").otherwise("eval"))
 
@@ -63,9 +57,11 @@ def threshold_split(df: DataFrame, key: str, seed: int, share: float = 0.9, stag
     return df.withColumn("split", F.when(draw < int(share * (1 << DRAW_BITS)), "train").otherwise("eval"))
 
 
-def cap_first(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The first ``n`` rows by an explicit order (top-k: no global sort)."""
-    return df.orderBy(order).limit(n)
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """All rows, with ``among_first``: whether a row is one of the first ``n`` by an explicit order (its
+    place is a top-k of the order column alone, no global sort).  Equal values are all in or all out."""
+    last = df.select(order).orderBy(F.col(order).asc_nulls_last()).limit(n).agg(F.max(order).alias("m"))
+    return df.withColumn("among_first", F.coalesce(F.col(order) <= last.scalar(), F.lit(False)))
 
 
 def composition(df: DataFrame, by: str = "scenario") -> DataFrame:

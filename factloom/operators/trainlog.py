@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from factloom.functions.running import join_keys, sums_before
+
 POSITIONS_PER_BLOCK = 4096
 
 
@@ -89,16 +91,10 @@ def numbered(series: DataFrame, order: str = "pos") -> DataFrame:
     """
     block = F.floor(F.col(order) / POSITIONS_PER_BLOCK)
     blocks = series.groupBy("run", block.alias("block")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("run").orderBy("block")) - F.col("n")
-    first = blocks.select("run", "block", before.alias("before"))
+    first = sums_before(blocks, ["run"], "block", "n")
     inside = F.row_number().over(W.partitionBy("run", "block").orderBy(order)) - 1
-    return (
-        series.withColumn("block", block)
-        .withColumn("inside", inside)
-        .join(first, ["run", "block"])
-        .withColumn("idx", F.col("before") + F.col("inside"))
-        .drop("block", "before", "inside")
-    )
+    placed = join_keys(series.withColumn("block", block).withColumn("inside", inside), first, ["run", "block"])
+    return placed.withColumn("idx", F.col("before") + F.col("inside")).drop("block", "before", "inside")
 
 
 def downsample(series: DataFrame, value: str = "loss", width: int = 50) -> DataFrame:
@@ -109,7 +105,7 @@ def downsample(series: DataFrame, value: str = "loss", width: int = 50) -> DataF
     wanted = sizes.select("run", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"), "n").select(
         "run", "col", place(F.col("col")).alias("idx")
     )
-    return numbered(series).join(wanted, ["run", "idx"]).select("run", "col", "step", F.col(value).alias("value"))
+    return join_keys(numbered(series), wanted, ["run", "idx"]).select("run", "col", "step", F.col(value).alias("value"))
 
 
 def levels(
@@ -123,7 +119,7 @@ def levels(
     top = height - 1
     row = F.bround((1 - norm) * top, 0) if lower_is_better else F.lit(top) - F.bround(norm * top, 0)
     level = F.greatest(F.lit(0), F.least(F.lit(top), row.cast("int")))
-    return downsample(series, value, width).join(span, "run").select("run", "col", "step", "value", level.alias("level"))
+    return join_keys(downsample(series, value, width), span, ["run"]).select("run", "col", "step", "value", level.alias("level"))
 
 
 def _four(value: Column) -> Column:

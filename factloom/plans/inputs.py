@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factloom.functions.chat import chat_example
 from factloom.operators import generate as G
 from factloom.operators.corrupt import preference_pairs, with_corruption
-from factloom.operators.pseudo_models import predictions
+from factloom.plans.pseudo_models import predictions
 from factloom.operators.scoring import score
-from factloom.session import configure
+from factloom.session import configure, written
 from factloom.sources.tables import facts, table
 
 GIVEN = {
@@ -31,6 +31,15 @@ def fact_slots(spark: SparkSession, sf: str) -> DataFrame:
     return G.missing_slots(G.with_slots(facts(configure(spark), sf), "example_id", given=GIVEN))
 
 
+def facts_table(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(configure(spark), sf)
+
+
+def fact_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples built from the orders' own values; incomplete rows are left out."""
+    return G.examples_from_slots(fact_slots(spark, sf).filter(F.size("missing") == 0).drop("missing"))
+
+
 def corrupted(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
     return with_corruption(examples(spark, sf), kind=kind)
 
@@ -49,7 +58,8 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    ex = examples(spark, sf)
+    """Scores of the stand-in models.  The examples are generated once: what both sides need is written."""
+    ex = written(examples(spark, sf).select("example_id", "scenario", *G.RECORD_FIELDS, "record_json"), "examples")
     return score(predictions(ex), ex.select("example_id", "scenario", "record_json"))
 
 
@@ -59,6 +69,10 @@ def chat_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    return request_rows(table(configure(spark), sf, "events"))
+
+
+def request_rows(events: DataFrame) -> DataFrame:
     """Events as requests: the value is the latency in tenths of a second."""
     kind = F.col("event_type")
     status = (
@@ -66,7 +80,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "error", "error").otherwise("ok")
     )
     code = F.when(kind == "signup", 504).when(kind == "error", 500).otherwise(200)
-    return table(configure(spark), sf, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("svc-"), (F.col("user_id") % 4).cast("string")).alias("service"),
         F.col("ts").alias("start_ts"),

@@ -16,11 +16,11 @@ from factloom.operators import extraction as E
 from factloom.operators.generate import DRAWS, SEED
 from factloom.operators.requests import BOUNDS, PERCENTILES
 from factloom.operators.compare import LABELS
-from factloom.operators.pseudo_models import MODELS
+from factloom.plans.pseudo_models import MODELS
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES, Choice, Whole
 from factloom.operators.scoring import METRICS, NOTE_KEY
 from factloom.plans.queries import (
-    CORRUPT_QUERIES, METRIC_QUERIES, PAIR_CAP, RECORD_QUERIES, SAMPLE_CAP, TOKEN_BUDGET,
+    CORRUPT_QUERIES, FIRST_N, METRIC_QUERIES, RECORD_QUERIES, TOKEN_BUDGET,
 )
 
 ORACLE: dict[str, str] = {}
@@ -129,7 +129,7 @@ def lst(items) -> str:
     return "[" + ", ".join(items) + "]"
 
 
-def record_ctes(currency="own") -> str:
+def record_ctes(currency="own", source="slots") -> str:
     def cur(s, n):
         return f"left({s.money[n] if currency == 'own' else 'amount_a'}_t, 1)"
 
@@ -173,7 +173,7 @@ parts AS (SELECT *,
   {per(lambda s: date(s, "date_raw"))} AS dat_bad,
   {per(rel)} AS rel,
   {per(lambda s: lst([metric(s, n, v) for n, v in s.metrics]) if s.metrics else None)} AS met
-  FROM slots),
+  FROM {source}),
 ex AS (SELECT *, {assemble()} AS record_json FROM parts)"""
 
 
@@ -314,7 +314,7 @@ def scores_ctes(source="outputs", truth="(SELECT example_id, scenario, record_js
     rec = lambda p: f"CASE WHEN len(truth_{p}) > 0 THEN {shared(p)} / len(truth_{p}) ELSE 1.0 END"
     pre = lambda p: f"CASE WHEN len(pred_{p}) > 0 THEN {shared(p)} / len(pred_{p}) ELSE 0.0 END"
     return recover_ctes(source, repair=True) + f""",
-pf AS (SELECT model, example_id, raw_output, valid_json, is_object, json_text, {violations_sql()} AS violations,
+pf AS (SELECT model, example_id, raw_output, repaired, valid_json, is_object, json_text, {violations_sql()} AS violations,
   CASE WHEN json_type(json_text, '$.entities') IS NULL THEN 1.0::DOUBLE WHEN {first} = 'OBJECT' THEN CASE WHEN {whole} THEN 1.0 ELSE 0.5 END ELSE 0.0 END AS structure,
   {features('pred', 'json_text', True)} FROM rec),
 tf AS (SELECT example_id, scenario, {features('truth', 'record_json', False)} FROM (SELECT *, TRUE AS is_object FROM {truth})),
@@ -334,7 +334,7 @@ scores AS (SELECT *, CASE WHEN entity_recall + entity_precision > 0 THEN 2 * ent
 SC = OUT + "," + scores_ctes()
 MM = SC + f""",
 mm AS (SELECT model, count(*) AS total_samples, count(*) FILTER (valid_json AND entity_f1 < 0.5) AS error_samples,
-  round(avg(valid_json::INTEGER), 6) AS valid_json_rate, least(count(*), {SAMPLE_CAP}) AS reported_samples,
+  round(avg(valid_json::INTEGER), 6) AS valid_json_rate,
   {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)},
   {', '.join(f'round(avg(coalesce({m}, 0.0)), 6) AS {m}_all' for m in METRICS if m != 'hallucination_count')}
   FROM scores GROUP BY model)"""
@@ -368,13 +368,13 @@ def q(name: str, sql: str) -> None:
 
 # --- sources ----------------------------------------------------------------------
 TURN = f"'{chat.OPEN}' || role || chr(10) || text || '{chat.CLOSE}' || chr(10)"
-q("scan_messages", "SELECT conv_id, turn // 256 AS chunk, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS contents FROM conversations GROUP BY ALL")
+q("scan_messages", "SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS contents FROM conversations GROUP BY ALL")
 SPLIT = lambda stage, src="ex": f"(SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}:{stage}:' || example_id), example_id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'eval' END AS split FROM {src})"
 q("scan_pairs_by_split", PAIRS + f" SELECT example_id, split, 2::BIGINT AS prompt_messages, chosen, rejected FROM {SPLIT('pair_split', 'pairs')}")
-q("merge_model_results", MM + " SELECT model, total_samples, valid_json_rate, entity_f1, CASE WHEN model <> 'truncated' THEN section_recall END AS section_recall FROM mm WHERE model IN ('clean', 'corrupted', 'truncated')")
+q("merge_model_results", MM + " SELECT model, total_samples, valid_json_rate, entity_f1, CASE WHEN model NOT IN ('truncated', 'chatty') THEN section_recall END AS section_recall FROM mm")
 
 # --- generation -------------------------------------------------------------------
-q("gen_pick_excluding", EX + " SELECT example_id, org_a, org_b, org_c FROM slots WHERE scenario IN ('funding', 'product_launch')")
+q("gen_pick_excluding", EX + " SELECT example_id, scenario, org_a, org_b, org_c FROM slots")
 q("gen_amounts", EX + " SELECT example_id, amount_a_t AS text, amount_a_v AS value, left(amount_a_t, 1) AS currency FROM slots")
 q("gen_date_pairs", EX + " SELECT example_id, date_raw, date_norm FROM slots")
 _rows = [f"SELECT example_id, scenario, '{n}' AS slot, {src.draw} AS value FROM slots WHERE scenario = '{s.name}'" for s in SCENARIOS for n, src in s.slots.items()]
@@ -401,6 +401,13 @@ _missing = per(lambda s: compact([f"CASE WHEN {src.draw} IS NULL THEN '{n}' END"
 q("generation_rejects", FX + f" SELECT example_id, scenario, array_to_string(m, ',') AS missing FROM (SELECT example_id, scenario, {_missing} AS m FROM slots) WHERE len(m) > 0")
 q("generation_yield", FX + f" SELECT scenario, count(*) AS attempts, count(*) FILTER (len(m) = 0) AS examples FROM (SELECT scenario, {_missing} AS m FROM slots) GROUP BY scenario")
 q("fact_examples", FX + f" SELECT example_id, scenario, text, record_json FROM (SELECT *, {_missing} AS m FROM ex) WHERE len(m) = 0")
+_need = {d: [s.name for s in SCENARIOS if any(src.draw == d for src in s.slots.values())] for d in ("org_a", "person_a", "product", "location")}
+_known = ", ".join(f"CASE WHEN scenario IN ({', '.join(lit(n) for n in names)}) THEN coalesce({d}, 'Unknown') ELSE {d} END AS {d}" for d, names in _need.items())
+_filled = f"(SELECT * REPLACE ({_known}, coalesce(date_raw, 'Unknown') AS date_raw, coalesce(date_norm, 'Unknown') AS date_norm) FROM slots)"
+q("fact_unknowns", "WITH" + slots_ctes(FACTS, _given, keep="example_id, f_org, f_person, f_product, f_location, f_day") + "," + record_ctes(source=_filled) + " SELECT example_id, scenario, text, record_json FROM ex")
+_whole = f"(SELECT * EXCLUDE (m) FROM (SELECT *, {_missing} AS m FROM slots) WHERE len(m) = 0)"
+FW = "WITH" + slots_ctes(FACTS, _given, keep="example_id, f_org, f_person, f_product, f_location, f_day") + "," + record_ctes(source=_whole)
+q("fact_corruptions", FW + "," + corrupt_ctes() + " SELECT example_id, kind, corrupted_json FROM cor")
 q("sft_messages", EX + f" SELECT example_id, 'system,user,assistant' AS roles, {lit(chat.INSTRUCTION)} AS system, {USER} AS user, record_json AS assistant FROM ex")
 q("train_eval_split", EX + f" SELECT example_id, scenario, split FROM {SPLIT('split')}")
 q("threshold_split", EX + f" SELECT example_id, scenario, CASE WHEN (('0x' || substr(md5('{SEED}:split:' || example_id), 1, 15))::BIGINT & 1048575) < {int(0.9 * (1 << 20))} THEN 'train' ELSE 'eval' END AS split FROM ex")
@@ -409,7 +416,7 @@ q("dataset_summary", EX + f" SELECT coalesce(dataset, '(all)') AS dataset, coale
 
 # --- preference pairs -------------------------------------------------------------
 q("preference_pairs", PAIRS + f" SELECT example_id, kind, swapped, {USER} AS user, chosen, rejected FROM pairs")
-q("pair_cap", EX + f" SELECT example_id, split AS source_split FROM {SPLIT('split')} ORDER BY (split = 'eval'), example_id LIMIT {PAIR_CAP}")
+q("pair_cap", EX + f" SELECT example_id, split AS source_split FROM {SPLIT('split')}")
 q("corruption_mix", CO + " SELECT kind, count(*) AS n FROM cor GROUP BY kind")
 for _q, _k in CORRUPT_QUERIES.items():
     q(_q, EX + "," + corrupt_ctes(_k) + " SELECT example_id, corrupted_json FROM cor")
@@ -422,17 +429,25 @@ PROMPT_TEXT = f"{turn('system', lit(chat.INSTRUCTION))} || {turn('user', USER)}
 q("format_pairs", PAIRS + f" SELECT example_id, {PROMPT_TEXT} AS prompt, chosen, rejected FROM pairs")
 
 # --- training input ---------------------------------------------------------------
-q("render_chat", f"SELECT conv_id, turn // 256 AS chunk, string_agg({TURN}, '' ORDER BY turn) AS rendered FROM conversations GROUP BY ALL")
-q("prompt_split", f"""SELECT conv_id, turn // 256 AS chunk, count(*) AS n_messages, string_agg({TURN}, '' ORDER BY turn) || {HEADER} AS prompt
+q("render_chat", f"SELECT conv_id, string_agg({TURN}, '' ORDER BY turn) AS rendered FROM conversations GROUP BY ALL")
+q("prompt_split", f"""SELECT conv_id, count(*) AS n_messages, string_agg({TURN}, '' ORDER BY turn) || {HEADER} AS prompt
 FROM (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS f FROM conversations) WHERE f IS NULL OR turn < f GROUP BY ALL""")
 q("prompt_of_examples", EX + f" SELECT example_id, 2::BIGINT AS n_messages, {PROMPT_TEXT} AS prompt FROM ex")
 q("ground_truth_pick", EX + " SELECT example_id, CASE WHEN example_id % 2 = 0 THEN 'stored' ELSE 'answer' END AS source, record_json AS truth FROM ex")
-q("cap_first_n", EX + f" SELECT example_id, scenario FROM ex ORDER BY example_id LIMIT {SAMPLE_CAP}")
-_w = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
-_kept = lambda n: f"CASE WHEN len(w) > {n} THEN array_to_string(w[:{n}], ' ') ELSE text END"
-q("length_budget", f"""SELECT conv_id, chunk, len(w) AS n_tokens, len(w) > {TOKEN_BUDGET} AS over_budget, {_kept(TOKEN_BUDGET)} AS kept_text
-FROM (SELECT *, {_w} AS w FROM (SELECT conv_id, turn // 256 AS chunk, string_agg({TURN}, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL))""")
-q("length_budget_documents", f"SELECT doc_id, len(w) AS n_tokens, len(w) > 512 AS over_budget, md5({_kept(512)}) AS kept_md5 FROM (SELECT *, {_w} AS w FROM documents)")
+q("cap_first_n", EX + f" SELECT example_id, scenario, row_number() OVER (ORDER BY example_id) <= {FIRST_N} AS among_first FROM ex")
+def budget_sql(key: str, source: str, limit: int, piece: str) -> str:
+    """Rows (key, n_tokens, over_budget, piece_no, piece)."""
+    tokens = r"regexp_extract_all(text, '\s*\S+(?:\s+\z)?')"
+    return f"""SELECT {key}, n AS n_tokens, n > {limit} AS over_budget, i AS piece_no, {piece}
+FROM (SELECT *, CASE WHEN n > {limit} THEN array_to_string(t[i * {limit} + 1 : (i + 1) * {limit}], '') ELSE text END AS piece
+FROM (SELECT *, unnest(range(0, greatest(1, (n + {limit} - 1) // {limit}))) AS i
+FROM (SELECT {key}, text, {tokens} AS t, len({tokens}) AS n FROM {source})))"""
+
+
+_talk = f"(SELECT conv_id, string_agg({TURN}, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+q("length_budget", budget_sql("conv_id", _talk, TOKEN_BUDGET, "piece"))
+q("length_budget_documents", budget_sql("doc_id", "documents", 512, "md5(piece) AS piece_md5"))
+q("conversation_ground_truth", "WITH a AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0)," + recover_ctes("a", "answer") + " SELECT conv_id, answer, valid_json, is_object FROM rec")
 q("dataset_format_audit", EX + " SELECT dataset, TRUE AS has_system, TRUE AS has_user, TRUE AS has_assistant, TRUE AS shape_ok, count(*) AS n FROM (SELECT unnest(['sft', 'pairs']) AS dataset FROM ex) GROUP BY dataset")
 q("conversation_shape_audit", "SELECT s AS has_system, u AS has_user, a AS has_assistant, count(*) AS n FROM (SELECT conv_id, bool_or(role = 'system') AS s, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM conversations GROUP BY conv_id) GROUP BY ALL")
 
@@ -451,13 +466,15 @@ rules AS (SELECT example_id, '{{"event_type":"unknown","entities":['
   || array_to_string(list_transform(a, lambda x: '{{"type":"amount","amount":' || (regexp_replace(x, '[^0-9.]', '', 'g')::DECIMAL(20,6) * ({_scale}))::BIGINT || ',"currency":"' || left(x, 1) || '"}}'), ',') || ']}}' AS raw_output FROM r1)"""
 q("extract_rule_based", RULES + " SELECT example_id, raw_output FROM rules")
 q("rule_based_scores", RULES + ", outputs AS (SELECT 'patterns' AS model, example_id, raw_output FROM rules)," + scores_ctes() + " SELECT model, count(*) AS total_samples, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("entity_recall", "entity_precision", "date_normalization_recall", "financial_recall")) + " FROM scores GROUP BY model")
+q("fact_extraction", RULES.replace(EX, FW) + ", outputs AS (SELECT 'patterns' AS model, example_id, raw_output FROM rules)," + scores_ctes() + " SELECT model, count(*) AS total_samples, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("entity_recall", "entity_precision", "date_normalization_recall", "financial_recall")) + " FROM scores GROUP BY model")
 _doc = f"""SELECT doc_id, CASE WHEN ok THEN raw END AS raw_output, ok AS valid_json, ok AS schema_valid, ok AS typed_ok,
-  CASE WHEN length(text) BETWEEN 1 AND {E.MAX_CHARS} AND NOT ok THEN 'ValueError: length ' || length(text) END AS error,
-  CASE WHEN length(text) = 0 THEN 'rejected' WHEN length(text) > {E.MAX_CHARS} THEN 'too_large' WHEN ok THEN 'ok' ELSE 'error' END AS status
-FROM (SELECT *, length(text) BETWEEN 1 AND {E.MAX_CHARS} AND length(text) % 7 <> 0 AS ok,
+  CASE WHEN length(text) > 0 AND NOT ok THEN 'ValueError: length ' || length(text) END AS error,
+  CASE WHEN length(text) = 0 THEN 'rejected' WHEN ok THEN 'ok' ELSE 'error' END AS status
+FROM (SELECT *, length(text) > 0 AND length(text) % 7 <> 0 AS ok,
   '```json' || chr(10) || '{{"event_type":"note","entities":[],"metrics":[{{"name":"chars","value":' || length(text) || '}}]}}' || chr(10) || '```' AS raw FROM documents)"""
 q("extract_plugged_model", _doc)
 q("stream_extraction", _doc)
+q("extract_absent_model", "SELECT CASE WHEN coalesce(length(text), 0) = 0 THEN 'rejected' ELSE 'unavailable' END AS status, CASE WHEN length(text) > 0 THEN 'OSError: no weights' END AS error, count(*) AS n FROM documents GROUP BY ALL")
 q("recover_json", RC + " SELECT model, example_id, valid_json, is_object, json_text FROM rec")
 q("repair_truncated", RC + " SELECT model, example_id, was_truncated, repaired FROM rec")
 q("schema_validate", RCR + f" SELECT model, example_id, valid_json, coalesce(len(v) = 0, FALSE) AS schema_valid, array_to_string(v, ',') AS violations FROM (SELECT *, {violations_sql()} AS v FROM rec)")
@@ -476,6 +493,8 @@ for _s, _fields in E.SECTION_FIELDS.items():
     def _f(f):
         if f == "amount":
             return "json_extract_string(x, '$.amount')::DOUBLE AS amount"
+        if f == "value" and _s == "metrics":
+            return "CASE json_type(x, '$.value') WHEN 'BOOLEAN' THEN json_extract_string(x, '$.value')::BOOLEAN::INTEGER::DOUBLE::VARCHAR ELSE json_extract_string(x, '$.value') END AS value"
         if f == "value_kind":
             return "CASE json_type(x, '$.value') WHEN 'VARCHAR' THEN 'string' WHEN NULL THEN NULL ELSE CASE WHEN x IS NOT NULL THEN 'number' END END AS value_kind"
         return f"json_extract_string(x, '$.{f}') AS {f}"
@@ -487,16 +506,17 @@ UNION ALL SELECT example_id, NULL, {', '.join('NULL' for _ in _fields)} FROM it
 q("align_predictions", OUT + " SELECT model, example_id, scenario, length(raw_output) AS output_chars, length(record_json) AS truth_chars FROM outputs JOIN ex USING (example_id)")
 for _q, _m in METRIC_QUERIES.items():
     q(_q, SC + f" SELECT model, example_id, {', '.join(f'round({m}, 6) AS {m}' for m in _m)} FROM scores")
-q("top_hallucinations", SC + " SELECT model, name, count(*) AS n FROM (SELECT model, unnest(list_filter(pred_names, lambda x: NOT list_contains(truth_names, x))) AS name FROM scores) GROUP BY ALL ORDER BY n DESC, model, name LIMIT 20")
+q("top_hallucinations", SC + " SELECT model, name, count(*) AS n FROM (SELECT model, unnest(list_filter(pred_names, lambda x: NOT list_contains(truth_names, x))) AS name FROM scores) GROUP BY ALL")
 q("missed_entities", SC + " SELECT model, name, count(*) AS n FROM (SELECT model, unnest(list_filter(truth_names, lambda x: NOT list_contains(pred_names, x))) AS name FROM scores) GROUP BY ALL")
-q("sample_report", SC + " SELECT model, example_id, valid_json, left(raw_output, 200) AS preview, round(entity_f1, 6) AS entity_f1 FROM scores")
-q("error_samples", SC + " SELECT model, example_id, left(raw_output, 200) AS preview, round(entity_f1, 6) AS entity_f1 FROM scores WHERE valid_json AND entity_f1 < 0.5")
+q("sample_report", SC + " SELECT model, example_id, valid_json, repaired AS preview, round(entity_f1, 6) AS entity_f1 FROM scores")
+q("error_samples", SC + " SELECT model, example_id, repaired AS preview, round(entity_f1, 6) AS entity_f1 FROM scores WHERE valid_json AND entity_f1 < 0.5")
 
 # --- comparison -------------------------------------------------------------------
 q("valid_json_rate", RCR + " SELECT model, count(*) AS total_samples, count(*) FILTER (valid_json) AS valid_samples, round(avg(valid_json::INTEGER), 6) AS valid_json_rate FROM rec GROUP BY model")
 q("model_metrics", MM + " SELECT * FROM mm")
-q("model_coverage", MM + """ SELECT model, CASE WHEN model = 'chatty' THEN 'skipped' ELSE 'evaluated' END AS status, CASE WHEN model = 'chatty' THEN 0 ELSE total_samples END AS total_samples,
- CASE WHEN model = 'chatty' THEN 0 ELSE error_samples END AS error_samples, CASE WHEN model = 'chatty' THEN 0.0 ELSE valid_json_rate END AS valid_json_rate, CASE WHEN model <> 'chatty' THEN entity_f1 END AS entity_f1 FROM mm""")
+q("model_coverage", MM + f""" SELECT e.model, CASE WHEN error IS NOT NULL THEN 'failed' WHEN mm.model IS NULL THEN 'skipped' ELSE 'evaluated' END AS status, error,
+ coalesce(total_samples, 0) AS total_samples, coalesce(error_samples, 0) AS error_samples, coalesce(valid_json_rate, 0.0) AS valid_json_rate, entity_f1
+ FROM (SELECT unnest({arr([*MODELS, "absent"])}) AS model, NULL::VARCHAR AS error UNION ALL SELECT 'broken', 'OSError: no weights') e LEFT JOIN mm USING (model)""")
 _long = " UNION ALL ".join(f"SELECT model, '{m}' AS metric, coalesce({m}, 0.0) AS value FROM mm" for m in METRICS)
 q("metrics_long", MM + " " + _long)
 _all = " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {m} AS value FROM mm" for m in ["valid_json_rate", *METRICS])
@@ -504,12 +524,14 @@ _shown = "CASE WHEN value IS NULL THEN 'N/A' WHEN metric = 'valid_json_rate' THE
 _title = lambda m: "Valid JSON Rate" if m == "valid_json_rate" else LABELS.get(m, m.replace("_", " ").title())
 _label = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{_title(m)}'" for m in ["valid_json_rate", *METRICS]) + " END"
 q("metrics_pivot", MM + f" SELECT metric, {_label} AS label, {', '.join(f'''max(shown) FILTER (model = '{m}') AS {m}''' for m in MODELS)} FROM (SELECT *, {_shown} AS shown FROM ({_all})) GROUP BY metric")
-q("metrics_delta", MM + f""" SELECT metric, round(ch, 6) AS change, CASE WHEN ch IS NULL THEN 'N/A' WHEN metric = 'valid_json_rate' THEN (CASE WHEN ch >= 0 THEN '+' ELSE '' END) || printf('%.1f', ch * 100) || ' pp'
+q("metrics_delta", MM + f""" SELECT model, metric, round(ch, 6) AS change, CASE WHEN ch IS NULL THEN 'N/A' WHEN metric = 'valid_json_rate' THEN (CASE WHEN ch >= 0 THEN '+' ELSE '' END) || printf('%.1f', ch * 100) || ' pp'
  ELSE (CASE WHEN ch >= 0 THEN '+' ELSE '' END) || printf('%.4f', ch) END AS shown FROM
- (SELECT metric, max(value) FILTER (model = 'clean') - max(value) FILTER (model = 'corrupted') AS ch FROM ({_all}) GROUP BY metric)""")
-q("find_model", OUT + " SELECT min(model) FILTER (contains(lower(model), lower(part))) AS model, part FROM (SELECT DISTINCT model FROM outputs), (SELECT unnest(['T', 'clean', 'base']) AS part) GROUP BY part")
+ (SELECT a.model, a.metric, b.value - a.value AS ch FROM ({_all}) a JOIN ({_all}) b ON a.metric = b.metric WHERE b.model = 'clean' AND a.model <> 'clean')""")
+q("find_model", OUT + f" SELECT arg_min(model, list_position({arr(MODELS)}, model)) FILTER (contains(lower(model), lower(part))) AS model, part FROM (SELECT DISTINCT model FROM outputs), (SELECT unnest(['T', 'clean', 'base']) AS part) GROUP BY part")
 q("metrics_by_scenario", SC + f" SELECT coalesce(model, '(all)') AS model, coalesce(scenario, '(all)') AS scenario, count(*) AS total_samples, round(avg(valid_json::INTEGER), 6) AS valid_json_rate, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM scores GROUP BY CUBE (model, scenario)")
 
+q("fact_metrics", SC.replace(EX, FW) + f" SELECT coalesce(model, '(all)') AS model, coalesce(scenario, '(all)') AS scenario, count(*) AS total_samples, round(avg(valid_json::INTEGER), 6) AS valid_json_rate, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM scores GROUP BY CUBE (model, scenario)")
+
 # --- training logs ----------------------------------------------------------------
 LOG = """WITH e AS (SELECT *, json_extract(props, '$.k')::INTEGER AS k, (event_type = 'purchase' AND json_extract(props, '$.k')::INTEGER % 5 = 0) AS is_sum FROM events),
 log AS (SELECT 'run-' || (user_id % 20) AS run, event_id AS pos, CASE WHEN k % 11 <> 0 THEN event_id * 5 END AS step,
@@ -558,6 +580,7 @@ q("success_failure", REQ + " SELECT service, count(*) FILTER (status_code = 200)
 q("latency_summary", REQ + " SELECT service, round(min(elapsed_s), 6) AS min_s, round(avg(elapsed_s), 6) AS mean_s, round(max(elapsed_s), 6) AS max_s FROM log GROUP BY service")
 _p = " UNION ALL ".join(f"SELECT service, {p}::DOUBLE AS p, elapsed_s FROM r WHERE rn = least(n - 1, floor(n * {p}::DOUBLE)::BIGINT) + 1" for p in PERCENTILES)
 q("latency_percentiles", REQ + ", r AS (SELECT service, elapsed_s, row_number() OVER (PARTITION BY service ORDER BY elapsed_s) AS rn, count(*) OVER (PARTITION BY service) AS n FROM log) " + _p)
-q("failure_sample", REQ + " SELECT * FROM (SELECT service, row_number() OVER (PARTITION BY service ORDER BY start_ts, request_id) AS place, request_id, status_code::BIGINT AS status_code, elapsed_s, error FROM log WHERE status_code <> 200) WHERE place <= 5")
+q("failure_sample", REQ + " SELECT * FROM (SELECT service, row_number() OVER (PARTITION BY service ORDER BY start_ts, request_id) AS place, request_id, status_code::BIGINT AS status_code, elapsed_s, error FROM log WHERE status_code <> 200)")
 q("request_metrics_windowed", REQ + f" SELECT strftime(date_trunc('hour', start_ts), '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n, round(sum(elapsed_s), 3) AS total_s, {', '.join(f'count(*) FILTER (elapsed_s <= {b}) AS le_{i:02d}' for i, b in enumerate(BOUNDS))} FROM log GROUP BY ALL")
+q("stream_request_metrics", ORACLE["request_metrics_windowed"])
 q("stream_intake_once", "SELECT event_id AS request_id, event_type AS kind FROM events")

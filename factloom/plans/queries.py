@@ -13,18 +13,17 @@ from factloom.functions.recovery import recover, repair_truncated
 from factloom.functions.schema_rules import violations
 from factloom.operators import compare, conversations, extraction, requests, scoring, splits, trainlog
 from factloom.operators import generate as G
-from factloom.operators.corrupt import KINDS, capped_union, format_pairs
+from factloom.operators.corrupt import KINDS, format_pairs, source_union, with_corruption
 from factloom.operators.generate import SEED
-from factloom.operators.pseudo_models import MODELS
+from factloom.plans.pseudo_models import MODELS, predictions
 from factloom.operators.scenarios import SCENARIOS
 from factloom.plans import inputs as I
-from factloom.session import configure, shared_dir
+from factloom.session import configure, shared_dir, written
 from factloom.sources import jsonl
 from factloom.sources.tables import table
 from factloom.streaming import jobs
 
-PAIR_CAP = 2000
-SAMPLE_CAP = 500
+FIRST_N = 500
 TOKEN_BUDGET = 64
 QUERIES: dict = {}
 
@@ -43,12 +42,12 @@ def joined(values: Column) -> Column:
 
 @query
 def scan_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat lines read with a stated schema."""
-    rows = conversations.to_messages(table(configure(spark), sf, "conversations"))
-    lines = rows.select("conv_id", "chunk", F.to_json(F.struct("messages")).alias("line"))
-    m = jsonl.parse_lines(F.col("line"))["messages"]
+    """Chat lines, written and read with a stated schema."""
+    path = f"{shared_dir(configure(spark))}/chat-{uuid.uuid4().hex}"
+    conversations.to_messages(table(spark, sf, "conversations")).write.json(path)
+    lines, m = jsonl.scan_chat(spark, path, f"conv_id bigint, {jsonl.CHAT_SCHEMA}"), F.col("messages")
     return lines.select(
-        "conv_id", "chunk", F.size(m).cast("bigint").alias("n_messages"),
+        "conv_id", F.size(m).cast("bigint").alias("n_messages"),
         joined(F.transform(m, lambda x: x["role"])).alias("roles"),
         F.array_join(F.transform(m, lambda x: x["content"]), "\n").alias("contents"),
     )
@@ -56,31 +55,32 @@ def scan_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_pairs_by_split(spark: SparkSession, sf: str) -> DataFrame:
-    split = splits.exact_split(I.pairs(spark, sf), "example_id", SEED, stage="pair_split")
-    lines = split.select("example_id", "split", F.to_json(F.struct("prompt", "chosen", "rejected")).alias("line"))
-    p = F.col("p")
-    return lines.select("example_id", "split", jsonl.parse_lines(F.col("line"), jsonl.PAIR_SCHEMA).alias("p")).select(
-        "example_id", "split", F.size(p["prompt"]).cast("bigint").alias("prompt_messages"),
-        p["chosen"][0]["content"].alias("chosen"), p["rejected"][0]["content"].alias("rejected"),
+    """Both splits of the pairs, written as JSON lines and scanned as one table."""
+    pairs = splits.exact_split(I.pairs(spark, sf), "example_id", SEED, stage="pair_split")
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    jsonl.save_splits(pairs, path, ["example_id", "prompt", "chosen", "rejected"])
+    schema = f"example_id bigint, {jsonl.PAIR_SCHEMA}"
+    both = jsonl.scan_splits(spark, {s: f"{path}/split={s}" for s in ("train", "eval")}, schema)
+    return both.select(
+        "example_id", "split", F.size("prompt").cast("bigint").alias("prompt_messages"),
+        F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"),
     )
 
 
 @query
 def readable_sample(spark: SparkSession, sf: str) -> DataFrame:
-    df = I.examples(spark, sf)
-    return jsonl.readable_sample(df, splits.shuffle_key("example_id", SEED), ["text", "scenario", "entities", "dates"])
+    df, order = I.examples(spark, sf), splits.shuffle_key("example_id", SEED)
+    return jsonl.readable_sample(df, "example_id", order, ["text", "scenario", "entities", "dates"])
 
 
 @query
 def merge_model_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Results with different metric sets as one table."""
-    truth = I.truth(spark, sf)
-    of = lambda names: scoring.score(I.outputs(spark, sf).filter(F.col("model").isin(names)), truth)
-    full = compare.model_metrics(of(["clean", "corrupted"])).select(
-        "model", "total_samples", "valid_json_rate", "entity_f1", "section_recall"
-    )
-    part = compare.model_metrics(of(["truncated"])).select("model", "total_samples", "valid_json_rate", "entity_f1")
-    return compare.merge_results([full, part])
+    """Results with different metric sets, saved per model, then loaded and merged into one table."""
+    columns = "model string, total_samples bigint, valid_json_rate double, entity_f1 double, section_recall double"
+    path = f"{shared_dir(configure(spark))}/results-{uuid.uuid4().hex}"
+    jsonl.save_results(compare.model_metrics(I.scores(spark, sf)).select(*[c.split()[0] for c in columns.split(", ")]), path)
+    of = lambda names: jsonl.load_results(spark, [f"{path}/_folder={m}" for m in names], columns)
+    return compare.merge_results([of(["clean", "fenced", "corrupted", "absent"]), of(["chatty", "truncated"]).drop("section_recall")])
 
 
 # --- generation -------------------------------------------------------------------
@@ -89,10 +89,7 @@ def merge_model_results(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def gen_pick_excluding(spark: SparkSession, sf: str) -> DataFrame:
     """Organizations that avoid one another, as drawn per row."""
-    s = I.slots(spark, sf)
-    return s.filter(F.col("scenario").isin("funding", "product_launch")).select(
-        "example_id", "org_a", "org_b", "org_c"
-    )
+    return I.slots(spark, sf).select("example_id", "scenario", "org_a", "org_b", "org_c")
 
 
 @query
@@ -187,6 +184,38 @@ def fact_examples(spark: SparkSession, sf: str) -> DataFrame:
     return G.examples_from_slots(s).select("example_id", "scenario", "text", "record_json")
 
 
+@query
+def fact_unknowns(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples of all orders; what an order lacks is called unknown."""
+    facts_of = I.facts_table(spark, sf)
+    return G.generate_examples(facts_of, "example_id", given=I.GIVEN).select("example_id", "scenario", "text", "record_json")
+
+
+@query
+def fact_corruptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the orders' own values, corrupted."""
+    df = with_corruption(I.fact_examples(spark, sf))
+    return df.select("example_id", "kind", "corrupted_json")
+
+
+@query
+def fact_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """The pattern extractor over the texts of the orders, scored by their records."""
+    ex = I.fact_examples(spark, sf)
+    out = ex.select(F.lit("patterns").alias("model"), "example_id", extraction.rule_based_output(F.col("text")).alias("raw_output"))
+    scores = scoring.score(out, ex.select("example_id", "scenario", "record_json"))
+    return compare.model_metrics(scores).select(
+        "model", "total_samples", "entity_recall", "entity_precision", "date_normalization_recall", "financial_recall"
+    )
+
+
+@query
+def fact_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The stand-in models over the orders' own records, by scenario."""
+    ex = I.fact_examples(spark, sf)
+    return compare.metrics_by_scenario(scoring.score(predictions(ex), ex.select("example_id", "scenario", "record_json")))
+
+
 @query
 def sft_messages(spark: SparkSession, sf: str) -> DataFrame:
     m = F.col("messages")
@@ -247,10 +276,10 @@ def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pair_cap(spark: SparkSession, sf: str) -> DataFrame:
-    """Train rows, then held-out rows, up to the cap; which side each pair comes from."""
+    """All rows, of either side, with the side each pair comes from."""
     ids = splits.exact_split(I.examples(spark, sf).select("example_id"), "example_id", SEED)
     part = lambda s: ids.filter(F.col("split") == s).drop("split")
-    return capped_union(part("train"), part("eval"), PAIR_CAP)
+    return source_union(part("train"), part("eval"))
 
 
 @query
@@ -314,7 +343,7 @@ QUERIES["format_pairs"] = QUERIES.pop("format_preference_pairs")
 @query
 def render_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = conversations.to_messages(table(configure(spark), sf, "conversations"))
-    return rows.select("conv_id", "chunk", chat.render_messages(F.col("messages")).alias("rendered"))
+    return rows.select("conv_id", chat.render_messages(F.col("messages")).alias("rendered"))
 
 
 @query
@@ -322,7 +351,7 @@ def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
     """The part of every conversation before its first answer, with a generation header."""
     rows = conversations.to_messages(conversations.prompt_turns(table(configure(spark), sf, "conversations")))
     return rows.select(
-        "conv_id", "chunk", F.size("messages").cast("bigint").alias("n_messages"),
+        "conv_id", F.size("messages").cast("bigint").alias("n_messages"),
         chat.render_messages(F.col("messages"), generation_header=True).alias("prompt"),
     )
 
@@ -350,28 +379,34 @@ def ground_truth_pick(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cap_first_n(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.cap_first(I.examples(spark, sf).select("example_id", "scenario"), "example_id", SAMPLE_CAP)
+    """All rows, and which of them are among the first."""
+    return splits.first_rows(I.examples(spark, sf).select("example_id", "scenario"), "example_id", FIRST_N)
+
+
+@query
+def conversation_ground_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """First answer of every conversation that has one, and whether it holds a record."""
+    df = recover(conversations.first_answers(table(configure(spark), sf, "conversations")), "answer")
+    return df.select("conv_id", "answer", "valid_json", "is_object")
+
+
+def budgeted(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("n_tokens", "piece_no")})
 
 
 @query
 def length_budget(spark: SparkSession, sf: str) -> DataFrame:
     rows = conversations.to_messages(table(configure(spark), sf, "conversations"))
-    text = rows.select("conv_id", "chunk", chat.render_messages(F.col("messages")).alias("text"))
-    b = chat.length_budget(F.col("text"), TOKEN_BUDGET)
-    return text.select(
-        "conv_id", "chunk", b["n_tokens"].cast("bigint").alias("n_tokens"),
-        b["over_budget"].alias("over_budget"), b["kept_text"].alias("kept_text"),
-    )
+    """Rendered conversations in pieces that fit the budget."""
+    text = staged(rows, {"text": chat.render_messages(F.col("messages"))}).select("conv_id", "text")
+    return budgeted(chat.length_budget(text, "text", TOKEN_BUDGET))
 
 
 @query
 def length_budget_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(configure(spark), sf, "documents")
-    b = chat.length_budget(F.col("text"), 512)
-    return docs.select(
-        "doc_id", b["n_tokens"].cast("bigint").alias("n_tokens"), b["over_budget"].alias("over_budget"),
-        F.md5(b["kept_text"]).alias("kept_md5"),
-    )
+    docs = table(configure(spark), sf, "documents").select("doc_id", "text")
+    df = budgeted(chat.length_budget(docs, "text", 512))
+    return df.withColumn("piece_md5", F.md5("piece")).drop("piece")
 
 
 @query
@@ -408,7 +443,7 @@ def conversation_shape_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_admission(spark: SparkSession, sf: str) -> DataFrame:
-    docs = extraction.with_admission(table(configure(spark), sf, "documents"))
+    docs = extraction.with_admission(table(configure(spark), sf, "documents"), limit=extraction.MAX_CHARS)
     return docs.select("doc_id", "admission", F.length("text").cast("bigint").alias("chars"))
 
 
@@ -433,25 +468,34 @@ def rule_based_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counting_model():
-    """Loader of a small model for runs without a real one: it reports the text's length, and
+    """Loader of a small model for runs without a real one: it reports the texts' lengths, and
     fails on lengths divisible by 7.  Inner functions travel to the executors by value, so this
     package need not be installed there."""
 
     def load():
-        def generate(text: str) -> str:
+        def one(text: str) -> str:
             n = len(text)
             if n % 7 == 0:
                 raise ValueError(f"length {n}")
             return f'```json\n{{"event_type":"note","entities":[],"metrics":[{{"name":"chars","value":{n}}}]}}\n```'
 
-        return generate
+        return lambda texts: [one(t) for t in texts]
+
+    return load
+
+
+def _absent_model():
+    """Loader that fails, as where weights are missing."""
+
+    def load():
+        raise OSError("no weights")
 
     return load
 
 
 def _response_rows(df: DataFrame) -> DataFrame:
     status = extraction.request_status(
-        F.col("admission"), F.lit(0.0), F.col("error"), F.col("valid_json"), F.lit(True)
+        F.col("admission"), F.col("latency_ms"), F.col("error"), F.col("valid_json"), F.col("loaded")
     )
     return df.select(
         "doc_id", "raw_output", "valid_json", "schema_valid", "typed_ok", "error", status.alias("status")
@@ -460,12 +504,20 @@ def _response_rows(df: DataFrame) -> DataFrame:
 
 @query
 def extract_plugged_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents through the model seam: Arrow batches, one load per task, failures as rows."""
+    """Documents through the model seam: Arrow batches, one load per worker, failures as rows."""
     docs = table(configure(spark), sf, "documents")
     generate = jobs.model_generator(_counting_model(), "doc_id", "text")
     return _response_rows(jobs.extract_requests(docs, generate, "doc_id"))
 
 
+@query
+def extract_absent_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a model that cannot be loaded: every admitted request says so."""
+    docs = table(configure(spark), sf, "documents")
+    rows = _response_rows(jobs.extract_requests(docs, jobs.model_generator(_absent_model(), "doc_id", "text"), "doc_id"))
+    return rows.groupBy("status", "error").agg(F.count("*").alias("n"))
+
+
 @query
 def recover_json(spark: SparkSession, sf: str) -> DataFrame:
     return recover(I.outputs(spark, sf)).select("model", "example_id", "valid_json", "is_object", "json_text")
@@ -599,7 +651,7 @@ for _name, _metrics in METRIC_QUERIES.items():
 @query
 def top_hallucinations(spark: SparkSession, sf: str) -> DataFrame:
     names = scoring.hallucinated_names(I.scores(spark, sf))
-    return names.groupBy("model", "name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model", "name").limit(20)
+    return names.groupBy("model", "name").agg(F.count("*").alias("n"))
 
 
 @query
@@ -629,16 +681,17 @@ def valid_json_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.model_metrics(I.scores(spark, sf), cap=SAMPLE_CAP)
+    return compare.model_metrics(I.scores(spark, sf))
 
 
 @query
 def model_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected models against the evaluated ones; one was never run."""
-    found = compare.model_metrics(I.scores(spark, sf).filter(F.col("model") != "chatty"))
-    expected = I.outputs(spark, sf).select("model").distinct()
+    """Expected models against the evaluated ones; one was never run, one broke off."""
+    found = compare.model_metrics(I.scores(spark, sf))
+    told = [(m, None) for m in [*MODELS, "absent"]] + [("broken", "OSError: no weights")]
+    expected = spark.createDataFrame(told, "model string, error string")
     return compare.model_coverage(expected, found).select(
-        "model", "status", "total_samples", "error_samples", "valid_json_rate", "entity_f1"
+        "model", "status", "error", "total_samples", "error_samples", "valid_json_rate", "entity_f1"
     )
 
 
@@ -654,13 +707,21 @@ def metrics_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metrics_delta(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.metrics_delta(compare.model_metrics(I.scores(spark, sf)), "corrupted", "clean")
+    """Every model against the first."""
+    results = written(compare.model_metrics(I.scores(spark, sf)), "results")  # a row per model
+    out = None
+    for model in MODELS[1:]:
+        part = compare.metrics_delta(results, model, MODELS[0]).withColumn("model", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
 def find_model(spark: SparkSession, sf: str) -> DataFrame:
+    """First hit in the order of the list of models."""
     models = compare.valid_json_rate(recover(I.outputs(spark, sf), repair=True))
-    hit = lambda part: compare.find_model(models, part)
+    models = models.withColumn("place", F.array_position(F.array(*map(F.lit, MODELS)), F.col("model")))
+    hit = lambda part: compare.find_model(models, part, "place")
     return hit("T").unionByName(hit("clean")).unionByName(hit("base"))
 
 
@@ -721,18 +782,19 @@ def inflight_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def failure_sample(spark: SparkSession, sf: str) -> DataFrame:
-    df = requests.failure_sample(I.request_log(spark, sf))
+    """Every failure with its place in the service's log."""
+    df = requests.failures(I.request_log(spark, sf))
     return df.select("service", F.col("place").cast("bigint").alias("place"), "request_id", F.col("status_code").cast("bigint").alias("status_code"), "elapsed_s", "error")
 
 
 # --- streams ----------------------------------------------------------------------
+# Registering these queries runs nothing; calling one runs its stream to the end of the input, since
+# what a stream has written is the table that is returned.
 
 
-def _run_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Run a stream to the end of its input and read what it wrote to the shared folder."""
+def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    jobs.run_available(df, f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    return f"{base}/out", f"{base}/state"
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -744,15 +806,25 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def stream_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """The batch extraction as a stream."""
     generate = jobs.model_generator(_counting_model(), "doc_id", "text")
-    out = _response_rows(jobs.extract_requests(_stream(spark, sf, "documents"), generate, "doc_id"))
-    return _run_stream(spark, out, "extraction")
+    rows = _response_rows(jobs.extract_requests(_stream(spark, sf, "documents"), generate, "doc_id"))
+    out, state = _folders(spark, "extraction")
+    jobs.run_available(rows, out, state)
+    return spark.read.parquet(out)
 
 
 @query
 def stream_intake_once(spark: SparkSession, sf: str) -> DataFrame:
     """Every request delivered twice, taken in once."""
-    one = lambda: _stream(spark, sf, "events").select(
-        F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("start_ts"), F.col("event_type").alias("kind")
-    )
-    once = jobs.intake_once(one().unionByName(one()), "40 days").select("request_id", "kind")
-    return _run_stream(spark, once, "intake")
+    one = lambda: _stream(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("kind"))
+    out, state = _folders(spark, "intake")
+    jobs.intake_once(one().unionByName(one()), out, state)
+    return spark.read.parquet(out).select("request_id", "kind")
+
+
+@query
+def stream_request_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The windowed request metrics as a stream."""
+    log = I.request_rows(_stream(spark, sf, "events")).withColumn("start_ts", F.col("start_ts").cast("timestamp"))
+    out, state = _folders(spark, "metrics")
+    jobs.latest_totals(requests.request_metrics_windowed(log), out, state)
+    return spark.read.parquet(out)

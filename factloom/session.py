@@ -3,7 +3,9 @@ cluster session can take them; none replaces what the cluster sets for resources
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Ids are few bytes and become long texts: a partition of them may be small.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # A hot join key is split even if that adds a shuffle later in the plan.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -28,22 +32,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even round-robin split of a narrow table whose rows grow a hundredfold later (ids that
-    become texts and records): the bytes read say little about the work to come."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A narrow table whose rows grow a hundredfold later (ids that become texts and records), dealt by
+    key: how many partitions that gives follows the data (AQE), and filters pass below it."""
+    return df.hint("rebalance", key)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written stages: the one the cluster names in
-    ``spark.checkpoint.dir``.  A local folder is used only if nothing is set (tests)."""
+    ``spark.checkpoint.dir``.  Only a local master (tests) gets a folder of its own if none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read from there: built once, and of known size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "8", name: str = "factloom") -> SparkSession:
     """Session for tests and the benchmark."""
     spark = (

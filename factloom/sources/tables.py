@@ -13,7 +13,8 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order with the values a record can be built from.
 
     The order's first line is a partial-aggregated minimum of a struct, so a hot order key
-    is reduced before the shuffle.  Orders without lines keep null product and organization.
+    is reduced before the shuffle.  Orders without lines keep null product and organization, and
+    take no part in the joins with those.
     Join sides carry no broadcast hint: Spark broadcasts by measured size.
     """
     orders = table(spark, folder, "orders")
@@ -27,13 +28,16 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     part = table(spark, folder, "part").select("p_partkey", "p_name")
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    line = (
+        first_line.join(part, F.col("partkey") == F.col("p_partkey"), "left")
+        .join(supplier, F.col("suppkey") == F.col("s_suppkey"), "left")
+        .select("l_orderkey", "p_name", "s_name")
+    )
     return (
         orders.select("o_orderkey", "o_custkey", "o_orderdate")
-        .join(first_line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(part, F.col("partkey") == F.col("p_partkey"), "left")
-        .join(supplier, F.col("suppkey") == F.col("s_suppkey"), "left")
         .select(
             F.col("o_orderkey").alias("example_id"),
             F.col("s_name").alias("organization"),

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.extraction import generate_outputs, respond, with_admission
 from factloom.operators.requests import request_metrics_windowed
+from factloom.sources.jsonl import exists
 
 
 def request_stream(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -23,41 +24,59 @@ def extract_requests(
     requests: DataFrame, generate: Callable[[DataFrame], DataFrame], key: str = "request_id", text: str = "text"
 ) -> DataFrame:
     """Requests to responses, for a batch table or a stream: admission, generation, recovery,
-    validation, projection.  A rejected request stays as a row without output.
+    validation, projection.  A rejected request stays as a row without output and never reaches the model.
+
+    ``generate`` takes (key, text, admission) and gives back the other columns with raw_output, error, loaded and
+    latency_ms; everything is row by row, so the stream needs no state."""
+    admitted = with_admission(requests.select(key, text), text)
+    done = generate(admitted.filter(F.col("admission") == "ok"))
+    rejected = admitted.filter(F.col("admission") != "ok").select(
+        key, "admission", F.lit(None).cast("string").alias("raw_output"), F.lit(None).cast("string").alias("error"),
+        F.lit(True).alias("loaded"), F.lit(0.0).alias("latency_ms"),
+    )
+    return respond(done.unionByName(rejected), key=key)
 
-    ``generate`` adds ``raw_output`` to the admitted rows; everything is row by row, so the
-    stream needs no state."""
-    admitted = with_admission(requests, text)
-    usable = admitted.withColumn(text, F.when(F.col("admission") == "ok", F.col(text)))
-    return respond(generate(usable), key=key)
 
+def model_generator(load: Callable[[], Callable[[list[str]], list[str]]], key: str, text: str) -> Callable[[DataFrame], DataFrame]:
+    """Generation by a plugged-in model for ``extract_requests``."""
+    return lambda df: generate_outputs(df, load, key, text)
 
-def model_generator(load: Callable[[], Callable[[str], str]], key: str, text: str) -> Callable[[DataFrame], DataFrame]:
-    """Generation by a plugged-in model for ``extract_requests``; rejected rows never reach it."""
 
-    def skip_rejected() -> Callable[[str], str | None]:
-        generate = load()
-        return lambda t: None if t is None else generate(t)
+def windowed_metrics(requests: DataFrame, late_by: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """Status counts and latency buckets per window; rows later than the watermark are dropped."""
+    return request_metrics_windowed(requests.withWatermark("start_ts", late_by), width)
 
-    def run(df: DataFrame) -> DataFrame:
-        keyed = F.struct(F.col(key), F.col("admission"))
-        packed = df.select(F.to_json(keyed).alias("_key"), text)
-        out = generate_outputs(packed, skip_rejected, key="_key", text=text)
-        kind = df.schema[key].dataType.simpleString()
-        back = F.from_json("_key", f"{key} {kind}, admission string")
-        return out.select(back[key].alias(key), back["admission"].alias("admission"), "raw_output", "error", "latency_ms")
 
-    return run
+def intake_once(requests: DataFrame, out: str, checkpoint: str, key: str = "request_id") -> StreamingQuery:
+    """Land every id once, however late a copy comes.
 
+    Each batch is written to a folder of its own, without the ids that earlier batches have landed; so no
+    state grows with the stream and no row is too late.  A batch that runs again replaces its folder.  Rows
+    without id cannot be told apart and are all kept.
+    """
+    spark = requests.sparkSession
 
-def windowed_metrics(requests: DataFrame, late_by: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Status counts and latency buckets per window; rows later than the watermark are dropped."""
-    return request_metrics_windowed(requests.withWatermark("start_ts", late_by), width)
+    def land(batch: DataFrame, number: int) -> None:
+        known_ids = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        earlier = [f"{out}/batch={k}" for k in range(number) if exists(spark, f"{out}/batch={k}")]
+        if earlier:
+            known_ids = known_ids.join(spark.read.parquet(*earlier).select(key), key, "left_anti")
+        known_ids.unionByName(batch.filter(F.col(key).isNull())).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    query = requests.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def latest_totals(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Aggregates of a stream over all it has brought so far; every batch replaces the table in ``out``."""
 
-def intake_once(requests: DataFrame, late_by: str = "10 minutes") -> DataFrame:
-    """Each request id once, within the watermark."""
-    return requests.withWatermark("start_ts", late_by).dropDuplicatesWithinWatermark(["request_id"])
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    query = totals.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

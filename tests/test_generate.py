@@ -8,7 +8,7 @@ from factloom import vocabulary as V
 from factloom.functions.draws import pick, with_draws
 from factloom.operators import generate as G
 from factloom.operators.corrupt import KINDS, preference_pairs, with_corruption
-from factloom.operators.pseudo_models import predictions
+from factloom.plans.pseudo_models import predictions
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES
 from factloom.operators.scoring import score
 

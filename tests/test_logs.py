@@ -62,13 +62,36 @@ def test_summaries(spark, rows):
     assert tuple(empty) == (0.0, 0.0, 0.0)
     one = requests.throughput(make_log(spark, [("z", 0, 0, 200, "ok")])).collect()[0]
     assert one.per_second == 0.0
-    failures = requests.failure_sample(log).collect()
-    assert sum(f.service == "a" for f in failures) == 5
+    places = sorted((f.service, f.place, f.start_ts, f.request_id) for f in requests.failures(log).collect())
+    assert len(places) == sum(r[3] != 200 for r in rows)
+    for s in ("a", "b"):
+        mine = [p for p in places if p[0] == s]
+        assert [p[1] for p in mine] == list(range(1, len(mine) + 1)) and [p[2:] for p in mine] == sorted(p[2:] for p in mine)
     hist = {r.le: r.cumulative for r in requests.latency_histogram(log).filter("service = 'a'").collect()}
     assert hist["+Inf"] == by["a"].success_count + by["a"].failure_count
     assert hist["2.5"] == sum(r[0] == "a" and r[2] <= 2.5 for r in rows)
 
 
+def test_null_service_and_run_are_groups(spark, rows):
+    log = make_log(spark, [(None if r[0] == "b" else r[0], *r[1:]) for r in rows])
+    named = make_log(spark, rows)
+    for f in (requests.latency_percentiles, requests.inflight_requests, requests.peak_concurrency, requests.failures):
+        got = sorted((tuple("b" if v is None else v for v in r) for r in f(log).drop("status_code").collect()), key=str)
+        assert got == sorted(map(tuple, f(named).drop("status_code").collect()), key=str)
+    series = spark.range(9).selectExpr("cast(null as string) run", "id pos", "id step", "cast(id as double) loss")
+    assert trainlog.downsample(series).count() == 50 and trainlog.levels(series).count() == 50
+
+
+def test_running_sums_in_blocks(spark):
+    from factloom.functions.running import sums_before
+
+    r = random.Random(3)
+    given = {(k, b): r.randrange(10) for k in ("x", None) for b in r.sample(range(-500, 500), 90)}
+    df = spark.createDataFrame([(k, b, n) for (k, b), n in given.items()], "k string, b long, n long")
+    got = {(x.k, x.b): x.before for x in sums_before(df, ["k"], "b", "n", width=7).collect()}
+    assert got == {(k, b): sum(n for (k2, b2), n in given.items() if k2 == k and b2 < b) for k, b in given}
+
+
 LOG_SCHEMA = ("run string, pos long, step long, loss double, mean_token_accuracy double, entropy double, eval_loss double, "
               "train_runtime double, train_loss double, rewards_chosen double, rewards_rejected double, rewards_margins double")
 

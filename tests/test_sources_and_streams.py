@@ -17,10 +17,10 @@ T0 = datetime(2024, 1, 1)
 
 def echo_model():
     def load():
-        def generate(text):
-            if "bad" in text:
+        def generate(texts):
+            if any("bad" in t for t in texts):
                 raise ValueError("bad text")
-            return text
+            return list(texts)
 
         return generate
 
@@ -34,12 +34,12 @@ REQUESTS = [
 
 def respond(df):
     out = jobs.extract_requests(df, jobs.model_generator(echo_model(), "request_id", "text"))
-    status = extraction.request_status(F.col("admission"), F.lit(0.0), F.col("error"), F.col("valid_json"), F.lit(True))
+    status = extraction.request_status(F.col("admission"), F.col("latency_ms"), F.col("error"), F.col("valid_json"), F.col("loaded"))
     return out.select("request_id", "valid_json", "schema_valid", "typed_ok", "error", status.alias("status"))
 
 
 EXPECTED = {
-    1: (True, True, True, None, "ok"), 2: (False, False, False, None, "rejected"), 3: (False, False, False, None, "too_large"),
+    1: (True, True, True, None, "ok"), 2: (False, False, False, None, "rejected"), 3: (False, False, False, None, "invalid_json"),
     4: (False, False, False, "ValueError: bad text", "error"), 5: (False, False, False, None, "invalid_json"),
     6: (True, False, False, None, "ok"),
 }
@@ -50,6 +50,38 @@ def test_batch_extraction(spark):
     assert {r.request_id: tuple(r)[1:] for r in respond(df).collect()} == EXPECTED
 
 
+def test_model_is_loaded_once_per_worker_and_called_by_batch(spark, folder):
+    def counting():
+        import os
+        import uuid
+
+        note = lambda kind: open(f"{folder}/{kind}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        note("load")
+
+        def generate(texts):
+            note("call")
+            return [t.upper() for t in texts]
+
+        return generate
+
+    df = spark.range(0, 4000, 1, 8).selectExpr("id request_id", "concat('t', id) text", "id % 3 more")
+    got = extraction.generate_outputs(df, counting).collect()
+    assert sorted((r.request_id, r.raw_output, r.more) for r in got) == [(i, f"T{i}", i % 3) for i in range(4000)]
+    names = os.listdir(folder)
+    loads, calls = [[n for n in names if n.startswith(k)] for k in ("load", "call")]
+    assert len(loads) == len({n.split("-")[1] for n in loads}) <= 8 and len(calls) < 40
+
+
+def test_model_that_cannot_be_loaded(spark):
+    def load():
+        raise OSError("gone")
+
+    df = spark.createDataFrame(REQUESTS, "request_id long, text string")
+    out = jobs.extract_requests(df, jobs.model_generator(load, "request_id", "text"))
+    status = extraction.request_status(F.col("admission"), F.col("latency_ms"), F.col("error"), F.col("valid_json"), F.col("loaded"))
+    assert {r.request_id: r.s for r in out.select("request_id", status.alias("s")).collect()} == {i: "rejected" if i == 2 else "unavailable" for i in range(1, 7)}
+
+
 def test_stream_equals_batch(spark, folder):
     df = spark.createDataFrame(REQUESTS, "request_id long, text string")
     df.repartition(3).write.parquet(f"{folder}/in")
@@ -68,24 +100,64 @@ SCHEMA = "request_id long, start_ts timestamp, elapsed_s double, status string"
 
 
 def test_windows_drop_late_rows(spark, folder):
-    for i, minutes in enumerate([[1, 2, 61], [200], [3], [400]]):
+    for i, minutes in enumerate([[1, 2, 61], [200], [201], [3], [400]]):
         spark.createDataFrame(events(minutes), SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        for name in os.listdir(f"{folder}/in/{i}"):  # files are taken by age
+            os.utime(f"{folder}/in/{i}/{name}", (1_700_000_000 + 60 * i,) * 2)
     stream = (
         spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
     )
     jobs.run_available(jobs.windowed_metrics(stream), f"{folder}/out", f"{folder}/state")
     got = {r.window_start: r.n for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got["2024-01-01 01:00:00"] == 1 and got["2024-01-01 00:00:00"] in (2, 3)
+    assert got["2024-01-01 01:00:00"] == 1 and got["2024-01-01 00:00:00"] == 2
     batch = request_metrics_windowed(spark.createDataFrame(events([1, 2, 61, 200, 3]), SCHEMA)).collect()
     assert {r.window_start: r.n for r in batch}["2024-01-01 00:00:00"] == 3
 
 
 def test_intake_takes_each_id_once(spark, folder):
+    """Copies in one batch and in later ones, however late, and after a restart."""
+    out, state = f"{folder}/out", f"{folder}/state"
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
     df = spark.createDataFrame(events([1, 2, 3]), SCHEMA)
-    df.union(df).repartition(2).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
-    jobs.run_available(jobs.intake_once(stream), f"{folder}/out", f"{folder}/state")
-    assert sorted(r.request_id for r in spark.read.parquet(f"{folder}/out").collect()) == [0, 1, 2]
+    df.union(df).coalesce(1).write.parquet(f"{folder}/in/0")
+    df.coalesce(1).write.parquet(f"{folder}/in/1")
+    jobs.intake_once(stream(), out, state)
+    spark.createDataFrame(events([90_000, 4, 5, 6]), SCHEMA).coalesce(1).write.parquet(f"{folder}/in/2")
+    jobs.intake_once(stream(), out, state)
+    assert sorted(r.request_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+
+
+def test_totals_of_a_stream(spark, folder):
+    for i, minutes in enumerate([[1, 2, 61], [200, 3]]):
+        spark.createDataFrame(events(minutes), SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    jobs.latest_totals(request_metrics_windowed(stream), f"{folder}/out", f"{folder}/state")
+    batch = request_metrics_windowed(spark.createDataFrame(events([1, 2, 61, 200, 3]), SCHEMA))
+    assert sorted(map(tuple, spark.read.parquet(f"{folder}/out").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from factloom.session import shared_dir
+
+    for master, named in (("spark://host:7077", None), ("yarn", ""), ("local-cluster[2,1,1024]", None)):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": named}, sparkContext=SimpleNamespace(master=master)))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+
+
+def test_filters_reach_the_scan(spark):
+    from factloom.functions.recovery import recover
+    from factloom.plans import inputs
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ex = plan(inputs.examples(spark, sf).filter("example_id = 5"))
+    assert "EqualTo(o_orderkey,5)" in ex and "RoundRobin" not in ex
+    docs = plan(recover(spark.read.parquet(f"{sf}/documents.parquet"), "text").filter("lang = 'en'"))
+    assert "EqualTo(lang,en)" in docs
+    assert "RoundRobin" not in plan(inputs.pairs(spark, sf)) + plan(inputs.outputs(spark, sf))
 
 
 def test_round_trip_of_splits(spark, folder):
@@ -136,7 +208,7 @@ def test_stage_is_built_once(spark, folder):
 
 def test_readable_sample(spark):
     ex = G.generate_examples(spark.range(5), "id")
-    shown = jsonl.readable_sample(ex, splits.shuffle_key("example_id", 1), ["text", "scenario"]).collect()
+    shown = jsonl.readable_sample(ex, "example_id", splits.shuffle_key("example_id", 1), ["text", "scenario"]).collect()
     assert len(shown) == 1 and "\n" in shown[0].sample and json.loads(shown[0].sample)["text"]
 
 

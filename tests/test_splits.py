@@ -40,22 +40,32 @@ def test_threshold_share(spark):
     assert 3500 < n < 3700
 
 
-def test_cap_prefers_train(spark):
-    df = splits.exact_split(spark.range(100), "id", 7)
-    from factloom.operators.corrupt import capped_union
+def test_union_and_first_rows_keep_all(spark):
+    from factloom.operators.corrupt import source_union
 
+    df = splits.exact_split(spark.range(100), "id", 7)
     part = lambda s: df.filter(F.col("split") == s).drop("split").withColumnRenamed("id", "example_id")
-    rows = capped_union(part("train"), part("eval"), 95).collect()
-    assert len(rows) == 95 and sum(r.source_split == "eval" for r in rows) == 5
+    rows = source_union(part("train"), part("eval")).collect()
+    assert len(rows) == 100 and sum(r.source_split == "eval" for r in rows) == 10
+    first = splits.first_rows(spark.range(30), "id", 12).collect()
+    assert {r.id for r in first if r.among_first} == set(range(12)) and len(first) == 30
+
+
+def test_exact_split_orders_no_more_than_a_bucket(spark):
+    plan = splits.exact_split(spark.range(1000), "id", 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and plan.count("Repartition") == 0
 
 
-def test_conversation_longer_than_a_chunk(spark):
+def test_long_conversation_is_one_row(spark):
     turns = spark.range(600).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
                                     F.when(F.col("id") == 300, "assistant").otherwise("user").alias("role"),
                                     F.col("id").cast("string").alias("text"))
-    rows = conversations.to_messages(turns).orderBy("chunk").collect()
-    assert [len(r.messages) for r in rows] == [256, 256, 88]
-    assert [m.content for r in rows for m in r.messages] == [str(i) for i in range(600)]
+    rows = conversations.to_messages(turns.repartition(5)).collect()
+    assert [m.content for r in rows for m in r.messages] == [str(i) for i in range(600)] and len(rows) == 1
+    prompts = conversations.to_messages(conversations.prompt_turns(turns)).select(chat.render_messages(F.col("messages"), True).alias("p")).collect()
+    assert len(prompts) == 1 and prompts[0].p.count("<|im_start|>assistant") == 1 and prompts[0].p.endswith("299<|im_end|>\n<|im_start|>assistant\n")
+    odd = turns.union(turns.selectExpr("NULL conv_id", "turn", "role", "text")).union(spark.sql("SELECT 2 conv_id, NULL turn, 'user' role, 'x' text"))
+    assert sorted((r.conv_id, len(r.messages)) for r in conversations.to_messages(odd).collect()) == [(1, 600), (2, 1)]
     assert conversations.prompt_turns(turns).count() == 300
     assert conversations.first_answers(turns).collect()[0].answer == "300"
 
@@ -73,7 +83,11 @@ def test_message_functions(spark):
 
 
 def test_length_budget(spark):
-    df = spark.createDataFrame([("a  b\nc d",), ("a b",), ("",)], "t string")
-    b = chat.length_budget(F.col("t"), 3)
-    rows = df.select(*[c.alias(n) for n, c in b.items()]).collect()
-    assert [tuple(r) for r in rows] == [(4, True, "a b c"), (2, False, "a b"), (0, False, "")]
+    df = spark.createDataFrame([(0, " a  b\nc d\t\n"), (1, "a b"), (2, ""), (3, " \n "), (4, None), (5, "w\u00e9  " * 20_000)], "k int, t string")
+    rows = {}
+    for r in chat.length_budget(df, "t", 3).orderBy("k", "piece_no").collect():
+        rows.setdefault(r.k, []).append((r.n_tokens, r.over_budget, r.piece_no, r.piece))
+    assert rows[0] == [(4, True, 0, " a  b\nc"), (4, True, 1, " d\t\n")]
+    assert rows[1] == [(2, False, 0, "a b")] and rows[2] == [(0, False, 0, "")] and rows[3] == [(0, False, 0, " \n ")]
+    assert [p[3] for p in rows[4]] == [None]
+    assert "".join(p[3] for p in rows[5]) == "w\u00e9  " * 20_000 and len(rows[5]) == 6667
