@@ -52,9 +52,8 @@ SCENARIOS = (
     Scenario(
         name="acquisition",
         event_type="acquisition",
-        text="On {date_raw} {acquirer} closed its purchase of {target}, paying {amount}. "
-        "{ceo1} runs {acquirer}; {ceo2}, chief executive of {target}, takes a board seat. "
-        "{advisor} advised on the terms.",
+        text="Purchase of {target} by {acquirer}, closed {date_raw}; price: {amount}. chief executives: "
+        "{ceo1} ({acquirer}) and {ceo2} ({target}). adviser: {advisor}.",
         slots={
             "acquirer": ORG_A,
             "target": Choice("org_b", "organizations", ("acquirer",)),
@@ -80,9 +79,8 @@ SCENARIOS = (
     Scenario(
         name="funding",
         event_type="funding_round",
-        text="{lead_investor} led the Series {series} round of {company}, which brought in {amount}; "
-        "{participant} joined. Announced {date_raw}, it lifts total funding to {total_amount}. "
-        "Founder {ceo} will grow the {product} group with it.",
+        text="Series {series} round of {company}: raised {amount}, raised so far {total_amount}; lead: "
+        "{lead_investor}; also in: {participant}; dated {date_raw}. chief executive: {ceo}; main product: {product}.",
         slots={
             "company": ORG_A,
             "lead_investor": Choice("org_b", "organizations", ("company",)),
@@ -111,37 +109,34 @@ SCENARIOS = (
     Scenario(
         name="executive_hire",
         event_type="executive_hire",
-        text="{person} becomes {role} at {company} from {date_raw}, leaving {previous_company}, where "
-        'the post was {previous_role}. "We need {person} for {department}," said {ceo_comment_lead}, '
-        "who heads {company}.",
+        text="New at {company} from {date_raw}: {person}, {role}. before: {previous_role} at "
+        "{previous_company}. reports to: {chief}, chief executive.",
         slots={
             "company": ORG_A,
             "previous_company": Choice("org_b", "organizations", ("company",)),
             "person": PERSON_A,
-            "ceo_comment_lead": Choice("person_b", "persons"),
+            "chief": Choice("person_b", "persons", ("person",)),
             "role": Choice("attr_a", "new_roles"),
             "previous_role": Choice("attr_b", "old_roles"),
-            "department": Choice("attr_c", "departments"),
         },
         money={},
         top=("company",),
         entities=(
             ("organization", "company"), ("organization", "previous_company"),
-            ("person", "person"), ("person", "ceo_comment_lead"),
+            ("person", "person"), ("person", "chief"),
         ),
         date_role="effective_date",
         relationships=(
             ("employment", "{person}", "{company}", {"role": "{role}"}),
             ("employment", "{person}", "{previous_company}", {"role": "{previous_role}"}),
-            ("employment", "{ceo_comment_lead}", "{company}", {"role": "CEO"}),
+            ("employment", "{chief}", "{company}", {"role": "CEO"}),
         ),
     ),
     Scenario(
         name="partnership",
         event_type="partnership",
-        text="In {location}, home of {org1}, a pact worth {amount} was signed on {date_raw}: {org1} and "
-        '{org2} will build the {product} together. "{org2} has what we lack," said {exec1}, CTO of {org1}. '
-        "It should add {jobs} jobs.",
+        text="Joint project of {org1} and {org2}; subject: {product}; value: {amount}; place: {location}; "
+        "signed: {date_raw}; jobs: {jobs}. contact: {exec1}, technology chief of {org1}.",
         slots={
             "org1": ORG_A,
             "org2": Choice("org_b", "organizations", ("org1",)),
@@ -168,9 +163,8 @@ SCENARIOS = (
     Scenario(
         name="product_launch",
         event_type="product_launch",
-        text="{company} showed {product} at the {event} in {location} on {date_raw}, a first step into "
-        "{industry}. {ceo}, its chief executive, named a price of {amount}. {customer1} and {customer2} "
-        "have ordered; first-year sales are put at {revenue}.",
+        text="{product}, new from {company}: first shown {date_raw} in {location}. unit price {amount}; "
+        "orders from {customer1} and {customer2}; sales expected in year one: {revenue}. chief executive: {ceo}.",
         slots={
             "company": ORG_A,
             "customer1": Choice("org_b", "organizations", ("company",)),
@@ -178,8 +172,6 @@ SCENARIOS = (
             "ceo": PERSON_A,
             "product": PRODUCT,
             "location": LOCATION,
-            "industry": Choice("attr_a", "industries"),
-            "event": Choice("attr_b", "trade_shows"),
         },
         money={"amount": "amount_a", "revenue": "amount_b"},
         top=("company",),
@@ -199,15 +191,14 @@ SCENARIOS = (
     Scenario(
         name="quarterly_results",
         event_type="earnings_report",
-        text="For Q{quarter} {year} {company} reported sales of {revenue} on {date_raw}; {expected} had "
-        'been forecast. {product} sold well. "{segment} rose {growth}," said finance chief {cfo}. '
-        "{ceo}, chief executive, keeps the full-year outlook at {guidance}.",
+        text="Q{quarter} {year}, {company}, reported {date_raw}. revenue {revenue} (forecast {expected}); "
+        "guidance {guidance}; growth of the best segment {growth}; best seller {product}. signed {ceo}, chief "
+        "executive, and {cfo}, finance chief.",
         slots={
             "company": ORG_A,
             "ceo": PERSON_A,
             "cfo": Choice("person_b", "persons", ("ceo",)),
             "product": PRODUCT,
-            "segment": Choice("attr_a", "segments"),
             "growth": Whole("attr_b", 10, 150, "%"),
             "quarter": Whole("attr_c", 1, 4),
             "year": Choice("attr_d", "years"),
@@ -232,17 +223,14 @@ SCENARIOS = (
     Scenario(
         name="legal",
         event_type="regulatory_approval",
-        text="After {duration} months of review under {official}, the {regulatory_body} cleared {product} by "
-        "{company} for the {market} market on {date_raw}. {ceo} of {company} welcomed it, and shares "
-        "moved {percent}. The approval covers {indication}, a market of {market_size}.",
+        text="{regulatory_body} approved {product} of {company} on {date_raw}, {duration} months after filing. "
+        "case officer: {official}. chief executive: {ceo}. market size: {market_size}; share price change: {percent}.",
         slots={
             "company": ORG_A,
             "regulatory_body": Choice("org_b", "regulators"),
             "ceo": PERSON_A,
             "official": Choice("person_b", "persons", ("ceo",)),
             "product": PRODUCT,
-            "market": Choice("attr_a", "markets"),
-            "indication": Choice("attr_b", "uses"),
             "duration": Whole("attr_c", 3, 24),
             "percent": Whole("attr_d", 2, 25, "%"),
         },

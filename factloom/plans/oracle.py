@@ -202,7 +202,7 @@ c1 AS (SELECT *, {k} AS kind, {filled} AS filled FROM c0),
 c2 AS (SELECT *, CASE WHEN kind = 'missing_field' THEN filled[1 + d_section % len(filled)] ELSE '' END AS lost FROM c1),
 c3 AS (SELECT *,
   CASE WHEN kind = 'drop_entity' AND len(ent) > 1 THEN list_concat(ent[:(d_item % len(ent))], ent[(d_item % len(ent)) + 2:])
-       WHEN kind = 'hallucinate_entity' THEN list_append(ent, {fakes}[1 + d_item % 4])
+       WHEN kind = 'hallucinate_entity' THEN list_append(ent, {fakes}[1 + d_item % {len(V.INVENTED_ENTITIES)}])
        WHEN kind = 'multiple_errors' AND len(ent) > 1 THEN ent[2:]
        WHEN kind = 'flat_instead_of_nested' OR lost = 'entities' THEN NULL ELSE ent END AS c_ent,
   CASE WHEN fin IS NULL OR lost = 'financials' THEN NULL

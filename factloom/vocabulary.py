@@ -1,68 +1,36 @@
-"""Name pools and small tables the generator draws from.  All invented here."""
+"""What the generator draws from: names made by rule from a few parts, amounts from sign, number and scale."""
 
-ORGANIZATIONS = [
-    "Alder Foundry", "Brightwater Labs", "Cobalt Freight", "Dovetail Software",
-    "Emberline Power", "Fjord Analytics", "Garnet Logistics", "Halcyon Foods",
-    "Ironbark Mining", "Juniper Mobility", "Kestrel Optics", "Lumière Studios",
-    "Marrow & Pine", "Northgate Capital", "Orchard Biologics", "Pebble Networks",
-    "Quillon Insurance", "Redcedar Homes", "Sandglass Semiconductors", "Tidewell Marine",
-]
+from itertools import product
 
-PERSONS = [
-    "Anneke Visser", "Bao Linh Tran", "Chidi Okonkwo", "Dagny Solberg",
-    "Emil Novák", "Farida Haddad", "Gustavo Prieto", "Hana Ishikawa",
-    "Ines Carvalho", "Jonas Lindqvist", "Keisha Bright", "Leopold Baum",
-    "Mirela Popescu", "Nadia Benali", "Oskar Wrona", "Paloma Reyes",
-    "Quentin Marsh", "Rosalind Achebe", "Samir Kapoor", "Tove Eriksen",
-    "Uma Krishnan", "Viktor Zelenko", "Wanjiru Kamau", "Xavier Dufour",
-]
 
-LOCATIONS = [
-    "Porto", "Rotterdam", "Nairobi", "Osaka", "Gdansk", "Montevideo", "Leeds", "Aarhus",
-    "Pune", "Busan", "Marseille", "Halifax", "Denver", "Accra", "Tallinn", "Wellington",
-]
+def named(firsts: str, seconds: str) -> list[str]:
+    """Every first part with every second part."""
+    return [f"{a} {b}" for a, b in product(firsts.split(), seconds.split())]
 
-PRODUCTS = [
-    "Anvil Scheduler", "Beacon Ledger", "Cinder Vision", "Drift Router", "Echo Notebook",
-    "Flint Sensor", "Grove Planner", "Harbor Vault", "Inkwell Editor", "Jetty Gateway",
-    "Kiln Monitor", "Lattice Search",
-]
 
-REGULATORS = ["Food Board", "Spectrum Office", "Trade Council", "Medicines Bureau", "Markets Panel"]
-NEW_ROLES = ["Chief Operating Officer", "Head of Design", "VP of Supply", "Chief Risk Officer", "Head of Data"]
-OLD_ROLES = ["Plant Director", "Lead Architect", "Treasurer", "Country Manager"]
-DEPARTMENTS = ["logistics", "design", "risk", "analytics", "procurement"]
-INDUSTRIES = ["shipping", "farming", "insurance", "mapping", "storage", "printing"]
-TRADE_SHOWS = ["Harbor Expo", "Makers Forum", "Open Tools Week", "Delta Fair"]
-SEGMENTS = ["retail", "wholesale", "services", "export"]
-MARKETS = ["domestic", "Nordic", "Baltic", "worldwide"]
-USES = ["sleep disorders", "crop protection", "water testing", "cargo screening"]
-SERIES = ["A", "B", "C", "D", "E"]
-YEARS = ["2024", "2025"]
+ENTITY_TYPES = ("organization", "person", "product", "location")
+SCALES = {"M": 1_000_000, "B": 1_000_000_000}
 
 # (text as printed, whole units); the first character of the text is the currency sign.
 AMOUNTS = [
-    ("$4M", 4_000_000), ("$12M", 12_000_000), ("$30M", 30_000_000), ("$85M", 85_000_000),
-    ("$120M", 120_000_000), ("$640M", 640_000_000), ("$1.5B", 1_500_000_000), ("$8B", 8_000_000_000),
-    ("€18M", 18_000_000), ("€90M", 90_000_000), ("€310M", 310_000_000),
-    ("£7M", 7_000_000), ("£44M", 44_000_000),
-    ("¥3B", 3_000_000_000), ("¥9B", 9_000_000_000), ("¥750M", 750_000_000),
+    (f"{sign}{number:g}{scale}", int(number * SCALES[scale]))
+    for sign in "$€£¥"
+    for number, scale in ((6, "M"), (25, "M"), (410, "M"), (2.5, "B"), (11, "B"))
 ]
 
 FIRST_DAY = "2024-01-01"
 DAY_SPAN = 731
 
-INVENTED_ENTITIES = [
-    ("person", "Nobody Inparticular"),
-    ("organization", "Phantom Holdings"),
-    ("product", "Imaginary Widget"),
-    ("location", "Nowhere Falls"),
-]
+INVENTED_ENTITIES = [(kind, f"Unlisted {kind.title()} {mark}") for kind in ENTITY_TYPES for mark in ("One", "Two")]
 
 POOLS = {
-    "organizations": ORGANIZATIONS, "persons": PERSONS, "locations": LOCATIONS,
-    "products": PRODUCTS, "regulators": REGULATORS, "new_roles": NEW_ROLES,
-    "old_roles": OLD_ROLES, "departments": DEPARTMENTS, "industries": INDUSTRIES,
-    "trade_shows": TRADE_SHOWS, "segments": SEGMENTS, "markets": MARKETS, "uses": USES,
-    "series": SERIES, "years": YEARS,
+    "organizations": named("Alder Basalt Cinder Dune Ember Fathom Gale", "Works Lines Research Holdings"),
+    "persons": named("Aiko Boris Carmen Dalia Edvin Femi", "Aalto Barros Cohen Dube Ekström Fontana"),
+    "products": named("Amber Birch Copper Delta Fern", "Meter Router Valve Scanner"),
+    "locations": "Turku Varna Cusco Nagoya Tromsø Bilbao Harare Perth Quito".split(),
+    "regulators": named("Harbour Radio Seed Water Vaccine Toy", "Authority"),
+    "new_roles": [f"Chief {field} Officer" for field in "Information Legal People Product Commercial".split()],
+    "old_roles": [f"Head of {field}" for field in "Audit Labs Sales".split()],
+    "series": list("ABCDEF"),
+    "years": [str(year) for year in range(2023, 2027)],
 }

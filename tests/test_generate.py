@@ -55,7 +55,7 @@ def test_dependent_slots_differ(spark):
     for r in s.collect():
         if r.scenario in ("funding", "product_launch"):
             assert len({r.org_a, r.org_b, r.org_c}) == 3
-        if r.scenario in ("acquisition", "quarterly_results", "legal"):
+        if r.scenario in ("acquisition", "executive_hire", "quarterly_results", "legal"):
             assert r.person_a != r.person_b
 
 
