@@ -40,7 +40,7 @@ class Signs:
         unknown = "".join(c for c in newer if parts[c] != (1 if regex.match(r"\p{L}", c) else 4))
         small = {c: library.normalizer.normalize_str(c) for c in newer}
         self.small = str.maketrans({c: s for c, s in small.items() if c != s})
-        self.newer = regex.compile(f"[{''.join(newer) or chr(0x10FFFF)}]")
+        self.newer = frozenset(newer)
         self.word = regex.compile(WORD.format(letter=r"\p{L}", number=r"\p{N}", space=SPACE))
         old = {name: rf"[{kind}--[{unknown or chr(0x10FFFF)}]]" for name, kind in (("letter", r"\p{L}"), ("number", r"\p{N}"))}
         self.strict = regex.compile(WORD.replace("[{number}]", "{number}").replace("[{letter}]+", "{letter}+").format(**old, space=SPACE), regex.V1)
@@ -49,7 +49,7 @@ class Signs:
         if text.isascii():
             return self.word.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.newer.search(text):
+        if not self.newer.isdisjoint(text):
             return self.strict.findall(text.translate(self.small))
         return self.word.findall(text)
 
