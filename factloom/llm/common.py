@@ -98,7 +98,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 900_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts hold about ``most`` bytes (one text may be longer)."""
     for batch in batches:
         _, at = text_bytes(batch.column(text))

@@ -22,7 +22,7 @@ from factloom.llm.kernels import U, mix
 
 SLICES = 64
 #: Slot numbers a task gathers before it emits them.
-GATHER = 1 << 22
+GATHER = 1 << 21
 _loaded: dict[str, np.ndarray] = {}
 
 
@@ -50,10 +50,12 @@ def _emit(gathered: list[np.ndarray], bits: int, most: int) -> pa.RecordBatch:
     )
 
 
-def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], name: str, bits: int, probes: int, most: int) -> str:
+def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], name: str, bits: int, probes: int, most: int, wanted: tuple[int, ...] = (1, 2)) -> str:
     """Path of the counts of all hashes that ``hashes`` yields for the rows of ``df``, none above ``most``.
 
-    With ``most`` = 2 the counts are two Bloom filters: slots seen once and slots seen twice.
+    With ``most`` = 2 they are two Bloom filters: slots seen once and slots seen twice (``wanted``: those that are
+    kept).  Else they are kept as
+    levels of four bits: 0, 1, 2 to 3, 4 to 7, and so on up to 255.
     """
 
     def gather(batches):
@@ -79,7 +81,7 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[n
                 more = total[at].astype(np.uint16) + np.frombuffer(zlib.decompress(counts), np.uint8)
                 total[at] = np.minimum(more, most)
         for k, total in sums.items():
-            planes = [np.packbits(total >= i).tobytes() for i in (1, 2)] if most == 2 else [total.tobytes()]
+            planes = [np.packbits(total >= i).tobytes() for i in wanted] if most == 2 else [packed_levels(total).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes], pa.list_(pa.binary()))], names=["slice", "planes"])
 
     path = scratch(df.sparkSession, name)
@@ -89,20 +91,20 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[n
 
 
 def load(path: str, bits: int, plane: int | None = None) -> np.ndarray:
-    """A filter's slots as bytes: of two Bloom filters the one of ``plane``, packed, else the counts.
+    """A filter's slots, packed: of two Bloom filters the one of ``plane``, else the levels.
     Kept by the Python worker for its next tasks."""
     key = f"{path} {plane}"
     if key not in _loaded:
         while len(_loaded) > 1:
             del _loaded[next(iter(_loaded))]
-        out = np.zeros((1 << bits) // (1 if plane is None else 8), np.uint8)
+        out = np.zeros((1 << bits) // (2 if plane is None else 8), np.uint8)
         part = len(out) // SLICES
         where, folder = fs.FileSystem.from_uri(path)
         files = [f.path for f in where.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-")]
         if files:
             for batch in ds.dataset(files, filesystem=where, format="parquet").to_batches(batch_size=1):
                 for k, found in zip(*(batch.column(c).to_pylist() for c in ("slice", "planes"))):
-                    out[k * part : (k + 1) * part] = np.frombuffer(found[plane or 0], np.uint8)
+                    out[k * part : (k + 1) * part] = np.frombuffer(found[-1 if plane else 0], np.uint8)
         _loaded[key] = out
     return _loaded[key]
 
@@ -113,6 +115,15 @@ def seen(plane: np.ndarray, hashes: np.ndarray, bits: int, probes: int) -> np.nd
     return np.logical_and.reduce([(plane[s >> 3] >> (7 - (s & 7))) & 1 for s in at]).astype(bool)
 
 
-def counts(plane: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Count of each hash, at least the true one below the filter's maximum."""
-    return plane[slots(hashes, bits, 1)[0]]
+def packed_levels(counts: np.ndarray) -> np.ndarray:
+    """Two levels to a byte: how many binary digits each count has."""
+    level = np.zeros(len(counts), np.uint8)
+    for digit in range(8):
+        level[counts >= (1 << digit)] = digit + 1
+    return level[::2] | (level[1::2] << 4)
+
+
+def levels(plane: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Level of each hash's count, which is the true count at least: 0 and 1 are exact bounds."""
+    at = slots(hashes, bits, 1)[0]
+    return (plane[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15

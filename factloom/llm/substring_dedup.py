@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from factloom.llm import filters
-from factloom.llm.common import configure, pieces, ragged, text_bytes, with_columns, written
+from factloom.llm.common import configure, pieces, text_bytes, with_columns, written
 from factloom.llm.kernels import U, Words, mix, sequences
 
 #: Perfect difference sets: every shift modulo the period is a difference of two members.
@@ -62,13 +63,23 @@ def _blocks(words: Words, size: int, held: np.ndarray) -> tuple[np.ndarray, np.n
     return held[first], held[np.append(first[1:], len(held)) - 1]
 
 
+def _once(words: Words, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Each hash once per text: what a text repeats by itself is no reason to suspect it."""
+    text = np.searchsorted(words.at, at, "right") - 1
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    keep = np.ones(len(hashes), bool)
+    keep[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[keep]
+
+
 def _by_text(words: Words, places: np.ndarray) -> np.ndarray:
     """How many of the ascending word positions lie in each text."""
     return np.diff(np.searchsorted(places, words.at))
 
 
 def remove_repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, period: int = 21, bits: int = 28, probes: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, period: int = 21, bits: int = 30, probes: int = 3
 ) -> DataFrame:
     """``docs`` with its words joined by one blank but for those covered by a window of ``size`` words
     whose sequence also starts in a row with a smaller id; columns n_words, n_removed (long) added.
@@ -76,35 +87,49 @@ def remove_repeated_passages(
     Windows are judged on the input.  Null, empty and short texts have no window.  Rows with a null id
     neither lose words nor make others lose them; rows with the same id leave each other alone.  Columns
     named n_words or n_removed are replaced, others pass.  ``bits``: log2 of the slots of the anchor
-    filters (a smaller power only lets more windows through to the exact comparison).
+    filters, best 30 times the anchors (fewer only let more windows through to the exact comparison).
     """
     configure(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed")
-    late_bits = bits - 1
+    late_bits, columns = bits - 3, docs.columns
 
     def anchor_hashes(batches) -> Iterator[np.ndarray]:
         for batch in pieces(batches, text_col):
             words = _words(batch, text_col)
-            at, found = _anchors(words, size, period)
-            # Once per text: a passage that a text repeats by itself is no reason to suspect it.
-            text = np.searchsorted(words.at, at, "right") - 1
-            order = np.lexsort((found, text))
-            found, text = found[order], text[order]
-            keep = np.ones(len(found), bool)
-            keep[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-            yield found[keep]
+            yield _once(words, *_anchors(words, size, period))
 
     known = docs.where(F.col(id_col).isNotNull())
-    path = filters.build(known.select(text_col), anchor_hashes, "anchors", bits, probes, 2)
+    path = filters.build(known.select(text_col), anchor_hashes, "anchors", bits, probes, 2, (2,))
     block = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
     block_sql = "array<struct<a:bigint,b:bigint,first:int,last:int>>"
 
-    def suspects(batches):
-        twice = filters.load(path, bits, 2)[1]
+    def repeats(batches):
+        """Batches with their words and the blocks of windows that may be repeated."""
+        twice = filters.load(path, bits, 1)
         for batch in pieces(batches, text_col):
             words = _words(batch, text_col)
             at, found = _anchors(words, size, period)
-            first, last = _blocks(words, size, _held(words, size, period, at[filters.seen(twice, found, bits, probes)]))
+            yield batch, words, *_blocks(words, size, _held(words, size, period, at[filters.seen(twice, found, bits, probes)]))
+
+    def finished(batch: pa.RecordBatch, words: Words, keep: np.ndarray) -> pa.RecordBatch:
+        """The batch with the words that stay."""
+        raw = words.raw.tobytes()
+        start, end = words.start[keep].tolist(), words.end[keep].tolist()
+        stays = np.append(0, np.cumsum(keep))[words.at].tolist()
+        texts = [b" ".join([raw[x:y] for x, y in zip(start[i:j], end[i:j])]).decode() for i, j in zip(stays, stays[1:])]
+        n_words = np.diff(words.at)
+        kept = batch.select(columns)
+        return with_columns(kept, {text_col: pa.array(texts, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_words - np.diff(stays), pa.int64())})
+
+    def clean(batches):
+        """Rows without such blocks, or without id: nothing goes."""
+        for batch, words, first, _ in repeats(batches):
+            whole = finished(batch, words, np.ones(len(words.hash), bool))
+            none = pa.array(_by_text(words, first) == 0)
+            yield whole.filter(pc.or_(none, pc.is_null(batch.column(id_col))))
+
+    def suspects(batches):
+        for batch, words, first, last in repeats(batches):
             a, b = sequences(words, first, last + size)
             begin = words.at[np.searchsorted(words.at, first, "right") - 1]
             rows = pa.StructArray.from_arrays(
@@ -119,50 +144,50 @@ def remove_repeated_passages(
     suspected = (F.size("_blocks") > 0) & F.col(id_col).isNotNull()
     held = written(marked.where(suspected).withColumn("_row", F.monotonically_increasing_id()), "blocks")
 
-    # Blocks: all windows of a block start in the first document that has the block.
-    blocks = held.select("_row", F.col(id_col).alias("_id"), F.explode("_blocks").alias("_b")).select("_row", "_id", "_b.*")
-    first = blocks.groupBy("a", "b").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
-    settled = (
-        blocks.join(first, ["a", "b"]).where("_id > _first")
-        .groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("_settled"))
-    )
-    staged = written(held.join(settled, "_row", "left"), "settled")
-
-    # Windows of the blocks that are left: each is the first of its kind, so these stand for all others.
-    def open_windows(words: Words, batch: pa.RecordBatch) -> np.ndarray:
+    # All windows of a block start in the first document that has the block, which stands for the others.
+    # A Bloom filter of (block, first id) tells the rows: what it does not hold is settled, and a false hit
+    # is only compared window by window as well.
+    blocks = held.select(F.col(id_col).alias("_id"), F.explode("_blocks").alias("_b")).select("_id", "_b.a", "_b.b")
+    first = blocks.groupBy("a", "b").agg(F.min("_id").alias("_id")).select("a", "b", F.xxhash64("_id").alias("_key"))
+
+    def owner(a: pa.Array, b: pa.Array, key: np.ndarray) -> np.ndarray:
+        a, b = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in (a, b))
+        return mix(a + U(3) * b) ^ mix(key.view(np.uint64))
+
+    def owners(batches) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield owner(batch.column("a"), batch.column("b"), batch.column("_key").to_numpy())
+
+    owner_path = filters.build(first, owners, "owners", late_bits, probes, 2, (1,))
+    keyed = held.withColumn("_key", F.xxhash64(id_col))
+
+    def windows_of(words: Words, batch: pa.RecordBatch, first_ones: bool) -> np.ndarray:
+        """Windows in the blocks that the rows are first to have, or in all others."""
+        blocks = batch.column("_blocks")
+        sizes = blocks.value_lengths().to_numpy(zero_copy_only=False)
+        flat, begin = blocks.flatten(), np.repeat(words.at[:-1], sizes)
+        key = np.repeat(batch.column("_key").to_numpy(), sizes)
+        mine = filters.seen(filters.load(owner_path, late_bits, 0), owner(flat.field("a"), flat.field("b"), key), late_bits, probes)
+        keep = mine if first_ones else ~mine
         change = np.zeros(len(words.hash) + 1, np.int64)
-        for column, sign in (("_blocks", 1), ("_settled", -1)):
-            rows = batch.column(column)
-            if rows.null_count == len(rows):
-                continue
-            begin = np.repeat(words.at[:-1], rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            flat = rows.flatten()
-            np.add.at(change, begin + flat.field("first").to_numpy(), sign)
-            np.add.at(change, begin + flat.field("last").to_numpy() + 1, -sign)
+        np.add.at(change, (begin + flat.field("first").to_numpy())[keep], 1)
+        np.add.at(change, (begin + flat.field("last").to_numpy())[keep] + 1, -1)
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
     def window_hashes(batches) -> Iterator[np.ndarray]:
         for batch in pieces(batches, text_col):
             words = _words(batch, text_col)
-            at = open_windows(words, batch)
-            a, _ = sequences(words, at, at + size)
-            text = np.searchsorted(words.at, at, "right") - 1
-            order = np.lexsort((a, text))
-            a, text = a[order], text[order]
-            keep = np.ones(len(a), bool)
-            keep[1:] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
-            yield a[keep]
+            at = windows_of(words, batch, True)
+            yield _once(words, at, sequences(words, at, at + size)[0])
 
-    narrow = staged.select(text_col, "_blocks", "_settled")
-    late_path = filters.build(narrow, window_hashes, "windows", late_bits, probes, 2)
+    late_path = filters.build(keyed.select(text_col, "_blocks", "_key"), window_hashes, "windows", late_bits, probes, 2, (2,))
 
     def late_windows(batches):
-        twice = filters.load(late_path, late_bits, 2)[1]
         for batch in pieces(batches, text_col):
             words = _words(batch, text_col)
-            at = open_windows(words, batch)
+            at = windows_of(words, batch, True)
             a, b = sequences(words, at, at + size)
-            keep = filters.seen(twice, a, late_bits, probes)
+            keep = filters.seen(filters.load(late_path, late_bits, 1), a, late_bits, probes)
             at, a, b = at[keep], a[keep], b[keep]
             text = np.searchsorted(words.at, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -171,40 +196,21 @@ def remove_repeated_passages(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    windows = staged.select("_row", F.col(id_col).alias("_id"), text_col, "_blocks", "_settled").mapInArrow(late_windows, f"_row long, _id {kind}, a long, b long, at int")
+    windows = keyed.select("_row", F.col(id_col).alias("_id"), text_col, "_blocks", "_key").mapInArrow(late_windows, f"_row long, _id {kind}, a long, b long, at int")
     windows = written(windows, "windows")
-    first = windows.groupBy("a", "b").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
-    late = windows.join(first, ["a", "b"]).where("_id > _first").groupBy("_row").agg(F.collect_list("at").alias("_late"))
-    rest = staged.join(late, "_row", "left").drop("_row", "_blocks")
-    plain = marked.where(~F.coalesce(suspected, F.lit(False))).drop("_blocks").withColumns(
-        {"_settled": F.lit(None).cast("array<struct<first:int,last:int>>"), "_late": F.lit(None).cast("array<int>")}
-    )
-
+    first = written(windows.groupBy("a", "b").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last"), "first")
+    late = windows.join(first.hint("merge"), ["a", "b"]).where("_id > _first").groupBy("_row").agg(F.collect_list("at").alias("_late"))
+    rest = keyed.join(late, "_row", "left").drop("_row")
     def rewrite(batches):
         for batch in pieces(batches, text_col):
             words = _words(batch, text_col)
-            raw = words.raw.tobytes()
-            texts, removed = [], np.zeros(words.texts, np.int64)
-            settled, late = batch.column("_settled"), batch.column("_late")
-            for i in range(words.texts):
-                lo, hi = words.at[i], words.at[i + 1]
-                keep = None
-                if settled[i].is_valid or late[i].is_valid:
-                    change = np.zeros(hi - lo + 1, np.int64)
-                    for span in settled[i].as_py() or ():
-                        change[span["first"]] += 1
-                        change[min(span["last"] + size, hi - lo)] -= 1
-                    for at in late[i].as_py() or ():
-                        change[at] += 1
-                        change[at + size] -= 1
-                    keep = np.cumsum(change[:-1]) == 0
-                    removed[i] = len(keep) - keep.sum()
-                start, end = words.start[lo:hi], words.end[lo:hi]
-                if keep is not None:
-                    start, end = start[keep], end[keep]
-                texts.append(b" ".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())]).decode())
-            kept = batch.select([c for c in batch.schema.names if c not in ("_settled", "_late")])
-            yield with_columns(kept, {text_col: pa.array(texts, pa.string()), "n_words": pa.array(np.diff(words.at), pa.int64()), "n_removed": pa.array(removed)})
+            change = np.zeros(len(words.hash) + 1, np.int64)
+            late = batch.column("_late")
+            at = np.repeat(words.at[:-1], late.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + late.flatten().to_numpy()
+            at = np.concatenate([at, windows_of(words, batch, False)])
+            np.add.at(change, at, 1)
+            np.add.at(change, at + size, -1)
+            yield finished(batch, words, np.cumsum(change[:-1]) == 0)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return plain.unionByName(rest).mapInArrow(rewrite, schema)
+    return docs.mapInArrow(clean, schema).unionByName(rest.mapInArrow(rewrite, schema))

@@ -33,7 +33,7 @@ def recall(got, want):
 def test_recall(spark, clusters):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (clusters, 32))
-    rows = [(k, centres[k % clusters] * 0.8 + rng.normal(0, 1, 32)) for k in range(6000)]
+    rows = [(k, centres[k % clusters] * 0.8 + rng.normal(0, 1, 32)) for k in range(4000)]
     want, got = brute(rows, 20), run(spark, rows, 20, part_rows=400)
     assert set(got) == set(want) and recall(got, want) >= 0.9
     for i in got:

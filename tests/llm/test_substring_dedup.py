@@ -16,7 +16,7 @@ def test_covers(period):
     assert {(a - b) % period for a in COVERS[period] for b in COVERS[period]} == set(range(period))
 
 
-@pytest.mark.parametrize("seed,period", [(1, 21), (2, 31), (3, 7)])
+@pytest.mark.parametrize("seed,period", [(1, 21), (2, 31)])
 def test_same_as_brute_force(spark, seed, period):
     rows = texts.corpus(120, seed=seed) + texts.ODD
     expected = brute.substring_dedup(rows)

@@ -56,10 +56,10 @@ def test_one_large_family(spark):
     """More near copies in a bucket than a block holds, and exact copies: every link counts once."""
     rng = np.random.default_rng(4)
     base = rng.normal(0, 1, 64)
-    rows = [(k, base + rng.normal(0, 0.02, 64), 1) for k in range(2300)] + [(5000 + k, base, 1) for k in range(700)] + [(9000 + k, base, 2) for k in range(3)]
+    rows = [(k, base + rng.normal(0, 0.02, 64), 1) for k in range(1250)] + [(5000 + k, base, 1) for k in range(250)] + [(9000 + k, base, 2) for k in range(3)]
     got = run(spark, rows)
-    assert {r.n_links for r in got[:3000]} == {2999} and {r.component_id for r in got[:3000]} == {0}
-    assert [(r.n_links, r.component_id, r.kept) for r in got[3000:]] == [(2, 9000, True), (2, 9000, False), (2, 9000, False)]
+    assert {r.n_links for r in got[:1500]} == {1499} and {r.component_id for r in got[:1500]} == {0}
+    assert [(r.n_links, r.component_id, r.kept) for r in got[1500:]] == [(2, 9000, True), (2, 9000, False), (2, 9000, False)]
 
 
 def test_odd_rows(spark):
