@@ -23,6 +23,8 @@ from factloom.llm.kernels import U, mix
 SLICES = 64
 #: Slot numbers a task gathers before it emits them.
 GATHER = 1 << 21
+#: Bytes of filters a Python worker keeps; one filter may be larger.
+KEPT_BYTES = 1 << 26
 _loaded: dict[str, np.ndarray] = {}
 
 
@@ -95,9 +97,10 @@ def load(path: str, bits: int, plane: int | None = None) -> np.ndarray:
     Kept by the Python worker for its next tasks."""
     key = f"{path} {plane}"
     if key not in _loaded:
-        while len(_loaded) > 1:
+        width = (1 << bits) // (2 if plane is None else 8)
+        while _loaded and sum(map(len, _loaded.values())) + width > KEPT_BYTES:
             del _loaded[next(iter(_loaded))]
-        out = np.zeros((1 << bits) // (2 if plane is None else 8), np.uint8)
+        out = np.zeros(width, np.uint8)
         part = len(out) // SLICES
         where, folder = fs.FileSystem.from_uri(path)
         files = [f.path for f in where.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-")]

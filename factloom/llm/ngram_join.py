@@ -50,7 +50,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bits: int = 27
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bits: int = 28
 ) -> DataFrame:
     """(id_col, n_shingles, component_id) of each row of ``docs``.
 
@@ -59,7 +59,8 @@ def jaccard_components(
     100 * intersection >= ``percent`` * union; component_id is the smallest id reachable by links.
     Null and empty texts have the empty set, n_shingles 0, and link with nothing.  Rows with a null id
     link like others but never name a component; alone, theirs is null.  Rows may repeat; other columns
-    are ignored.  ``bits``: log2 of the counters of the filter; fewer only mean more candidates.
+    are ignored.  ``bits``: log2 of the counters of the filter, best some more than there are shingles; fewer only mean
+    more candidates.
     """
     configure(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -76,47 +77,54 @@ def jaccard_components(
         none = np.zeros(0, np.int64)
         for batch in pieces(batches, "_text"):
             sets = shingle_sets(Words(*text_bytes(batch.column("_text")), lower=True), size)
-            a, b, mean, heads, kept = [], [], [], [], []
+            a, b, mean, heads, places, kept = [], [], [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
-                    a.append(None), b.append(None), mean.append(0.0), heads.append(none), kept.append(none)
+                    a.append(None), b.append(None), mean.append(0.0)
+                    heads.append(none), places.append(none), kept.append(none)
                     continue
                 ends = np.array([0]), np.array([n])
                 for base, out in ((1, a), (2, b)):
                     out.append(int(spans(prefix(s, _BASES[base]), *ends, _BASES[base]).view(np.int64)[0]))
-                often = filters.counts(seen, s, bits)
+                often = filters.levels(seen, s, bits)
                 head = np.lexsort((s, often))[: n - (percent * n + 99) // 100 + 1]
-                head = s[head[often[head] > 1]]
+                place = np.flatnonzero(often[head] > 1)
+                head = s[head[place]]
                 mean.append(float(often.mean()))
                 heads.append(head.view(np.int64))
+                places.append(place)
                 kept.append(s.view(np.int64) if len(head) else none)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mean, pa.float64()),
-                    ragged(np.concatenate(heads), [len(x) for x in heads], pa.int64()), ragged(np.concatenate(kept), [len(x) for x in kept], pa.int64()),
+                    *(ragged(np.concatenate(some), [len(x) for x in some], pa.int64()) for some in (heads, places, kept)),
                 ],
-                names=["_id", "_n", "_a", "_b", "_mean", "_head", "_set"],
+                names=["_id", "_n", "_a", "_b", "_mean", "_head", "_place", "_set"],
             )
 
-    schema = f"_id {kind}, _n long, _a long, _b long, _mean double, _head array<long>, _set array<long>"
+    schema = f"_id {kind}, _n long, _a long, _b long, _mean double, _head array<long>, _place array<long>, _set array<long>"
     rows = written(narrow.mapInArrow(sets_of, schema).withColumn("_row", F.monotonically_increasing_id()), "sets")
 
     # One class per distinct set, known by its first row.
     classes = written(rows.where("_n > 0").groupBy("_a", "_b").agg(F.min("_id").alias("_least"), F.min("_row").alias("_row")), "classes")
     sets = rows.where("size(_head) > 0").join(classes.select("_row"), "_row")
-    region = sets.select(F.explode("_head").alias("h"), F.col("_row").alias("x"), F.col("_n").alias("n"), F.col("_mean").alias("mean"))
+    region = sets.select(F.explode(F.arrays_zip("_head", "_place")).alias("r"), F.col("_row").alias("x"), F.col("_n").alias("n"), F.col("_mean").alias("mean"))
+    region = region.select(F.col("r._head").alias("h"), "x", "n", F.col("r._place").alias("i"), "mean")
     pivots = (
-        region.groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("mean", (-F.col("x")).alias("nx"), "n")).alias("top")).where("k > 1")
-        .select("h", (-F.col("top.nx")).alias("p"), F.col("top.n").alias("np"), F.col("top.mean").alias("pm"))
+        region.groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("mean", (-F.col("x")).alias("nx"), "n", "i")).alias("top")).where("k > 1")
+        .select("h", (-F.col("top.nx")).alias("p"), F.col("top.n").alias("np"), F.col("top.i").alias("ip"), F.col("top.mean").alias("pm"))
     )
     regions = written(region.drop("mean").join(written(pivots, "pivots"), "h"), "regions")
 
-    def alike(m: str, n: str):
-        return (100 * F.col(m) >= percent * F.col(n)) & (100 * F.col(n) >= percent * F.col(m))
+    def able(n: str, i: str, m: str, j: str):
+        """Whether sets of sizes n and m whose first common n-gram has places i and j can be alike enough;
+        at later common ones less is left, so a pair that can be linked passes at its first."""
+        rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+        return (100 + percent) * rest >= percent * (F.col(n) + F.col(m))
 
     # Each document to the pivot that it shares most regions with.
-    near = regions.where((F.col("x") != F.col("p")) & alike("n", "np")).groupBy("x", "p").agg(F.count("*").alias("c"), F.max("pm").alias("pm"))
+    near = regions.where((F.col("x") != F.col("p")) & able("n", "i", "np", "ip")).groupBy("x", "p").agg(F.count("*").alias("c"), F.max("pm").alias("pm"))
     cell = near.groupBy("x").agg(F.max(F.struct("c", "pm", "p")).alias("t")).select("x", "t.p")
     tested = written(_verified(cell, sets, percent), "tested")
 
@@ -131,16 +139,16 @@ def jaccard_components(
     left = divided(tested)
     left = written(left, "left")
     part_of_pivot = written(left.where("x = p").select("h", F.col("part").alias("pp")), "pivots")
-    pairs = left.join(part_of_pivot, "h").where((F.col("part") != F.col("pp")) & alike("n", "np")).select("x", "p").distinct()
+    pairs = left.join(part_of_pivot, "h").where((F.col("part") != F.col("pp")) & able("n", "i", "np", "ip")).select("x", "p").distinct()
     pairs = pairs.join(tested, ["x", "p"], "left_anti")
     tested = written(tested.union(_verified(pairs, sets, percent)), "tested")
 
     # What is still apart, document by document inside the windows of the region's pivot.
     left = divided(tested).join(tested.select("x", "p", "d"), ["x", "p"], "left")
-    left = written(left.select("h", "x", "n", "part", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")).alias("d")), "apart")
-    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("part").alias("part_y"), F.col("d").alias("d_y"))
+    left = written(left.select("h", "x", "n", "i", "part", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")).alias("d")), "apart")
+    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("part_y"), F.col("d").alias("d_y"))
     window = F.coalesce(F.abs(F.col("d") - F.col("d_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    pairs = left.join(other, "h").where((F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & alike("n", "m") & window)
+    pairs = left.join(other, "h").where((F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & able("n", "i", "m", "j") & window)
     pairs = pairs.select("x", F.col("y").alias("p")).distinct()
     for done in (tested.select("x", "p"), tested.select(F.col("p").alias("x"), F.col("x").alias("p"))):
         pairs = pairs.join(done, ["x", "p"], "left_anti")
