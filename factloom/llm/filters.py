@@ -23,7 +23,7 @@ from factloom.llm.kernels import U, mix
 SLICES = 64
 #: Slot numbers a task gathers before it emits them.
 GATHER = 1 << 21
-#: Bytes of filters a Python worker keeps; one filter may be larger.
+#: Bytes of filters a Python worker keeps.
 KEPT_BYTES = 1 << 26
 _loaded: dict[str, np.ndarray] = {}
 
@@ -94,7 +94,7 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[n
 
 def load(path: str, bits: int, plane: int | None = None) -> np.ndarray:
     """A filter's slots, packed: of two Bloom filters the one of ``plane``, else the levels.
-    Kept by the Python worker for its next tasks."""
+    A small one is kept by the Python worker for its next tasks, a large one goes with the task."""
     key = f"{path} {plane}"
     if key not in _loaded:
         width = (1 << bits) // (2 if plane is None else 8)
@@ -108,6 +108,8 @@ def load(path: str, bits: int, plane: int | None = None) -> np.ndarray:
             for batch in ds.dataset(files, filesystem=where, format="parquet").to_batches(batch_size=1):
                 for k, found in zip(*(batch.column(c).to_pylist() for c in ("slice", "planes"))):
                     out[k * part : (k + 1) * part] = np.frombuffer(found[-1 if plane else 0], np.uint8)
+        if width > KEPT_BYTES:
+            return out
         _loaded[key] = out
     return _loaded[key]
 

@@ -60,7 +60,8 @@ def drop_repeated_lines(
 
     path = filters.build(docs.select(text_col), hashes, "lines", bits, probes, 2)
 
-    def suspects(batches):
+    def repeats(batches):
+        """Batches with the suspected keys of each text."""
         twice = filters.load(path, bits, 1)
         for batch in batches:
             found = []
@@ -68,8 +69,20 @@ def drop_repeated_lines(
                 keys = sorted(keys_of(text.as_py(), shortest))
                 hit = filters.seen(twice, _hash(keys), bits, probes) if keys else []
                 found.append([k.decode() for k, h in zip(keys, hit) if h])
+            yield batch, found
+
+    def suspects(batches):
+        for batch, found in repeats(batches):
             yield with_columns(batch, {"_suspects": pa.array(found, pa.list_(pa.string()))})
 
+    def clean(batches):
+        """Rows without a suspected line: nothing goes."""
+        for batch, found in repeats(batches):
+            batch = batch.filter(pa.array([not f for f in found], pa.bool_()))
+            texts = [x or "" for x in batch.column(text_col).to_pylist()]
+            new = {"n_lines": pa.array([t.count("\n") + 1 for t in texts], pa.int64()), "n_dropped": pa.array([0] * len(texts), pa.int64())}
+            yield with_columns(batch, {text_col: pa.array(texts, pa.string()), **new})
+
     marked = docs.mapInArrow(suspects, T.StructType([*docs.schema.fields, T.StructField("_suspects", T.ArrayType(T.StringType()))]))
     held = written(marked.where("size(_suspects) > 0").withColumn("_row", F.monotonically_increasing_id()), "suspects")
     lines = held.select("_row", F.col(id_col).alias("_id"), F.explode("_suspects").alias("_key"))
@@ -79,7 +92,6 @@ def drop_repeated_lines(
         lines.join(firsts, "_key").where(F.col("_id").isNull() | (F.col("_id") < F.col("_keeper")))
         .groupBy("_row").agg(F.collect_list("_key").alias("_gone"))
     )
-    plain = marked.where("size(_suspects) = 0").withColumn("_gone", F.lit(None).cast("array<string>")).drop("_suspects")
     rest = held.drop("_suspects").join(gone, "_row", "left").drop("_row")
 
     def rewrite(batches):
@@ -100,4 +112,4 @@ def drop_repeated_lines(
             yield with_columns(kept, {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return plain.unionByName(rest).mapInArrow(rewrite, schema)
+    return docs.mapInArrow(clean, schema).unionByName(rest.mapInArrow(rewrite, schema))
