@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from factloom.llm.common import configure, pieces, ragged, with_columns
 
 #: Words a Python worker keeps, and the longest one kept.
-KEPT = 200_000
+KEPT = 50_000
 KEPT_CHARS = 64
 #: White space and the word pattern of the vocabulary: fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
 
     def run(batches):
         v = load(vocabulary)
-        for batch in pieces(batches, text_col, 1 << 23):
+        for batch in pieces(batches, text_col, 1 << 21):
             split = [v.words_of(x) if x else [] for x in batch.column(text_col).to_pylist()]
             new = sorted(set().union(*split).difference(v.known))
             ids, at, both = v.ids, v.at, v.known
