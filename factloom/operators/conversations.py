@@ -2,7 +2,7 @@
 
 A conversation becomes one row.  Its turns are gathered in pieces of 256 turns first, so the
 ordered arrays that are sorted stay short; the row itself is as long as the conversation.
-Turns without a conversation id belong to none and are left out.
+Turns without a conversation id are one group, like any other key, where ``null_group`` is set.
 """
 
 from __future__ import annotations
@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 TURNS_PER_PIECE = 256
 
 
-def to_messages(turns: DataFrame) -> DataFrame:
-    """(conv_id, messages) from (conv_id, turn, role, text), in the order of the turns."""
+def to_messages(turns: DataFrame, null_group: bool = False) -> DataFrame:
+    """(conv_id, messages) from (conv_id, turn, role, text), in the order of the turns.
+
+    ``null_group``: turns without conversation id make a row too; all queries set it.
+    """
     piece = F.floor(F.col("turn") / TURNS_PER_PIECE).alias("piece")
-    pieces = turns.filter(F.col("conv_id").isNotNull()).groupBy("conv_id", piece).agg(
+    turns = turns if null_group else turns.filter(F.col("conv_id").isNotNull())
+    pieces = turns.groupBy("conv_id", piece).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
     )
     whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("piece", "t"))).alias("p"))
@@ -26,17 +30,17 @@ def to_messages(turns: DataFrame) -> DataFrame:
 
 
 def prompt_turns(turns: DataFrame) -> DataFrame:
-    """Turns before the conversation's first assistant turn.  The first assistant turn is a
-    partial-aggregated minimum, so no conversation is gathered."""
+    """Turns before the conversation's first assistant turn, without conversation id too.  The first
+    assistant turn is a partial-aggregated minimum, so no conversation is gathered."""
     first = (
         turns.filter(F.col("role") == "assistant")
-        .groupBy("conv_id")
+        .groupBy(F.col("conv_id").alias("answered"))
         .agg(F.min("turn").alias("first_answer"))
     )
     return (
-        turns.join(first, "conv_id", "left")
+        turns.join(first, F.col("conv_id").eqNullSafe(F.col("answered")), "left")
         .filter(F.col("first_answer").isNull() | (F.col("turn") < F.col("first_answer")))
-        .drop("first_answer")
+        .drop("answered", "first_answer")
     )
 
 

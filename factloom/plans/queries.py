@@ -44,7 +44,7 @@ def joined(values: Column) -> Column:
 def scan_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Chat lines, written and read with a stated schema."""
     path = f"{shared_dir(configure(spark))}/chat-{uuid.uuid4().hex}"
-    conversations.to_messages(table(spark, sf, "conversations")).write.json(path)
+    conversations.to_messages(table(spark, sf, "conversations"), null_group=True).write.json(path)
     lines, m = jsonl.scan_chat(spark, path, f"conv_id bigint, {jsonl.CHAT_SCHEMA}"), F.col("messages")
     return lines.select(
         "conv_id", F.size(m).cast("bigint").alias("n_messages"),
@@ -342,14 +342,14 @@ QUERIES["format_pairs"] = QUERIES.pop("format_preference_pairs")
 
 @query
 def render_chat(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations.to_messages(table(configure(spark), sf, "conversations"))
+    rows = conversations.to_messages(table(configure(spark), sf, "conversations"), null_group=True)
     return rows.select("conv_id", chat.render_messages(F.col("messages")).alias("rendered"))
 
 
 @query
 def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
     """The part of every conversation before its first answer, with a generation header."""
-    rows = conversations.to_messages(conversations.prompt_turns(table(configure(spark), sf, "conversations")))
+    rows = conversations.to_messages(conversations.prompt_turns(table(configure(spark), sf, "conversations")), null_group=True)
     return rows.select(
         "conv_id", F.size("messages").cast("bigint").alias("n_messages"),
         chat.render_messages(F.col("messages"), generation_header=True).alias("prompt"),
@@ -396,7 +396,7 @@ def budgeted(df: DataFrame) -> DataFrame:
 
 @query
 def length_budget(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations.to_messages(table(configure(spark), sf, "conversations"))
+    rows = conversations.to_messages(table(configure(spark), sf, "conversations"), null_group=True)
     """Rendered conversations in pieces that fit the budget."""
     text = staged(rows, {"text": chat.render_messages(F.col("messages"))}).select("conv_id", "text")
     return budgeted(chat.length_budget(text, "text", TOKEN_BUDGET))
