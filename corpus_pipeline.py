@@ -33,10 +33,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id; rows without id stay."""
-    parts = jaccard_components(docs.select("doc_id", "text"))
-    extra = written(parts.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """Of every group of near copies one row: the one with the smallest id, one without id where all are."""
+    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    parts = written(jaccard_components(keyed.select("_key", "text"), "_key").select("_key", "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
+    first = parts.join(keyed.select("_key", "doc_id"), "_key").groupBy("component_id").agg(F.min(order).alias("k")).select("k._key")
+    extra = written(parts.select("_key").join(first, "_key", "left_anti"), "copies")
+    return keyed.join(extra, "_key", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
