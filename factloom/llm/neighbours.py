@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import configure, with_columns, written
-from factloom.llm.vectors import common_size, matrix, usable
+from factloom.llm.vectors import matrix, usable
 
 #: Rows and queries that meet in one task at a time.
 ROWS, QUERIES = 4096, 1024
@@ -119,77 +119,95 @@ def nearest(
 
     Candidates are all rows but those with the query's id; if there are fewer than ``top``, all are returned.
     Equal scores: smaller id first.  Scores are inner products of the given vectors in double precision.
-    Rows without id, or whose vector is null, zero, of another size than most, or holds null or non-finite
-    components, take no part.  A query id that repeats is searched once, with its smallest vector.
+    Rows without id, or whose vector is null, zero, or holds null or non-finite components, take no part.
+    A query searches the rows whose vectors are as long as its own.  A query id that repeats is searched once,
+    with its smallest vector.
 
-    The partitioning is learned on ``sample`` rows (smallest hash of the id first); all rows are indexed.
+    Rows of a length are partitioned if there are more than ``part_rows``, and else searched whole.  A
+    partitioning is learned on ``sample`` rows (smallest hash of the id first); all rows are indexed.
     ``recall``: share of the sample's neighbours that the visited parts have to hold.
     """
     spark = rows.sparkSession
     configure(spark)
     valid = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = valid(rows)
-    size = common_size(rows, "v")
-    rows = rows.where(F.size("v") == size)
-    asked = valid(queries).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
+    rows = valid(rows).withColumn("d", F.size("v"))
+    asked = valid(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     out = f"query_id long, rank int, {id_col} long, score double"
-    n = rows.count()
-    if not n:
+    lengths = {r.d: r["count"] for r in rows.groupBy("d").count().collect()}
+    if not lengths:
         return spark.createDataFrame([], out)
-    parts = int(np.clip(-(-n // part_rows), 1, most_parts))
-
-    def learn(batches):
-        x = matrix(pa.Table.from_batches(list(batches)).column("v"), size)
-        k = max(1, min(parts, len(x) // 8))
-        graph = neighbour_graph(x, top) if len(x) > 1 else np.zeros((1, 0), np.int64)
-        part = balanced_parts(x, graph[:, :10], k)
-        model = fit_classifier(x, part, k)
-        depth = visits(model, x, graph, recall) if graph.size else 1
-        yield pa.RecordBatch.from_arrays([pa.array([[w.tobytes() for w in model]], pa.list_(pa.binary())), pa.array([k]), pa.array([depth])], names=["w", "k", "depth"])
-
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v")
-    fitted = chosen.repartition(1).mapInArrow(learn, "w array<binary>, k long, depth long").first()
-    k, depth = fitted.k, fitted.depth
-    model = [np.frombuffer(w).reshape(s) for w, s in zip(fitted.w, ((size, -1), (-1,), (-1, k), (k,)))]
+
+    def learned(size: int, n: int) -> tuple[list[np.ndarray], int, int]:
+        """Classifier, number of parts and parts to visit, for the rows of one length."""
+        parts = int(np.clip(-(-n // part_rows), 1, most_parts))
+
+        def learn(batches):
+            x = matrix(pa.Table.from_batches(list(batches)).column("v"), size)
+            k = max(1, min(parts, len(x) // 8))
+            graph = neighbour_graph(x, top) if len(x) > 1 else np.zeros((1, 0), np.int64)
+            part = balanced_parts(x, graph[:, :10], k)
+            model = fit_classifier(x, part, k)
+            depth = visits(model, x, graph, recall) if graph.size else 1
+            yield pa.RecordBatch.from_arrays([pa.array([[w.tobytes() for w in model]], pa.list_(pa.binary())), pa.array([k]), pa.array([depth])], names=["w", "k", "depth"])
+
+        chosen = rows.where(F.col("d") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("v")
+        fitted = chosen.repartition(1).mapInArrow(learn, "w array<binary>, k long, depth long").first()
+        k = fitted.k
+        return [np.frombuffer(w).reshape(s) for w, s in zip(fitted.w, ((size, -1), (-1,), (-1, k), (k,)))], k, fitted.depth
+
+    models = {size: learned(size, n) for size, n in sorted(lengths.items()) if n > part_rows}
+
+    def by_length(batch):
+        """(length, places, matrix) of the vectors in a batch that have a model."""
+        d = batch.column("d").to_numpy()
+        for size in np.unique(d).tolist():
+            if size in models:
+                at = np.flatnonzero(d == size)
+                yield size, at, matrix(batch.column("v").take(pa.array(at)), size)
 
     def assign(batches):
         for batch in batches:
-            best = probabilities(model, matrix(batch.column("v"), size)).argmax(1) if batch.num_rows else np.zeros(0)
+            best = np.zeros(batch.num_rows, np.int32)
+            for size, at, x in by_length(batch):
+                best[at] = probabilities(models[size][0], x).argmax(1)
             yield with_columns(batch, {"part": pa.array(best, pa.int32())})
 
-    kind = rows.schema["v"].dataType.simpleString()
-    placed = written(rows.mapInArrow(assign, f"id long, v {kind}, part int"), "parts")
-    held = np.zeros(k, np.int64)
-    for r in placed.groupBy("part").count().collect():  # at most ``most_parts`` rows
-        held[r.part] = r["count"]
+    kind = valid(queries).schema["v"].dataType.simpleString()
+    placed = written(rows.mapInArrow(assign, f"id long, v {rows.schema['v'].dataType.simpleString()}, d int, part int"), "parts")
+    held = {size: np.zeros(k, np.int64) for size, (_, k, _) in models.items()}
+    for r in placed.groupBy("d", "part").count().collect():  # at most ``most_parts`` rows a length
+        if r.d in held:
+            held[r.d][r.part] = r["count"]
 
     def route(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.argsort(-probabilities(model, matrix(batch.column("v"), size)), axis=1, kind="stable")
-            enough = (np.cumsum(held[order], axis=1) < top + 1).sum(1) + 1
-            use = np.minimum(np.maximum(enough, depth), k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), pa.array([o[:u].astype(np.int32) for o, u in zip(order, use)], pa.list_(pa.int32()))], names=["id", "v", "parts"]
-            )
-
-    routed = asked.mapInArrow(route, f"id long, v {kind}, parts array<int>").select("id", "v", F.explode("parts").alias("part"))
+            parts = [np.zeros(1, np.int32)] * batch.num_rows
+            for size, at, x in by_length(batch):
+                model, k, depth = models[size]
+                order = np.argsort(-probabilities(model, x), axis=1, kind="stable")
+                enough = (np.cumsum(held[size][order], axis=1) < top + 1).sum(1) + 1
+                use = np.minimum(np.maximum(enough, depth), k)
+                for i, o, u in zip(at.tolist(), order, use):
+                    parts[i] = o[:u].astype(np.int32)
+            yield with_columns(batch, {"parts": pa.array(parts, pa.list_(pa.int32()))})
+
+    routed = asked.mapInArrow(route, f"id long, v {kind}, d int, parts array<int>").select("id", "v", "d", F.explode("parts").alias("part"))
     routed = written(routed, "routed")
     # Parts of any size: rows and queries of a part meet in blocks.
-    many = placed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nr")).join(
-        routed.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part"
+    many = placed.groupBy("d", "part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nr")).join(
+        routed.groupBy("d", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), ["d", "part"]
     )
     many = F.broadcast(many)
     numbered = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    left = placed.join(many, "part").select("part", block("nr").alias("rb"), numbered("nq").alias("qb"), "id", "v")
-    right = routed.join(many, "part").select("part", block("nq").alias("qb"), numbered("nr").alias("rb"), "id", "v")
+    left = placed.join(many, ["d", "part"]).select("d", "part", block("nr").alias("rb"), numbered("nq").alias("qb"), "id", "v")
+    right = routed.join(many, ["d", "part"]).select("d", "part", block("nq").alias("qb"), numbered("nr").alias("rb"), "id", "v")
 
     def compare(rows_of: pa.Table, queries_of: pa.Table) -> pa.Table:
         ids, asks = rows_of.column("id").to_numpy(), queries_of.column("id").to_numpy()
         found = []
         if len(ids) and len(asks):
+            size = rows_of.column("d")[0].as_py()
             x, q = matrix(rows_of.column("v"), size), matrix(queries_of.column("v"), size)
             by_id = np.argsort(ids, kind="stable")
             ids, x = ids[by_id], x[by_id]
@@ -206,7 +224,7 @@ def nearest(
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    keys = ["part", "rb", "qb"]
+    keys = ["d", "part", "rb", "qb"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, id long, score double")
     return best_of(pairs, top).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

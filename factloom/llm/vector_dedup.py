@@ -4,6 +4,7 @@ A unit vector is turned by three rounds of random signs and a fast Hadamard tran
 component and its sign are one hash.  ``hashes`` of them make a bucket number, in each of ``tables``
 tables, and a vector goes to its ``probes`` nearest buckets in each.  All pairs that share a bucket are
 compared exactly, once, in the first bucket they share; only counts and a star of links leave the task.
+Vectors of each length are hashed and compared among themselves.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import configure, ragged, written
 from factloom.llm.components import components
-from factloom.llm.vectors import common_size, matrix, usable
+from factloom.llm.vectors import matrix, usable
 
 #: Vectors of a bucket that are compared in one task at a time.
 BLOCK = 1024
@@ -35,7 +37,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def bucket_numbers(unit: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 11) -> np.ndarray:
     """Ascending bucket numbers of each unit vector, ``tables`` * ``probes`` of them."""
-    width = 1 << max(1, (unit.shape[1] - 1).bit_length())
+    width = 1 << max(2, (unit.shape[1] - 1).bit_length())  # probing takes three components
     x = np.zeros((len(unit), width))
     x[:, : unit.shape[1]] = unit
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -101,19 +103,17 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) of each row.
 
-    Rows link when their labels are equal and not null and the cosine, in double precision, is at least
-    ``least``.  n_links counts other rows linked directly, component_id is the smallest id reachable, kept
-    says whether that is the row's own.  Vectors that are null, zero, hold null or non-finite components or
-    are of another size than most link with nothing, like rows without label or id.  Rows may repeat: equal
-    vectors with equal labels are compared once and counted as often as they occur.
+    Rows link when their labels are equal and not null, their vectors equally long and the cosine, in double
+    precision, is at least ``least``.  n_links counts other rows linked directly, component_id is the smallest id reachable, kept
+    says whether that is the row's own.  Vectors that are null, zero or hold null or non-finite components
+    link with nothing, like rows without label or id.  Rows may repeat: equal vectors with equal labels are
+    compared once and counted as often as they occur.
     Pairs that share no bucket are missed; recall is measured in the tests.
     """
     spark = rows.sparkSession
     configure(spark)
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     good = usable(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull()
-    size = common_size(given.where(good), "v")
-    good = good & (F.size("v") == size)
     keys = {"k1": F.when(good, F.xxhash64("label", "v")), "k2": F.when(good, F.xxhash64(F.lit(7), "v", "label"))}
     keyed = given.withColumns(keys)
     kind, label_kind = given.schema["v"].dataType.simpleString(), given.schema["label"].dataType.simpleString()
@@ -123,33 +123,36 @@ def near_duplicates(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("v"), size)
-            # Scaled by the largest component first: squares of tiny or huge ones stay in range.
-            x /= np.abs(x).max(1, keepdims=True)
-            numbers = bucket_numbers(x / np.sqrt((x**2).sum(1, keepdims=True)), tables, hashes, probes)
-            codes = ragged(numbers.ravel(), np.full(len(numbers), numbers.shape[1]), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, "codes"])
+            lengths = pc.list_value_length(batch.column("v")).to_numpy()
+            for size in np.unique(lengths).tolist():
+                some = batch.filter(pa.array(lengths == size))
+                x = matrix(some.column("v"), size)
+                # Scaled by the largest component first: squares of tiny or huge ones stay in range.
+                x /= np.abs(x).max(1, keepdims=True)
+                numbers = bucket_numbers(x / np.sqrt((x**2).sum(1, keepdims=True)), tables, hashes, probes)
+                codes = ragged(numbers.ravel(), np.full(len(numbers), numbers.shape[1]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*some.columns, codes], names=[*some.schema.names, "codes"])
 
     schema = f"k1 long, k2 long, least long, m long, label {label_kind}, v {kind}, codes array<long>"
     classes = written(classes.mapInArrow(place, schema).withColumn("c", F.monotonically_increasing_id()), "vectors")
-    members = classes.select("label", "c", F.explode("codes").alias("code"))
-    full = written(members.groupBy("label", "code").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = classes.select("label", F.size("v").alias("d"), "c", F.explode("codes").alias("code"))
+    full = written(members.groupBy("label", "d", "code").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
     split = (
-        members.join(full, ["label", "code"]).withColumn("nb", blocks).withColumn("own", own)
+        members.join(full, ["label", "d", "code"]).withColumn("nb", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("c", F.xxhash64("label", "code", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "code", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("c", "d", F.xxhash64("label", "d", "code", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "code", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    meeting = split.join(classes.select("c", "label", "m", "v", "codes"), "c").repartition("g").sortWithinPartitions("g", "label", "code", "lo", "hi")
+    meeting = split.join(classes.select("c", "label", "m", "v", "codes"), "c").repartition("g").sortWithinPartitions("g", "label", "d", "code", "lo", "hi")
 
     def compare(batches):
         found: list[tuple] = []
         n = 0
-        for group in _groups(batches, ["g", "label", "code", "lo", "hi"]):
+        for group in _groups(batches, ["g", "label", "d", "code", "lo", "hi"]):
             if group.num_rows < 2:
                 continue
-            x = matrix(group.column("v"), size)
+            x = matrix(group.column("v"), group.column("d")[0].as_py())
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x**2).sum(1, keepdims=True))
             near = x @ x.T >= least - 1e-12
