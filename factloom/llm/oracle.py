@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of these operators that SQL can express.
 
-The rest are tested against brute force: a fitted classifier (1), approximate search (2, 10), tokenizers (3, 8).
+The rest are tested against brute force: fitted models (1, 12), approximate search (2, 10), tokenizers (3, 8).
 """
 
 from __future__ import annotations
@@ -77,4 +77,47 @@ SELECT doc_id, size, total AS source_size, target,
   (size * (coalesce(sure, 0) + CASE WHEN chosen OR (place = 1 AND NOT chosen AND part > 0 AND abs(size - gap) < gap) THEN 1 ELSE 0 END))::BIGINT AS taken FROM z
 """
 
-ORACLE = {"op4_warc": OP4, "op5_line_dedup": OP5, "op6_substring_dedup": OP6, "op7_ngram_join": OP7, "op9_mixing": OP9}
+def _rounds(n: int) -> str:
+    """Assignments a0, a1, ... of vectors v to centroids c0, c1, ..., as common table expressions."""
+    near = """a{i} AS (SELECT id, v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'k': k}}) AS near
+  FROM v CROSS JOIN c{i} GROUP BY id, v)"""
+    move = """m{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT near['k'] AS k, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY k, j),
+c{j} AS (SELECT k, coalesce(list((s - ((s % n) + n) % n) // n ORDER BY j) FILTER (WHERE n IS NOT NULL), any_value(c))::BIGINT[] AS c FROM c{i} LEFT JOIN m{i} USING (k) GROUP BY k)"""
+    parts = [part.format(i=i, j=i + 1) for i in range(n) for part in (near, move)]
+    return ",\n".join([*parts, near.format(i=n)])
+
+
+OP11 = f"""
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || id::VARCHAR)) - 1 AS k, v AS c FROM v QUALIFY k < 16),
+{_rounds(3)}
+SELECT id AS vec_id, k::INT AS cluster, near['d'] AS distance, sum(near['d']) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,
+  sum(near['d']) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON k = near['k']
+"""
+
+OP13 = rf"""
+WITH tab AS (SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(w) AS word FROM d),
+y AS (SELECT unnest(w) AS word FROM e),
+b AS (SELECT word, xor(list_reduce(range(strlen(word)),
+    lambda c, i: xor(c >> 8, t[xor(c & 255, ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT word FROM x UNION SELECT word FROM y), tab),
+s AS (SELECT b, count(*) AS s FROM x JOIN b USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM y JOIN b USING (word) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM x) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM y) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (b)),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS total, count(*) AS n FROM x JOIN b USING (word) JOIN g USING (b) GROUP BY doc_id),
+f AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+o AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM o)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r
+"""
+
+ORACLE = {"op4_warc": OP4, "op5_line_dedup": OP5, "op6_substring_dedup": OP6, "op7_ngram_join": OP7, "op9_mixing": OP9, "op11_centroids": OP11, "op13_resampling": OP13}

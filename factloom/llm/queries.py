@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factloom.llm import bpe, quality_classifier as quality, warc
+from factloom.llm import bpe, language_id, quality_classifier as quality, warc
+from factloom.llm.centroids import cluster
 from factloom.llm.common import read
 from factloom.llm.line_dedup import drop_repeated_lines
 from factloom.llm.mixing import mix
 from factloom.llm.neighbours import nearest
 from factloom.llm.ngram_join import jaccard_components
+from factloom.llm.resampling import resample
 from factloom.llm.substring_dedup import remove_repeated_passages
 from factloom.llm.token_counts import count_tokens
 from factloom.llm.vector_dedup import near_duplicates
@@ -88,10 +90,26 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of the vectors of 64 components in steps of 1/64, three rounds."""
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    trees = language_id.train(docs.where("NOT held_out"))
+    return language_id.predict(docs.drop("lang"), trees).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of at least 20 words, drawn to look like the benchmark's texts."""
+    return resample(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_neighbours, op3_token_counts, op4_warc, op5_line_dedup, op6_substring_dedup, op7_ngram_join,
-        op8_bpe, op9_mixing, op10_vector_dedup,
+        op8_bpe, op9_mixing, op10_vector_dedup, op11_centroids, op12_language_id, op13_resampling,
     )
 }
