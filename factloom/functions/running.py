@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from factloom.session import written
 
 
 def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -28,3 +30,27 @@ def sums_before(buckets: DataFrame, keys: list[str], bucket: str, value: str, wi
     return join_keys(blocked.withColumn("_inside", inside), starts, [*keys, "_block"]).select(
         *keys, bucket, (F.col("_start") + F.col("_inside")).alias("before")
     )
+
+
+def totals_before(rows: DataFrame, group: str, order: list[Column], value: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``before``, the sum of ``value`` over earlier rows of the same ``group`` in the given order, and
+    ``total``, the sum over all of them (``total_<c>`` for further columns); rows without group are a group.
+
+    The rows are dealt by range of (group, order) and written, so a group of any size lies in as many ranges as it
+    fills; a range sums up what it holds of a group, the sums of earlier ranges give each range its start, and only
+    rows of one range and group are ordered together.  Rows that agree in group and order may come in any order.
+    """
+    kept = rows.withColumns({"_group": F.struct(group), "_row": F.monotonically_increasing_id()})
+    keys = [F.col("_group").asc(), *order, F.col("_row").asc()]
+    dealt = kept.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
+    kept = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    kept = kept.withColumn("_range", F.shiftright("_at", 33))
+    of_group = W.partitionBy("_group")
+    sums = kept.groupBy("_range", "_group").agg(*[F.sum(c).alias(f"_sum_{c}") for c in (value, *also)])
+    start = F.sum(f"_sum_{value}").over(of_group.orderBy("_range")) - F.col(f"_sum_{value}")
+    totals = [F.sum(f"_sum_{c}").over(of_group).alias("total" if c == value else f"total_{c}") for c in (value, *also)]
+    starts = sums.select("_range", "_group", start.alias("_start"), *totals)
+    inside = F.sum(value).over(W.partitionBy("_range", "_group").orderBy("_at")) - F.col(value)
+    # A struct is never null, so null groups meet, and both sides are dealt by the same keys.
+    placed = kept.withColumn("_inside", inside).join(starts, ["_range", "_group"])
+    return placed.withColumn("before", F.col("_start") + F.col("_inside")).drop("_range", "_group", "_at", "_inside", "_start")

@@ -7,13 +7,13 @@ no draw is computed twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom import vocabulary as V
-from factloom.functions.draws import between, pick, with_draws
+from factloom.functions.draws import between, digest, lane, pick, with_draws, word
 from factloom.functions.plan import built_once, staged
 from factloom.session import spread
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES, Choice, Scenario, Whole
@@ -106,6 +106,13 @@ def _slot_column(draw_name: str) -> Column:
     return chain
 
 
+def with_scenario(base: DataFrame, key: str, seed: int = SEED, scenario: str | None = None) -> DataFrame:
+    """(example_id, scenario) alone: one of the draws of ``with_slots``, nothing dealt out, nothing staged."""
+    ids = base.select(F.col(key).alias("example_id"))
+    draw = lane(word(digest(seed, "gen0", "example_id"), 0), DRAWS.index("scenario"))
+    return ids.withColumn("scenario", F.lit(scenario) if scenario else pick(text_array(SCENARIO_NAMES), draw))
+
+
 def with_slots(
     base: DataFrame,
     key: str,
@@ -311,11 +318,20 @@ RECORD_FIELDS = (
 )
 
 
-def examples_from_slots(slots: DataFrame, currency_mode: str = "own") -> DataFrame:
-    """(example_id, scenario, text, record fields, record_json, num_entities)."""
-    made = {"text": rendered_text(), **record_columns(currency_mode)}
-    df = staged(slots, made).select("example_id", "scenario", *made)
-    return staged(df, {"record_json": F.to_json(F.struct(*RECORD_FIELDS)), "num_entities": F.size("entities")})
+COLUMNS = ("scenario", "text", *RECORD_FIELDS, "record_json", "num_entities")
+
+
+def examples_from_slots(slots: DataFrame, currency_mode: str = "own", columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """(example_id, scenario, text, record fields, record_json, num_entities), or the ``columns`` that are asked for:
+    what is not asked for is not built."""
+    needed = set(columns)
+    needed |= set(RECORD_FIELDS) if "record_json" in needed else set()
+    needed |= {"entities"} if "num_entities" in needed else set()
+    made = {n: c for n, c in {"text": rendered_text(), **record_columns(currency_mode)}.items() if n in needed}
+    df = (staged(slots, made) if made else slots).select("example_id", "scenario", *made)
+    last = {"record_json": lambda: F.to_json(F.struct(*RECORD_FIELDS)), "num_entities": lambda: F.size("entities")}
+    last = {n: build() for n, build in last.items() if n in needed}
+    return (staged(df, last) if last else df).select("example_id", *columns)
 
 
 def generate_examples(
@@ -326,14 +342,17 @@ def generate_examples(
     scenario: str | None = None,
     currency_mode: str = "own",
     on_missing: str = "unknown",
+    columns: Sequence[str] = COLUMNS,
 ) -> DataFrame:
-    """One example per row of ``base``.  With ``on_missing='reject'`` rows lacking a required
+    """One example per row of ``base``, with all ``columns`` or some.  With ``on_missing='reject'`` rows lacking a required
     slot yield no example (see ``missing_slots`` for the rejects); otherwise the slot is
     filled with ``Unknown``."""
+    if not given and set(columns) <= {"scenario"}:
+        return with_scenario(base, key, seed, scenario).select("example_id", *columns)
     slots = with_slots(base, key, seed, given, scenario)
     if given:
         if on_missing == "reject":
             slots = missing_slots(slots).filter(F.size("missing") == 0).drop("missing")
         else:
             slots = fill_unknown(slots)
-    return examples_from_slots(slots, currency_mode)
+    return examples_from_slots(slots, currency_mode, columns)

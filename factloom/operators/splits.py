@@ -6,47 +6,47 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from factloom.functions.draws import DRAW_BITS, digest, lane, word
 
-LEVEL_CHARS, LEVELS = 4, 3  # 16**4 = 65,536 buckets at each of three levels of the hash
+PREFIX_CHARS = 4  # 16**4 = 65,536 buckets of the hash
+NO_KEY = "!" * 32  # sorts before every digest
 
 
 def shuffle_key(key: str, seed: int, stage: str = "split") -> Column:
     return digest(seed, stage, key)
 
 
+def split_place(df: DataFrame, key: str, seed: int, share: float, stage: str) -> DataFrame:
+    """One row with one struct (h, k): the last place of the seeded shuffle that is still on the train side; no value
+    where all rows are.
+
+    The rows are counted per bucket of the hash, 65,536 counts however long the table is; only the keys of the one
+    bucket in which the share is reached, each once with its number of copies, are put in order.  So the keys are
+    read twice and nothing but counts is shuffled.
+    """
+    h = F.coalesce(shuffle_key(key, seed, stage), F.lit(NO_KEY))
+    hashed = df.select(F.col(key).alias("k"), h.alias("h"), F.substring(h, 1, PREFIX_CHARS).alias("b"))
+    upto = F.sum("n").over(W.orderBy("b"))
+    wanted = F.floor(F.sum("n").over(W.partitionBy()) * F.lit(share))
+    counts = hashed.groupBy("b").agg(F.count("*").alias("n")).select("b", "n", upto.alias("upto"), wanted.alias("wanted"))
+    # The bucket in which the running total passes the share; beyond the last one, all are train.
+    cut = counts.filter((F.col("upto") - F.col("n") <= F.col("wanted")) & (F.col("wanted") < F.col("upto")))
+    cut = cut.select("b", (F.col("wanted") - F.col("upto") + F.col("n")).alias("left"))
+    inside = hashed.join(F.broadcast(cut), "b").groupBy("b", "left", "h", "k").agg(F.count("*").alias("n"))
+    fits = F.sum("n").over(W.orderBy("h", "k")) <= F.col("left")
+    place = F.struct("h", "k")
+    # The bucket's own name sorts before all its digests.
+    before = F.struct(F.col("b").alias("h"), F.lit(None).cast(df.schema[key].dataType).alias("k"))
+    return inside.select(F.when(fits, place).otherwise(before).alias("place")).agg(F.max("place").alias("place"))
+
+
 def exact_split(df: DataFrame, key: str, seed: int, share: float = 0.9, stage: str = "split") -> DataFrame:
-    """Add ``split``: the first ``floor(share * n)`` rows of a seeded shuffle are ``train``, the
-    rest ``eval``.
+    """Add ``split``: the first ``floor(share * n)`` rows of a seeded shuffle are ``train``, the rest ``eval``.
 
-    The place of the cut is found from the key column alone: rows per bucket of the hash (65,536 counts,
-    combined before the shuffle), then the same inside the bucket of the cut, three levels deep; only the
-    keys of the last bucket, one in 2^48, are put in order.  The rows themselves are compared with that
-    place and never shuffled.  Copies of a key stay on one side.
+    The rows themselves are compared with the place of the cut and never shuffled; the source is in the plan three times,
+    twice with its key alone.  Copies of a key stay on one side, so with copies the train side may be short; rows without key come first.
     """
-    h = F.coalesce(shuffle_key(key, seed, stage), F.lit(""))
-    hashed = df.select(F.col(key).alias("k"), h.alias("h"))
-    left = hashed.agg(F.floor(F.count("*") * F.lit(share)).alias("left")).scalar()
-    prefix = F.lit("")
-    for level in range(LEVELS):
-        inside = hashed.filter(F.substring("h", 1, LEVEL_CHARS * level) == prefix) if level else hashed
-        counts = inside.groupBy(F.substring("h", 1, LEVEL_CHARS * (level + 1)).alias("b")).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(W.orderBy("b"))
-        cut = counts.select("b", (upto - F.col("n")).alias("before"), upto.alias("upto"))
-        # The bucket in which the running total passes what is left; beyond the last one, all are train.
-        cut = cut.filter((F.col("before") <= left) & (left < F.col("upto")))
-        prefix, left = cut.select("b").scalar(), cut.select(left - F.col("before")).scalar()
-    chars = LEVEL_CHARS * LEVELS
-    last = (
-        hashed.filter(F.substring("h", 1, chars) == prefix)
-        .groupBy("h", "k").agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(W.orderBy("h", "k")))
-        .filter(F.col("upto") <= left)
-        .agg(F.max(F.struct("h", "k")).alias("last"))
-    )
-    place, bucket = F.struct(h.alias("h"), F.col(key).alias("k")), F.substring(h, 1, chars)
-    is_train = (
-        F.coalesce(bucket < prefix, F.lit(True))
-        | (F.coalesce(bucket == prefix, F.lit(False)) & F.coalesce(place <= last.scalar(), F.lit(False)))
-    )
+    h = F.coalesce(shuffle_key(key, seed, stage), F.lit(NO_KEY))
+    last = split_place(df, key, seed, share, stage).scalar()
+    is_train = F.coalesce(F.struct(h.alias("h"), F.col(key).alias("k")) <= last, F.lit(True))
     return df.withColumn("split", F.when(is_train, "train").otherwise("eval"))
 
 

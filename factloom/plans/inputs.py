@@ -21,9 +21,13 @@ def slots(spark: SparkSession, sf: str) -> DataFrame:
     return G.with_slots(table(configure(spark), sf, "orders"), "o_orderkey")
 
 
-def examples(spark: SparkSession, sf: str) -> DataFrame:
-    """One example per order."""
-    return G.generate_examples(table(configure(spark), sf, "orders"), "o_orderkey")
+def examples(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """One example per order, with the named columns (all by default; ``example_id`` always)."""
+    return G.generate_examples(table(configure(spark), sf, "orders"), "o_orderkey", columns=columns or G.COLUMNS)
+
+
+def example_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return examples(spark, sf, "scenario").select("example_id")
 
 
 def fact_slots(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,12 +58,12 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
-    return examples(spark, sf).select("example_id", "scenario", "record_json")
+    return examples(spark, sf, "scenario", "record_json")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the stand-in models.  The examples are generated once: what both sides need is written."""
-    ex = written(examples(spark, sf).select("example_id", "scenario", *G.RECORD_FIELDS, "record_json"), "examples")
+    ex = written(examples(spark, sf, "scenario", *G.RECORD_FIELDS, "record_json"), "examples")
     return score(predictions(ex), ex.select("example_id", "scenario", "record_json"))
 
 

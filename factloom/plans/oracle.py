@@ -13,6 +13,7 @@ from factloom.functions import chat
 from factloom.functions.schema_rules import RECORD_SCHEMA
 from factloom.operators import corrupt as C
 from factloom.operators import extraction as E
+from factloom.operators.conversations import TURNS_PER_PIECE
 from factloom.operators.generate import DRAWS, SEED
 from factloom.operators.requests import BOUNDS, PERCENTILES
 from factloom.operators.compare import LABELS
@@ -368,7 +369,14 @@ def q(name: str, sql: str) -> None:
 
 # --- sources ----------------------------------------------------------------------
 TURN = f"'{chat.OPEN}' || role || chr(10) || text || '{chat.CLOSE}' || chr(10)"
-q("scan_messages", "SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, chr(10) ORDER BY turn) AS contents FROM conversations GROUP BY ALL")
+def pieces_sql(source: str, columns: str) -> str:
+    """Conversations in pieces of some turns: (conv_id, piece, last, ...)."""
+    return f"""SELECT conv_id, place // {TURNS_PER_PIECE} AS piece, bool_or(place + 1 = of) AS last, {columns}
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS of FROM {source})
+GROUP BY conv_id, piece"""
+
+
+q("scan_messages", pieces_sql("conversations", "count(*) AS n_messages, string_agg(role, ',' ORDER BY place) AS roles, string_agg(text, chr(10) ORDER BY place) AS contents"))
 SPLIT = lambda stage, src="ex": f"(SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}:{stage}:' || example_id), example_id) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'eval' END AS split FROM {src})"
 q("scan_pairs_by_split", PAIRS + f" SELECT example_id, split, 2::BIGINT AS prompt_messages, chosen, rejected FROM {SPLIT('pair_split', 'pairs')}")
 q("merge_model_results", MM + " SELECT model, total_samples, valid_json_rate, entity_f1, CASE WHEN model NOT IN ('truncated', 'chatty') THEN section_recall END AS section_recall FROM mm")
@@ -429,9 +437,9 @@ PROMPT_TEXT = f"{turn('system', lit(chat.INSTRUCTION))} || {turn('user', USER)}
 q("format_pairs", PAIRS + f" SELECT example_id, {PROMPT_TEXT} AS prompt, chosen, rejected FROM pairs")
 
 # --- training input ---------------------------------------------------------------
-q("render_chat", f"SELECT conv_id, string_agg({TURN}, '' ORDER BY turn) AS rendered FROM conversations GROUP BY ALL")
-q("prompt_split", f"""SELECT conv_id, count(*) AS n_messages, string_agg({TURN}, '' ORDER BY turn) || {HEADER} AS prompt
-FROM (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS f FROM conversations) WHERE f IS NULL OR turn < f GROUP BY ALL""")
+q("render_chat", pieces_sql("conversations", f"string_agg({TURN}, '' ORDER BY place) AS rendered"))
+_asked = "(SELECT * FROM (SELECT *, min(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS f FROM conversations) WHERE f IS NULL OR turn < f)"
+q("prompt_split", pieces_sql(_asked, f"count(*) AS n_messages, string_agg({TURN}, '' ORDER BY place) || CASE WHEN bool_or(place + 1 = of) THEN {HEADER} ELSE '' END AS prompt"))
 q("prompt_of_examples", EX + f" SELECT example_id, 2::BIGINT AS n_messages, {PROMPT_TEXT} AS prompt FROM ex")
 q("ground_truth_pick", EX + " SELECT example_id, CASE WHEN example_id % 2 = 0 THEN 'stored' ELSE 'answer' END AS source, record_json AS truth FROM ex")
 q("cap_first_n", EX + f" SELECT example_id, scenario, row_number() OVER (ORDER BY example_id) <= {FIRST_N} AS among_first FROM ex")

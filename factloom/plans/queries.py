@@ -42,12 +42,12 @@ def joined(values: Column) -> Column:
 
 @query
 def scan_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat lines, written and read with a stated schema."""
+    """Chat lines, a piece of a conversation each, written and read with a stated schema."""
     path = f"{shared_dir(configure(spark))}/chat-{uuid.uuid4().hex}"
-    conversations.to_messages(table(spark, sf, "conversations"), null_group=True).write.json(path)
-    lines, m = jsonl.scan_chat(spark, path, f"conv_id bigint, {jsonl.CHAT_SCHEMA}"), F.col("messages")
+    conversations.message_pieces(table(spark, sf, "conversations")).write.json(path)
+    lines, m = jsonl.scan_chat(spark, path, f"conv_id bigint, piece bigint, last boolean, {jsonl.CHAT_SCHEMA}"), F.col("messages")
     return lines.select(
-        "conv_id", F.size(m).cast("bigint").alias("n_messages"),
+        "conv_id", "piece", "last", F.size(m).cast("bigint").alias("n_messages"),
         joined(F.transform(m, lambda x: x["role"])).alias("roles"),
         F.array_join(F.transform(m, lambda x: x["content"]), "\n").alias("contents"),
     )
@@ -119,7 +119,7 @@ def gen_multi_amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def render_text(spark: SparkSession, sf: str) -> DataFrame:
-    return I.examples(spark, sf).select("example_id", "scenario", "text")
+    return I.examples(spark, sf, "scenario", "text")
 
 
 def _record_query(scenario: str):
@@ -149,14 +149,14 @@ def record_first_currency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def entity_count_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return I.examples(spark, sf).groupBy("scenario", F.col("num_entities").cast("bigint").alias("num_entities")).agg(
+    return I.examples(spark, sf, "scenario", "num_entities").groupBy("scenario", F.col("num_entities").cast("bigint").alias("num_entities")).agg(
         F.count("*").alias("n")
     )
 
 
 @query
 def entity_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    e = I.examples(spark, sf).select(F.explode("entities").alias("e"))
+    e = I.examples(spark, sf, "entities").select(F.explode("entities").alias("e"))
     return e.groupBy(F.col("e.type").alias("type")).agg(
         F.countDistinct("e.name").alias("names"), F.count("*").alias("mentions")
     )
@@ -227,22 +227,22 @@ def sft_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_eval_split(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.exact_split(I.examples(spark, sf).select("example_id", "scenario"), "example_id", SEED)
+    return splits.exact_split(I.examples(spark, sf, "scenario"), "example_id", SEED)
 
 
 @query
 def threshold_split(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.threshold_split(I.examples(spark, sf).select("example_id", "scenario"), "example_id", SEED)
+    return splits.threshold_split(I.examples(spark, sf, "scenario"), "example_id", SEED)
 
 
 @query
 def scenario_composition(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.composition(I.examples(spark, sf))
+    return splits.composition(I.examples(spark, sf, "scenario"))
 
 
 @query
 def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
-    ids = I.examples(spark, sf).select("example_id")
+    ids = I.example_ids(spark, sf)
     sft = splits.exact_split(ids, "example_id", SEED).withColumn("dataset", F.lit("sft"))
     pairs = splits.exact_split(ids, "example_id", SEED, stage="pair_split").withColumn("dataset", F.lit("pairs"))
     return splits.summary(sft.unionByName(pairs))
@@ -277,7 +277,7 @@ def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pair_cap(spark: SparkSession, sf: str) -> DataFrame:
     """All rows, of either side, with the side each pair comes from."""
-    ids = splits.exact_split(I.examples(spark, sf).select("example_id"), "example_id", SEED)
+    ids = splits.exact_split(I.example_ids(spark, sf), "example_id", SEED)
     part = lambda s: ids.filter(F.col("split") == s).drop("split")
     return source_union(part("train"), part("eval"))
 
@@ -325,7 +325,7 @@ def degenerate_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pair_split(spark: SparkSession, sf: str) -> DataFrame:
-    ids = I.examples(spark, sf).select("example_id")
+    ids = I.example_ids(spark, sf)
     return splits.exact_split(ids, "example_id", SEED, stage="pair_split")
 
 
@@ -342,18 +342,17 @@ QUERIES["format_pairs"] = QUERIES.pop("format_preference_pairs")
 
 @query
 def render_chat(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations.to_messages(table(configure(spark), sf, "conversations"), null_group=True)
-    return rows.select("conv_id", chat.render_messages(F.col("messages")).alias("rendered"))
+    """Conversations as text, piece by piece."""
+    pieces = conversations.message_pieces(table(configure(spark), sf, "conversations"))
+    return conversations.rendered_pieces(pieces).select("conv_id", "piece", "last", "rendered")
 
 
 @query
 def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of every conversation before its first answer, with a generation header."""
-    rows = conversations.to_messages(conversations.prompt_turns(table(configure(spark), sf, "conversations")), null_group=True)
-    return rows.select(
-        "conv_id", F.size("messages").cast("bigint").alias("n_messages"),
-        chat.render_messages(F.col("messages"), generation_header=True).alias("prompt"),
-    )
+    """The part of every conversation before its first answer, piece by piece, with one generation header."""
+    turns = conversations.prompt_turns(table(configure(spark), sf, "conversations"))
+    pieces = conversations.rendered_pieces(conversations.message_pieces(turns), generation_header=True)
+    return pieces.withColumnRenamed("rendered", "prompt")
 
 
 @query
@@ -380,7 +379,7 @@ def ground_truth_pick(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cap_first_n(spark: SparkSession, sf: str) -> DataFrame:
     """All rows, and which of them are among the first."""
-    return splits.first_rows(I.examples(spark, sf).select("example_id", "scenario"), "example_id", FIRST_N)
+    return splits.first_rows(I.examples(spark, sf, "scenario"), "example_id", FIRST_N)
 
 
 @query
@@ -396,10 +395,8 @@ def budgeted(df: DataFrame) -> DataFrame:
 
 @query
 def length_budget(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conversations.to_messages(table(configure(spark), sf, "conversations"), null_group=True)
     """Rendered conversations in pieces that fit the budget."""
-    text = staged(rows, {"text": chat.render_messages(F.col("messages"))}).select("conv_id", "text")
-    return budgeted(chat.length_budget(text, "text", TOKEN_BUDGET))
+    return budgeted(conversations.budget_pieces(table(configure(spark), sf, "conversations"), TOKEN_BUDGET))
 
 
 @query
@@ -454,13 +451,13 @@ def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_rule_based(spark: SparkSession, sf: str) -> DataFrame:
-    return I.examples(spark, sf).select("example_id", extraction.rule_based_output(F.col("text")).alias("raw_output"))
+    return I.examples(spark, sf, "text").select("example_id", extraction.rule_based_output(F.col("text")).alias("raw_output"))
 
 
 @query
 def rule_based_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The pattern extractor scored like a model."""
-    ex = I.examples(spark, sf).select("example_id", "text")
+    ex = I.examples(spark, sf, "text")
     out = ex.select(F.lit("patterns").alias("model"), "example_id", extraction.rule_based_output(F.col("text")).alias("raw_output"))
     return compare.model_metrics(scoring.score(out, I.truth(spark, sf))).select(
         "model", "total_samples", "entity_recall", "entity_precision", "date_normalization_recall", "financial_recall"
