@@ -21,7 +21,7 @@ from factloom.plans.pseudo_models import MODELS
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES, Choice, Whole
 from factloom.operators.scoring import METRICS, NOTE_KEY
 from factloom.plans.queries import (
-    CORRUPT_QUERIES, FIRST_N, METRIC_QUERIES, RECORD_QUERIES, TOKEN_BUDGET,
+    CORRUPT_QUERIES, DELIVERIES, FIRST_N, METRIC_QUERIES, RECORD_QUERIES, TOKEN_BUDGET,
 )
 
 ORACLE: dict[str, str] = {}
@@ -590,5 +590,11 @@ _p = " UNION ALL ".join(f"SELECT service, {p}::DOUBLE AS p, elapsed_s FROM r WHE
 q("latency_percentiles", REQ + ", r AS (SELECT service, elapsed_s, row_number() OVER (PARTITION BY service ORDER BY elapsed_s) AS rn, count(*) OVER (PARTITION BY service) AS n FROM log) " + _p)
 q("failure_sample", REQ + " SELECT * FROM (SELECT service, row_number() OVER (PARTITION BY service ORDER BY start_ts, request_id) AS place, request_id, status_code::BIGINT AS status_code, elapsed_s, error FROM log WHERE status_code <> 200)")
 q("request_metrics_windowed", REQ + f" SELECT strftime(date_trunc('hour', start_ts), '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n, round(sum(elapsed_s), 3) AS total_s, {', '.join(f'count(*) FILTER (elapsed_s <= {b}) AS le_{i:02d}' for i, b in enumerate(BOUNDS))} FROM log GROUP BY ALL")
-q("stream_request_metrics", ORACLE["request_metrics_windowed"])
+DELIVERED = REQ + f""", e AS (SELECT *, epoch_us(start_ts) AS t, min(epoch_us(start_ts)) OVER () AS f, max(epoch_us(start_ts)) OVER () AS l FROM log),
+d AS (SELECT *, least({DELIVERIES - 1}, (t - f) * {DELIVERIES} // (l - f + 1) + CASE WHEN request_id % 10 = 0 THEN 1 ELSE 0 END) AS k,
+  epoch_us(date_trunc('hour', start_ts)) + 3600000000 AS over FROM e),
+m AS (SELECT k, lag(mark) OVER (ORDER BY k) AS mark FROM (SELECT k, max(max(t)) OVER (ORDER BY k) - 600000000 AS mark FROM d GROUP BY k)),
+s AS (SELECT d.*, coalesce(over <= mark, false) AS late FROM d JOIN m USING (k)),
+told AS (SELECT *, CASE WHEN late THEN 'late' WHEN over <= (max(t) FILTER (NOT late) OVER () // 1000 - 600000) * 1000 THEN 'closed' ELSE 'open' END AS state FROM s)"""
+q("stream_request_metrics", DELIVERED + f" SELECT state, strftime(date_trunc('hour', start_ts), '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n, round(sum(elapsed_s), 3) AS total_s, {', '.join(f'count(*) FILTER (elapsed_s <= {b}) AS le_{i:02d}' for i, b in enumerate(BOUNDS))} FROM told GROUP BY ALL")
 q("stream_intake_once", "SELECT event_id AS request_id, event_type AS kind FROM events")

@@ -127,6 +127,54 @@ def test_intake_takes_each_id_once(spark, folder):
     assert sorted(r.request_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
 
 
+def test_intake_costs_what_a_batch_brings(spark, folder):
+    """Three hundred batches with a restart in between: the last cost what the first did."""
+    from statistics import median
+
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    stream = lambda: spark.readStream.schema("request_id long, n long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    try:
+        took = []
+        for run in range(2):
+            ids = spark.range(0, 150, 1, 150).selectExpr(f"id + {100 * run} AS request_id", f"{run} AS n")
+            ids.write.mode("append").parquet(f"{folder}/in")
+            query = jobs.intake_once(stream(), f"{folder}/out", f"{folder}/state")
+            took.append(median(p.durationMs["addBatch"] for p in query.recentProgress if p.numInputRows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert sum(n.startswith("batch=") for n in os.listdir(f"{folder}/out")) >= 300
+    rows = spark.read.parquet(f"{folder}/out").collect()
+    assert sorted(r.request_id for r in rows) == list(range(250)) and sum(r.n for r in rows) == 100
+    assert took[1] < 2 * took[0], took
+
+
+def test_intake_with_bounded_state_and_rows_without_id(spark, folder):
+    for i, rows in enumerate([[(1, 0), (1, 1), (None, 2), (None, 3)], [(2, 60), (1, 61)], [(3, 600)], [(1, 601), (None, 602)]]):
+        spark.createDataFrame([(k, T0 + timedelta(minutes=m)) for k, m in rows], "request_id long, start_ts timestamp").coalesce(1).write.parquet(f"{folder}/in/{i}")
+        stream = spark.readStream.schema("request_id long, start_ts timestamp").option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        jobs.intake_once(stream, f"{folder}/out", f"{folder}/state", within="2 hours")
+    ids = [r.request_id for r in spark.read.parquet(f"{folder}/out").collect()]
+    assert sorted(ids, key=str) == [1, 1, 2, 3, None, None, None]  # the copy ten hours later counts as new
+
+
+def test_late_rows_are_kept_aside(spark, folder):
+    """Every row is in a closed window, in an open one or in the late table; a batch that runs again changes nothing."""
+    out = f"{folder}/out"
+    stream = lambda: spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    for i, minutes in enumerate([[1, 2, 61], [55, 125, 130], [3, 70, 131], [140, 185, None]]):
+        rows = [(10 * i + k, T0 + timedelta(minutes=m) if m is not None else None, 0.2, "ok") for k, m in enumerate(minutes)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        jobs.split_late(stream(), out, f"{folder}/split")
+        if i % 2:
+            jobs.closed_windows(spark, SCHEMA, out, f"{folder}/windows")
+    landed = lambda name: sorted(r.request_id for r in spark.read.schema(SCHEMA).parquet(f"{out}/{name}/batch=*").collect())
+    assert landed("late") == [20, 21, 32] and len(landed("rows")) == 9  # minute 55 was in time: its window ended at 60, the mark was 51
+    closed = {r.window_start: r.n for r in spark.read.parquet(f"{out}/windows").collect()}
+    assert closed == {"2024-01-01 00:00:00": 3, "2024-01-01 01:00:00": 1}
+    assert {n for n in os.listdir(f"{out}/marks")} == {f"batch={k}" for k in range(4)}
+
+
 def test_totals_of_a_stream(spark, folder):
     for i, minutes in enumerate([[1, 2, 61], [200, 3]]):
         spark.createDataFrame(events(minutes), SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{i}")
