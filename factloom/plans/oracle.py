@@ -381,6 +381,18 @@ SPLIT = lambda stage, src="ex": f"(SELECT *, CASE WHEN row_number() OVER (ORDER
 q("scan_pairs_by_split", PAIRS + f" SELECT example_id, split, 2::BIGINT AS prompt_messages, chosen, rejected FROM {SPLIT('pair_split', 'pairs')}")
 q("merge_model_results", MM + " SELECT model, total_samples, valid_json_rate, entity_f1, CASE WHEN model NOT IN ('truncated', 'chatty') THEN section_recall END AS section_recall FROM mm")
 
+def indented_sql(value: str) -> str:
+    """JSON text over several lines, two blanks a level."""
+    line = "repeat(' ', (length(l) - length(ltrim(l, ' '))) // 2) || ltrim(l, ' ')"
+    return f"array_to_string(list_transform(string_split(json_pretty({value}), chr(10)), lambda l: {line}), chr(10))"
+
+
+_shown = "'{\"text\":' || to_json(text) || ',\"scenario\":' || to_json(scenario) || ',\"entities\":' || json_extract(record_json, '$.entities') || ',\"dates\":' || json_extract(record_json, '$.dates') || '}'"
+q("readable_sample", EX + f" SELECT {indented_sql('j')} AS sample FROM (SELECT arg_min({_shown}, md5('{SEED}:split:' || example_id)) AS j FROM ex)")
+q("json_length_profile", EX + f""", len AS (SELECT scenario, unnest(['one_line', 'indented']) AS form, unnest([length(record_json), length({indented_sql('record_json')})]) AS chars FROM ex),
+num AS (SELECT *, row_number() OVER (PARTITION BY scenario, form ORDER BY chars) - 1 AS i, count(*) OVER (PARTITION BY scenario, form) AS n FROM len)
+SELECT scenario, form, n AS rows, round(avg(chars), 3) AS avg_chars, max(chars) FILTER (i = least(n - 1, floor(n * 0.5::DOUBLE)::BIGINT)) AS p50_chars FROM num GROUP BY scenario, form, n""")
+
 # --- generation -------------------------------------------------------------------
 q("gen_pick_excluding", EX + " SELECT example_id, scenario, org_a, org_b, org_c FROM slots")
 q("gen_amounts", EX + " SELECT example_id, amount_a_t AS text, amount_a_v AS value, left(amount_a_t, 1) AS currency FROM slots")

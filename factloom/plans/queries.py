@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from factloom.functions import chat
 from factloom.functions.draws import with_draws
+from factloom.functions.json_text import indented
 from factloom.functions.plan import staged
 from factloom.functions.recovery import recover, repair_truncated
+from factloom.functions.running import sums_before
 from factloom.functions.schema_rules import violations
 from factloom.operators import compare, conversations, extraction, requests, scoring, splits, trainlog
 from factloom.operators import generate as G
@@ -69,7 +71,7 @@ def scan_pairs_by_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def readable_sample(spark: SparkSession, sf: str) -> DataFrame:
-    df, order = I.examples(spark, sf), splits.shuffle_key("example_id", SEED)
+    df, order = I.examples(spark, sf, "text", "scenario", "entities", "dates"), splits.shuffle_key("example_id", SEED)
     return jsonl.readable_sample(df, "example_id", order, ["text", "scenario", "entities", "dates"])
 
 
@@ -78,8 +80,8 @@ def merge_model_results(spark: SparkSession, sf: str) -> DataFrame:
     """Results with different metric sets, saved per model, then loaded and merged into one table."""
     columns = "model string, total_samples bigint, valid_json_rate double, entity_f1 double, section_recall double"
     path = f"{shared_dir(configure(spark))}/results-{uuid.uuid4().hex}"
-    jsonl.save_results(compare.model_metrics(I.scores(spark, sf)).select(*[c.split()[0] for c in columns.split(", ")]), path)
-    of = lambda names: jsonl.load_results(spark, [f"{path}/_folder={m}" for m in names], columns)
+    saved = jsonl.save_results(compare.model_metrics(I.scores(spark, sf)).select(*[c.split()[0] for c in columns.split(", ")]), path)
+    of = lambda names: jsonl.load_results(spark, [f"{saved}/_folder={m}" for m in names], columns)
     return compare.merge_results([of(["clean", "fenced", "corrupted", "absent"]), of(["chatty", "truncated"]).drop("section_recall")])
 
 
@@ -250,17 +252,19 @@ def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def json_length_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Length of the one-line record against the indented one."""
-    pretty = F.to_json(F.struct(*G.RECORD_FIELDS), {"pretty": "true"})
-    df = I.examples(spark, sf).select(
-        "scenario", F.length("record_json").alias("one_line"), F.length(pretty).alias("indented")
-    )
-    stats = [
-        f(c).alias(f"{n}_{c}")
-        for c in ("one_line", "indented")
-        for n, f in (("avg", lambda x: F.round(F.avg(x), 3)), ("p50", lambda x: F.percentile_approx(x, 0.5)))
-    ]
-    return df.groupBy("scenario").agg(*stats)
+    """Length of the one-line record against the indented one: means and exact medians."""
+    ex = I.examples(spark, sf, "scenario", *G.RECORD_FIELDS, "record_json")
+    pretty = indented(F.struct(*G.RECORD_FIELDS), T.StructType([ex.schema[f] for f in G.RECORD_FIELDS]))
+    forms = {"one_line": F.col("record_json"), "indented": pretty}
+    pairs = F.array(*[F.struct(F.lit(n).alias("form"), F.length(c).alias("chars")) for n, c in forms.items()])
+    rows = ex.select("scenario", F.explode(pairs).alias("f")).select(F.concat_ws("/", "scenario", "f.form").alias("of"), "f.chars")
+    counts = written(rows.groupBy("of", "chars").agg(F.count("*").alias("n")), "lengths")
+    mean = counts.groupBy("of").agg(F.sum("n").alias("rows"), F.round(F.sum(F.col("chars") * F.col("n")) / F.sum("n"), 3).alias("avg_chars"))
+    half = sums_before(counts, ["of"], "chars", "n").join(counts, ["of", "chars"]).join(mean, "of")
+    at = F.least(F.col("rows") - 1, F.floor(F.col("rows") * 0.5))
+    half = half.filter((F.col("before") <= at) & (at < F.col("before") + F.col("n")))
+    scenario, form = F.split_part("of", F.lit("/"), F.lit(1)), F.split_part("of", F.lit("/"), F.lit(2))
+    return half.select(scenario.alias("scenario"), form.alias("form"), "rows", "avg_chars", F.col("chars").cast("long").alias("p50_chars"))
 
 
 # --- preference pairs -------------------------------------------------------------

@@ -254,6 +254,54 @@ def test_stage_is_built_once(spark, folder):
     assert len(built) == 3
 
 
+def test_stage_follows_its_inputs(spark, folder):
+    """Changed input rebuilds, unchanged input does not; what breaks off leaves the old result."""
+    built, path, source = [], f"{folder}/stage", f"{folder}/in"
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 AS id")
+
+    def broken():
+        return spark.read.parquet(source).selectExpr("assert_true(id < 0)", "id")
+
+    rows = lambda make=build, **more: sorted(r.id for r in jsonl.stage(spark, path, make, inputs=[source], **more).collect())
+    spark.range(3).write.parquet(source)
+    assert rows() == [0, 2, 4] and rows() == [0, 2, 4] and len(built) == 1
+    spark.range(3, 5).write.mode("append").parquet(source)
+    old = jsonl.current(spark, path)
+    with pytest.raises(Exception):
+        rows(broken)
+    assert jsonl.current(spark, path) == old and sorted(r.id for r in spark.read.parquet(old).collect()) == [0, 2, 4]
+    assert rows() == [0, 2, 4, 6, 8] and len(built) == 2
+    assert sorted(r.id for r in spark.read.parquet(old).collect()) == [0, 2, 4]  # kept for those who still read it
+    assert rows(force=True) == [0, 2, 4, 6, 8] and not os.path.exists(old)
+
+
+def test_results_are_replaced_as_a_whole(spark, folder):
+    schema, path = "model string, rate double", f"{folder}/results"
+    load = lambda: sorted((r.model, r.rate) for r in jsonl.load_results(spark, [f"{jsonl.current(spark, path)}/_folder={m}" for m in ("a", "b", "c")], schema).collect())
+    assert load() == []
+    jsonl.save_results(spark.createDataFrame([("a", 0.5), ("b", 0.25)], schema), path)
+    assert load() == [("a", 0.5), ("b", 0.25)]
+    with pytest.raises(Exception):
+        jsonl.save_results(spark.createDataFrame([("c", 1.0)], schema).withColumn("rate", F.raise_error(F.lit("gone")).cast("double")), path)
+    assert load() == [("a", 0.5), ("b", 0.25)]
+    jsonl.save_results(spark.createDataFrame([("c", 1.0)], schema), path)
+    assert load() == [("c", 1.0)]
+
+
+def test_indented_json(spark):
+    from factloom.functions.json_text import indented
+
+    kind = "s struct<a:string,n:bigint,x:double,b:boolean,v:array<struct<k:string,l:array<int>>>,e:struct<z:int>>"
+    rows = [(("q\"\\\n é", 1, 0.5, True, [("k", [1, None]), (None, []), None], (None,)),), ((None, None, None, None, None, None),), (None,)]
+    df = spark.createDataFrame(rows, kind)
+    got = [r.j for r in df.select(indented(F.col("s"), df.schema["s"].dataType).alias("j")).collect()]
+    value = {"a": "q\"\\\n é", "n": 1, "x": 0.5, "b": True, "v": [{"k": "k", "l": [1, None]}, {"l": []}, None], "e": {}}
+    assert got == [json.dumps(value, indent=2, ensure_ascii=False), "{}", None]
+
+
 def test_readable_sample(spark):
     ex = G.generate_examples(spark.range(5), "id")
     shown = jsonl.readable_sample(ex, "example_id", splits.shuffle_key("example_id", 1), ["text", "scenario"]).collect()
