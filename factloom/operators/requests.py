@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from factloom.functions.running import join_keys, sums_before
@@ -177,3 +180,55 @@ def request_metrics_windowed(log: DataFrame, width: str = "1 hour") -> DataFrame
             *[f"le_{i:02d}" for i in range(len(BOUNDS))],
         )
     )
+
+
+# --- percentiles over any time range -----------------------------------------------
+
+#: Values of one bucket of a rank sketch differ by this factor at most.
+STEP = 1.001
+_OFFSET = 1_000_000
+
+
+def value_bucket(value: Column) -> Column:
+    """Whole number that rises with the value: which power of ``STEP`` its size has, with its sign."""
+    power = F.floor(F.ln(F.abs(value)) / math.log(STEP)) + _OFFSET
+    return F.when(value > 0, power).when(value < 0, -power).otherwise(F.lit(0).cast("long"))
+
+
+def rank_sketch(log: DataFrame, width: str = "1 hour", by: str = "service", value: str = "elapsed_s") -> DataFrame:
+    """(by, window_start, bucket, n): how many values of each window fall in each bucket, to be stored.
+
+    Sketches of windows add up to those of any range of windows, and tell the exact rank of every bucket's ends.
+    Their size follows the spread of the values (2,300 buckets per factor of ten), not their number.  Rows without time or value are in
+    none; one without ``by`` is in the group of those.
+    """
+    some = log.filter(F.col(value).isNotNull() & F.col("start_ts").isNotNull())
+    rows = some.select(by, F.window("start_ts", width)["start"].alias("window_start"), value_bucket(F.col(value)).alias("bucket"))
+    return rows.groupBy(by, "window_start", "bucket").agg(F.count("*").alias("n"))
+
+
+def percentiles_over(
+    sketch: DataFrame, log: DataFrame, start_of: Callable[[Column], Column], by: str = "service", value: str = "elapsed_s",
+    percentiles: list[float] = PERCENTILES,
+) -> DataFrame:
+    """(by, start, p, value): exact percentiles, ``sorted[min(n - 1, floor(n * p))]``, of every group and period.
+
+    ``start_of`` gives the period of a time, null for times outside the wanted range; periods have to be made of whole windows of the
+    sketch.  The stored sketch tells in which bucket a percentile lies and its rank inside; only the values of these
+    buckets are taken from the log, counted per distinct value, and put in order.
+    """
+    counts = sketch.select(by, start_of(F.col("window_start")).alias("start"), "bucket", "n").filter("start IS NOT NULL")
+    counts = counts.groupBy(by, "start", "bucket").agg(F.sum("n").alias("n"))
+    group = W.partitionBy(by, "start")
+    placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
+    wanted = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
+    rank, before = F.least(F.col("all") - 1, F.floor(F.col("all") * F.col("p"))), F.col("upto") - F.col("n")
+    target = wanted.filter((before <= rank) & (rank < F.col("upto"))).select(F.struct(by, "start", "bucket").alias("k"), "p", (rank - before).alias("left"))
+
+    key = F.struct(by, start_of(F.col("start_ts").cast("timestamp")).alias("start"), value_bucket(F.col(value)).alias("bucket"))
+    values = log.filter(F.col(value).isNotNull()).select(key.alias("k"), F.col(value).alias("v"))
+    # A struct is never null, so groups without name meet.
+    inside = values.join(target, "k").groupBy("k", "p", "left", "v").agg(F.count("*").alias("n"))
+    inside = inside.withColumn("upto", F.sum("n").over(W.partitionBy("k", "p").orderBy("v")))
+    found = inside.filter((F.col("upto") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("upto")))
+    return found.select(F.col(f"k.{by}").alias(by), F.col("k.start").alias("start"), "p", F.col("v").alias(value))

@@ -8,6 +8,8 @@ precision is 0.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.plan import built_once, staged
@@ -189,6 +191,21 @@ def with_metrics(aligned: DataFrame) -> DataFrame:
     )
 
 
+def prediction_side(predictions: DataFrame, raw: str = "raw_output", key: str = "example_id", repair: bool = True) -> DataFrame:
+    """(model, key, valid_json, is_object, violations, structure, pred_skipped, preview, parts) of every prediction."""
+    shown = repair_truncated(predictions, raw, "preview") if repair else predictions.withColumn("preview", F.col(raw))
+    found = prediction_features(recover(shown, "preview"))
+    return found.select(
+        "model", key, "valid_json", "is_object", "violations", "structure", "pred_skipped", "preview",
+        *[f"pred_{p}" for p in PARTS],
+    )
+
+
+def score_features(predicted: DataFrame, truth: DataFrame, key: str = "example_id") -> DataFrame:
+    """Scores from both sides' features."""
+    return with_metrics(align(predicted, truth, key))
+
+
 def score(
     predictions: DataFrame,
     truth: DataFrame,
@@ -198,13 +215,24 @@ def score(
 ) -> DataFrame:
     """(model, key, valid_json, is_object, preview, metrics, parts) for every prediction; ``preview`` is the
     whole output as it was parsed, with ``repair`` the repaired one."""
-    shown = repair_truncated(predictions, raw, "preview") if repair else predictions.withColumn("preview", F.col(raw))
-    found = prediction_features(recover(shown, "preview"))
-    slim = found.select(
-        "model", key, "valid_json", "is_object", "violations", "structure", "pred_skipped", "preview",
-        *[f"pred_{p}" for p in PARTS],
-    )
-    return with_metrics(align(slim, truth_features(truth, key=key), key))
+    return score_features(prediction_side(predictions, raw, key, repair), truth_features(truth, key=key), key)
+
+
+def stored_features(features: DataFrame, path: str, buckets: int = 64, key: str = "example_id") -> DataFrame:
+    """Features of either side, written to ``path`` dealt and ordered by ``key``, and read from there.
+
+    Sides stored with the same number of ``buckets`` are joined bucket by bucket: scoring again, with other metrics, models or
+    rules, parses nothing and shuffles nothing.  Choose the number so that a bucket fits a task.  A model's predictions that
+    come later are stored for themselves.  The table needs no entry in a catalog: another session registers it
+    with ``CREATE TABLE ... USING parquet CLUSTERED BY ... LOCATION``.
+    """
+    spark, name = features.sparkSession, f"features_{uuid.uuid4().hex}"
+    dealt = features.repartition(buckets, key)  # one file a bucket
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def error_samples(scores: DataFrame) -> DataFrame:

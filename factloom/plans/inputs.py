@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.chat import chat_example
 from factloom.operators import generate as G
 from factloom.operators.corrupt import preference_pairs, with_corruption
 from factloom.plans.pseudo_models import predictions
-from factloom.operators.scoring import score
-from factloom.session import configure, written
+from factloom.operators.scoring import prediction_side, score, stored_features, truth_features
+from factloom.session import configure, shared_dir, written
 from factloom.sources.tables import facts, table
 
 GIVEN = {
@@ -67,6 +69,14 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return score(predictions(ex), ex.select("example_id", "scenario", "record_json"))
 
 
+def stored_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the stand-in models' outputs and of the truth, dealt alike, in tables of their own."""
+    ex = written(examples(spark, sf, "scenario", *G.RECORD_FIELDS, "record_json"), "examples")
+    sides = {"predicted": prediction_side(predictions(ex)), "truth": truth_features(ex.select("example_id", "scenario", "record_json"))}
+    base = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    return tuple(stored_features(side, f"{base}/{name}", buckets=8) for name, side in sides.items())
+
+
 def chat_rows(spark: SparkSession, sf: str) -> DataFrame:
     df = examples(spark, sf)
     return df.select("example_id", "scenario", "record_json", chat_example(F.col("text"), F.col("record_json")).alias("messages"))

@@ -534,6 +534,7 @@ q("error_samples", SC + " SELECT model, example_id, repaired AS preview, round(e
 # --- comparison -------------------------------------------------------------------
 q("valid_json_rate", RCR + " SELECT model, count(*) AS total_samples, count(*) FILTER (valid_json) AS valid_samples, round(avg(valid_json::INTEGER), 6) AS valid_json_rate FROM rec GROUP BY model")
 q("model_metrics", MM + " SELECT * FROM mm")
+q("model_metrics_rescored", MM + " SELECT * FROM mm")
 q("model_coverage", MM + f""" SELECT e.model, CASE WHEN error IS NOT NULL THEN 'failed' WHEN mm.model IS NULL THEN 'skipped' ELSE 'evaluated' END AS status, error,
  coalesce(total_samples, 0) AS total_samples, coalesce(error_samples, 0) AS error_samples, coalesce(valid_json_rate, 0.0) AS valid_json_rate, entity_f1
  FROM (SELECT unnest({arr([*MODELS, "absent"])}) AS model, NULL::VARCHAR AS error UNION ALL SELECT 'broken', 'OSError: no weights') e LEFT JOIN mm USING (model)""")
@@ -600,6 +601,9 @@ q("success_failure", REQ + " SELECT service, count(*) FILTER (status_code = 200)
 q("latency_summary", REQ + " SELECT service, round(min(elapsed_s), 6) AS min_s, round(avg(elapsed_s), 6) AS mean_s, round(max(elapsed_s), 6) AS max_s FROM log GROUP BY service")
 _p = " UNION ALL ".join(f"SELECT service, {p}::DOUBLE AS p, elapsed_s FROM r WHERE rn = least(n - 1, floor(n * {p}::DOUBLE)::BIGINT) + 1" for p in PERCENTILES)
 q("latency_percentiles", REQ + ", r AS (SELECT service, elapsed_s, row_number() OVER (PARTITION BY service ORDER BY elapsed_s) AS rn, count(*) OVER (PARTITION BY service) AS n FROM log) " + _p)
+_period = " UNION ALL ".join(f"SELECT service, '{u}' AS period, strftime(date_trunc('{u}', start_ts), '%Y-%m-%d %H:%M:%S') AS start, {p}::DOUBLE AS p, elapsed_s FROM {u}s WHERE rn = least(n - 1, floor(n * {p}::DOUBLE)::BIGINT) + 1" for u in ("hour", "day") for p in PERCENTILES)
+_ranked = ", ".join(f"{u}s AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY service, date_trunc('{u}', start_ts)) AS n FROM log WINDOW w AS (PARTITION BY service, date_trunc('{u}', start_ts) ORDER BY elapsed_s))" for u in ("hour", "day"))
+q("latency_percentiles_by_period", REQ + f", {_ranked} {_period}")
 q("failure_sample", REQ + " SELECT * FROM (SELECT service, row_number() OVER (PARTITION BY service ORDER BY start_ts, request_id) AS place, request_id, status_code::BIGINT AS status_code, elapsed_s, error FROM log WHERE status_code <> 200)")
 q("request_metrics_windowed", REQ + f" SELECT strftime(date_trunc('hour', start_ts), '%Y-%m-%d %H:%M:%S') AS window_start, status, count(*) AS n, round(sum(elapsed_s), 3) AS total_s, {', '.join(f'count(*) FILTER (elapsed_s <= {b}) AS le_{i:02d}' for i, b in enumerate(BOUNDS))} FROM log GROUP BY ALL")
 DELIVERED = REQ + f""", e AS (SELECT *, epoch_us(start_ts) AS t, min(epoch_us(start_ts)) OVER () AS f, max(epoch_us(start_ts)) OVER () AS l FROM log),

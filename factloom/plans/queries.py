@@ -685,6 +685,12 @@ def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return compare.model_metrics(I.scores(spark, sf))
 
 
+@query
+def model_metrics_rescored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from stored features: what a second scoring of the same outputs costs."""
+    return compare.model_metrics(scoring.score_features(*I.stored_sides(spark, sf)))
+
+
 @query
 def model_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Expected models against the evaluated ones; one was never run, one broke off."""
@@ -775,6 +781,18 @@ for _name, _f in {
     QUERIES[_name] = lambda spark, sf, f=_f: f(I.request_log(spark, sf))
 
 
+@query
+def latency_percentiles_by_period(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles of every hour and of every day, from one stored table of hourly sketches."""
+    log = I.request_log(spark, sf)
+    sketch, out = written(requests.rank_sketch(log), "ranks"), None
+    for period in ("hour", "day"):
+        part = requests.percentiles_over(sketch, log, lambda t, unit=period: F.date_trunc(unit, t))
+        part = part.withColumns({"period": F.lit(period), "start": F.date_format("start", "yyyy-MM-dd HH:mm:ss")})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def inflight_requests(spark: SparkSession, sf: str) -> DataFrame:
     df = requests.inflight_requests(I.request_log(spark, sf))

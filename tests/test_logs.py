@@ -137,3 +137,39 @@ def test_levels(spark):
     assert got == {i: max(0, min(7, round((1 - i / 49) * 7))) for i in range(50)}
     flat = {r.level for r in trainlog.levels(log, "mean_token_accuracy", lower_is_better=False).collect()}
     assert flat == {7}
+
+
+def test_percentiles_of_any_range_from_one_sketch(spark):
+    """Groups without name, equal, negative, zero and missing values; hours, days and a range of three hours."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    data = [("a" if i % 3 else None, T0 + timedelta(minutes=r.randrange(60 * 40)), r.choice([0.0, 2.0, -1.5, r.random(), r.random() * 1e-9, r.random() * 1e12])) for i in range(4000)]
+    data += [("a", None, 1.0), ("a", T0, None), ("c", T0, 7.0)]
+    log = spark.createDataFrame(data, "service string, start_ts timestamp, elapsed_s double").repartition(6)
+    sketch = requests.rank_sketch(log)
+    assert sketch.agg(F.sum("n")).first()[0] == 4001
+    low, high = T0 + timedelta(hours=3), T0 + timedelta(hours=6)
+    inside = lambda t: F.when((t >= F.lit(low)) & (t < F.lit(high)), F.lit(low))
+    hour = lambda t: t.replace(minute=0)
+    for start_of, plain in (
+        (lambda t: F.date_trunc("hour", t), hour), (lambda t: F.date_trunc("day", t), lambda t: hour(t).replace(hour=0)),
+        (inside, lambda t: low if low <= t < high else None),
+    ):
+        groups = {}
+        for s, t, e in data:
+            if t is not None and e is not None and plain(t) is not None:
+                groups.setdefault((s, plain(t)), []).append(e)
+        expected = {(*k, p): sorted(v)[min(len(v) - 1, int(len(v) * p))] for k, v in groups.items() for p in requests.PERCENTILES}
+        got = {(x.service, x.start, x.p): x.elapsed_s for x in requests.percentiles_over(sketch, log, start_of).collect()}
+        assert got == expected
+    assert requests.percentiles_over(sketch, log, lambda t: F.lit(None).cast("timestamp")).collect() == []
+
+
+def test_buckets_rise_with_the_value(spark):
+    from pyspark.sql import functions as F
+
+    values = sorted([-1e300, -2.0, -1.001, -1.0, -1e-300, 0.0, 5e-324, 1e-9, 1.0, 1.0005, 1.002, 3.0, 1e300])
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", requests.value_bucket(F.col("v")).alias("b"))
+    buckets = [r.b for r in df.orderBy("v").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) >= 10

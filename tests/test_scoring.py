@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from factloom.operators import compare
+from factloom.operators import compare, scoring
 from factloom.operators.scoring import METRICS, error_samples, hallucinated_names, score
 
 E = lambda t, n: {"type": t, "name": n}
@@ -121,3 +121,26 @@ def test_delta_and_coverage(spark, scores):
     assert compare.find_model(named, "BASE", "place").collect()[0].model == "zeta-base"
     wide = {r.metric: r for r in compare.metrics_pivot(results, ["m", "none"]).collect()}
     assert wide["entity_f1"]["none"] == "N/A" and wide["valid_json_rate"].label == "Valid JSON Rate"
+
+
+def test_scoring_again_shuffles_nothing(spark, folder):
+    """Stored sides are joined bucket by bucket: no exchange, the same scores."""
+    from factloom.operators import generate as G
+    from factloom.plans.pseudo_models import predictions
+
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    ex = G.generate_examples(spark.range(200), "id")
+    outputs, truth = predictions(ex), ex.select("example_id", "scenario", "record_json")
+    columns = ["model", "example_id", "valid_json", "entity_f1", "section_recall", "financial_recall", "hallucination_count"]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        predicted = scoring.stored_features(scoring.prediction_side(outputs), f"{folder}/predicted", 4)
+        known = scoring.stored_features(scoring.truth_features(truth), f"{folder}/truth", 4)
+        again = scoring.score_features(predicted, known)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        got = sorted(map(str, again.select(*columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert got == sorted(map(str, scoring.score(outputs, truth).select(*columns).collect())) and len(got) == 1000
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("features_")]
