@@ -17,7 +17,7 @@ from factloom.operators.conversations import TURNS_PER_PIECE
 from factloom.operators.generate import DRAWS, SEED
 from factloom.operators.requests import BOUNDS, PERCENTILES
 from factloom.operators.compare import LABELS
-from factloom.plans.pseudo_models import MODELS
+from factloom.plans.pseudo_models import MODELS, ODD
 from factloom.operators.scenarios import SCENARIOS, SCENARIO_NAMES, Choice, Whole
 from factloom.operators.scoring import METRICS, NOTE_KEY
 from factloom.plans.queries import (
@@ -487,11 +487,9 @@ rules AS (SELECT example_id, '{{"event_type":"unknown","entities":['
 q("extract_rule_based", RULES + " SELECT example_id, raw_output FROM rules")
 q("rule_based_scores", RULES + ", outputs AS (SELECT 'patterns' AS model, example_id, raw_output FROM rules)," + scores_ctes() + " SELECT model, count(*) AS total_samples, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("entity_recall", "entity_precision", "date_normalization_recall", "financial_recall")) + " FROM scores GROUP BY model")
 q("fact_extraction", RULES.replace(EX, FW) + ", outputs AS (SELECT 'patterns' AS model, example_id, raw_output FROM rules)," + scores_ctes() + " SELECT model, count(*) AS total_samples, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("entity_recall", "entity_precision", "date_normalization_recall", "financial_recall")) + " FROM scores GROUP BY model")
-_doc = f"""SELECT doc_id, CASE WHEN ok THEN raw END AS raw_output, ok AS valid_json, ok AS schema_valid, ok AS typed_ok,
-  CASE WHEN length(text) > 0 AND NOT ok THEN 'ValueError: length ' || length(text) END AS error,
-  CASE WHEN length(text) = 0 THEN 'rejected' WHEN ok THEN 'ok' ELSE 'error' END AS status
-FROM (SELECT *, length(text) > 0 AND length(text) % 7 <> 0 AS ok,
-  '```json' || chr(10) || '{{"event_type":"note","entities":[],"metrics":[{{"name":"chars","value":' || length(text) || '}}]}}' || chr(10) || '```' AS raw FROM documents)"""
+_doc = RULES.replace(EX + ",", "WITH ex AS (SELECT doc_id AS example_id, text FROM documents WHERE length(text) > 0),").replace('"name":"\' || x || \'"', '"name":\' || to_json(x) || \'')
+_doc += """ SELECT doc_id, raw_output, length(text) > 0 AS valid_json, length(text) > 0 AS schema_valid, length(text) > 0 AS typed_ok, NULL::VARCHAR AS error,
+  CASE WHEN length(text) > 0 THEN 'ok' ELSE 'rejected' END AS status FROM documents LEFT JOIN rules ON example_id = doc_id"""
 q("extract_plugged_model", _doc)
 q("stream_extraction", _doc)
 q("extract_absent_model", "SELECT CASE WHEN coalesce(length(text), 0) = 0 THEN 'rejected' ELSE 'unavailable' END AS status, CASE WHEN length(text) > 0 THEN 'OSError: no weights' END AS error, count(*) AS n FROM documents GROUP BY ALL")
@@ -502,9 +500,11 @@ q("schema_violations", RCR + f" SELECT model, rule, count(*) AS n FROM (SELECT m
 _n = lambda s: f"CASE WHEN typed_ok THEN len(json_extract(json_text, '$.{s}[*]')) END AS n_{s}"
 q("typed_projection", RC + "," + typed_ctes() + f" SELECT model, example_id, typed_ok, CASE WHEN typed_ok THEN json_extract_string(json_text, '$.event_type') END AS event_type, {', '.join(_n(s) for s in E.SECTION_FIELDS)}, CASE WHEN typed_ok THEN coalesce(list_sum(list_transform(json_extract(json_text, '$.financials[*]'), lambda x: json_extract_string(x, '$.amount')::DOUBLE)), 0.0) END AS amount_total FROM typed")
 q("extraction_response", RC + "," + typed_ctes() + f" SELECT substr(sha256(model || ':' || example_id), 1, 8) AS request_id, NULL::VARCHAR AS raw_output, valid_json, coalesce(len({violations_sql()}) = 0, FALSE) AS schema_valid, typed_ok AS has_result, CASE WHEN typed_ok THEN json_extract_string(json_text, '$.event_type') END AS event_type FROM typed")
-q("request_status", RC + f""", st AS ({draws_sql('rec', 'example_id', 'status', ['latency', 'error', 'size'], '*')})
-SELECT model, CASE WHEN d_size % 25 = 0 THEN 'too_large' WHEN d_latency % 130000 > {E.TIMEOUT_MS} THEN 'timeout' WHEN d_error % 50 = 0 THEN 'error'
-  WHEN valid_json THEN 'ok' ELSE 'invalid_json' END AS status, count(*) AS n FROM st GROUP BY ALL""")
+q("request_status", f"SELECT lang, CASE WHEN coalesce(length(text), 0) = 0 THEN 'rejected' WHEN length(text) > {E.MAX_CHARS} THEN 'too_large' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY ALL")
+_odd = f"outputs AS (SELECT 'odd' AS model, example_id, replace({arr(ODD)}[example_id % {len(ODD)} + 1], '#n#', example_id::VARCHAR) AS raw_output FROM ex)"
+q("odd_recovery", EX + "," + _odd + "," + recover_ctes("outputs") + " SELECT example_id, valid_json, is_object, json_text FROM rec")
+q("odd_violations", EX + "," + _odd + "," + recover_ctes("outputs") + f" SELECT rule, count(*) AS n FROM (SELECT unnest({violations_sql()}) AS rule FROM rec) GROUP BY rule")
+q("odd_metrics", MM.replace(OUT, EX + "," + _odd) + " SELECT * FROM mm")
 q("date_normalize", CO + """ SELECT *, coalesce(iso = normalized, FALSE) AS is_normalized FROM (SELECT *, strftime(try_strptime(raw, '%B %d, %Y'), '%Y-%m-%d') AS iso FROM
  (SELECT example_id, kind, json_extract_string(d, '$.raw') AS raw, json_extract_string(d, '$.normalized') AS normalized FROM
  (SELECT example_id, kind, unnest(json_extract(corrupted_json, '$.dates[*]')) AS d FROM cor)))""")

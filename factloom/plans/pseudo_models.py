@@ -32,3 +32,34 @@ def predictions(examples: DataFrame, seed: int = SEED) -> DataFrame:
     }
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), outputs[m].alias("raw_output")) for m in MODELS])
     return df.select("example_id", F.explode(pairs).alias("p")).select("p.model", "example_id", "p.raw_output")
+
+
+# Outputs that break rules in every way the schema knows, by their number in this list; #n# is the example's id.
+ODD = [
+    '{"event_type":"note","entities":[]} trailing words #n#',
+    '{"event_type":"note","entities":[]} and #n# } more',
+    '{"event_type":"a","entities":[]} {"event_type":"b","entities":[#n#]}',
+    '{"event_type":"x","entities":[],"event_type":"x"}',
+    "null",
+    "#n#",
+    '[#n#, "a"]',
+    '"text #n#"',
+    '{"event_type":"note","entities":["Acme #n#",{"type":"person","name":"Bo"},5,{"type":"alien","name":7},{"name":""},{"type":null,"name":null}]}',
+    '{"event_type":"note","entities":[],"financials":[{"type":"fee","amount":true,"currency":"$"},{"type":"fee","amount":"#n#","currency":null},{"type":5}]}',
+    '{"entities":{"type":"person"},"dates":"none","financials":#n#,"relationships":null,"metrics":false}',
+    '{"event_type":#n#}',
+    '{"event_type":"note","entities":[],"dates":[{"raw":"March 5, 2024"},{"normalized":5,"raw":null,"context":true},"x"]}',
+    '{"event_type":"note","entities":[],"relationships":[{"type":"a"},{"subject":"s","object":"o"},{"type":1,"subject":2,"object":3},[1]]}',
+    '{"event_type":"note","entities":[],"metrics":[{"name":"m","value":[#n#]},{"name":1,"value":true},{"value":null},{"name":"n"},7]}',
+    '{"event_type":"note","entities":[],"financials":[{"currency":"$"},"fee",{"type":"fee","amount":2.5,"currency":"$"}]}',
+    "",
+    '```json\n{"event_type":"note","entities":[{"type":"location","name":"Oslo"}]} #n#',
+    '{"event_type":null,"entities":null}',
+    '{"_note":"only #n#","event_type":"note","entities":[{}],"dates":[{}]}',
+]
+
+
+def odd_predictions(examples: DataFrame) -> DataFrame:
+    """(model, example_id, raw_output) of a model whose outputs are seldom records."""
+    style = F.element_at(F.array(*[F.lit(text) for text in ODD]), (F.pmod("example_id", F.lit(len(ODD))) + 1).cast("int"))
+    return examples.select(F.lit("odd").alias("model"), "example_id", F.replace(style, F.lit("#n#"), F.col("example_id").cast("string")).alias("raw_output"))

@@ -17,7 +17,7 @@ from factloom.operators import compare, conversations, extraction, requests, sco
 from factloom.operators import generate as G
 from factloom.operators.corrupt import KINDS, format_pairs, source_union, with_corruption
 from factloom.operators.generate import SEED
-from factloom.plans.pseudo_models import MODELS, predictions
+from factloom.plans.pseudo_models import MODELS, odd_predictions, predictions
 from factloom.operators.scenarios import SCENARIOS
 from factloom.plans import inputs as I
 from factloom.session import configure, shared_dir, written
@@ -468,17 +468,38 @@ def rule_based_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _counting_model():
-    """Loader of a small model for runs without a real one: it reports the texts' lengths, and
-    fails on lengths divisible by 7.  Inner functions travel to the executors by value, so this
-    package need not be installed there."""
+def _pattern_model():
+    """Loader of a small extractor for the model seam: names, dates and amounts by the patterns of
+    ``rule_based_output``.  Inner functions travel to the executors by value, so this package need not be
+    installed there."""
+    name, day, amount, months = extraction.NAME_PATTERN, extraction.DATE_PATTERN, extraction.AMOUNT_PATTERN, extraction.MONTHS
 
     def load():
+        import json
+        import re
+        from datetime import datetime
+        from decimal import Decimal
+
+        find = [re.compile(p, re.ASCII) for p in (name, day, amount)]
+        no_name = re.compile(f"(?:{months}) ")
+
+        def date(raw: str) -> dict:
+            try:
+                return {"raw": raw, "normalized": datetime.strptime(raw, "%B %d, %Y").strftime("%Y-%m-%d")}
+            except ValueError:
+                return {"raw": raw}
+
+        def money(text: str) -> dict:
+            scale = 1_000_000_000 if text[-1] == "B" else 1_000_000
+            return {"type": "amount", "amount": int(Decimal(text[1:-1]) * scale), "currency": text[0]}
+
         def one(text: str) -> str:
-            n = len(text)
-            if n % 7 == 0:
-                raise ValueError(f"length {n}")
-            return f'```json\n{{"event_type":"note","entities":[],"metrics":[{{"name":"chars","value":{n}}}]}}\n```'
+            names, days, amounts = (list(dict.fromkeys(p.findall(text))) for p in find)
+            record = {
+                "event_type": "unknown", "entities": [{"type": "organization", "name": n} for n in names if not no_name.match(n)],
+                "dates": [date(d) for d in days], "financials": [money(a) for a in amounts],
+            }
+            return json.dumps(record, separators=(",", ":"), ensure_ascii=False)
 
         return lambda texts: [one(t) for t in texts]
 
@@ -507,7 +528,7 @@ def _response_rows(df: DataFrame) -> DataFrame:
 def extract_plugged_model(spark: SparkSession, sf: str) -> DataFrame:
     """Documents through the model seam: Arrow batches, one load per worker, failures as rows."""
     docs = table(configure(spark), sf, "documents")
-    generate = jobs.model_generator(_counting_model(), "doc_id", "text")
+    generate = jobs.model_generator(_pattern_model(), "doc_id", "text")
     return _response_rows(jobs.extract_requests(docs, generate, "doc_id"))
 
 
@@ -551,6 +572,30 @@ def schema_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rules.groupBy("model", "rule").agg(F.count("*").alias("n"))
 
 
+def _odd(spark: SparkSession, sf: str) -> DataFrame:
+    return odd_predictions(I.example_ids(spark, sf))
+
+
+@query
+def odd_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Recovery of outputs with text behind, two values, repeated keys, bare values, open fences."""
+    return recover(_odd(spark, sf)).select("example_id", "valid_json", "is_object", "json_text")
+
+
+@query
+def odd_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule of the schema, broken."""
+    df = recover(_odd(spark, sf))
+    rules = df.select(F.explode(violations(F.col("parsed"), F.col("is_object"))).alias("rule"))
+    return rules.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query
+def odd_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of such outputs."""
+    return compare.model_metrics(scoring.score(_odd(spark, sf), I.truth(spark, sf)))
+
+
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.typed_projection(recover(I.outputs(spark, sf)))
 
@@ -582,14 +627,11 @@ def extraction_response(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcome of every request; latency and failures are drawn per request."""
-    df = recover(I.outputs(spark, sf))
-    df = with_draws(df, "example_id", SEED, "status", ["latency", "error", "size"])
-    latency = F.pmod("draw_latency", F.lit(130_000)).cast("double")
-    error = F.when(F.pmod("draw_error", F.lit(50)) == 0, "boom")
-    admission = F.when(F.pmod("draw_size", F.lit(25)) == 0, "too_large").otherwise("ok")
-    status = extraction.request_status(admission, latency, error, F.col("valid_json"), F.lit(True))
-    return df.select("model", status.alias("status")).groupBy("model", "status").agg(F.count("*").alias("n"))
+    """Outcome of every document as a request, by language: admission, measured latency and errors, what was found."""
+    docs = table(configure(spark), sf, "documents")
+    generate = jobs.model_generator(_pattern_model(), "doc_id", "text")
+    rows = _response_rows(jobs.extract_requests(docs, generate, "doc_id", limit=extraction.MAX_CHARS))
+    return docs.select("doc_id", "lang").join(rows, "doc_id").groupBy("lang", "status").agg(F.count("*").alias("n"))
 
 
 @query
@@ -824,7 +866,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def stream_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """The batch extraction as a stream."""
-    generate = jobs.model_generator(_counting_model(), "doc_id", "text")
+    generate = jobs.model_generator(_pattern_model(), "doc_id", "text")
     rows = _response_rows(jobs.extract_requests(_stream(spark, sf, "documents"), generate, "doc_id"))
     out, state = _folders(spark, "extraction")
     jobs.run_available(rows, out, state)

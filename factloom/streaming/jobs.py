@@ -21,14 +21,14 @@ def request_stream(spark: SparkSession, path: str, schema: str, per_trigger: int
 
 
 def extract_requests(
-    requests: DataFrame, generate: Callable[[DataFrame], DataFrame], key: str = "request_id", text: str = "text"
+    requests: DataFrame, generate: Callable[[DataFrame], DataFrame], key: str = "request_id", text: str = "text", limit: int | None = None
 ) -> DataFrame:
     """Requests to responses, for a batch table or a stream: admission, generation, recovery,
     validation, projection.  A rejected request stays as a row without output and never reaches the model.
 
     ``generate`` takes (key, text, admission) and gives back the other columns with raw_output, error, loaded and
     latency_ms; everything is row by row, so the stream needs no state."""
-    admitted = with_admission(requests.select(key, text), text)
+    admitted = with_admission(requests.select(key, text), text, limit)
     done = generate(admitted.filter(F.col("admission") == "ok"))
     rejected = admitted.filter(F.col("admission") != "ok").select(
         key, "admission", F.lit(None).cast("string").alias("raw_output"), F.lit(None).cast("string").alias("error"),

@@ -51,3 +51,21 @@ def test_typed_values(found):
     assert found[11].result.financials[0].amount == 1.0
     assert [(m.value, m.value_kind) for m in found[14].result.metrics] == [("12%", "string"), ("3", "number")]
     assert found[0].result.dates == []
+
+
+def test_odd_outputs_break_every_rule(spark):
+    from factloom.functions.recovery import recover
+    from factloom.functions.schema_rules import RECORD_SCHEMA, violations
+    from factloom.plans.pseudo_models import ODD, odd_predictions
+
+    rules = {"$:type"} | {f"$.{n}:required" for n in RECORD_SCHEMA["required"]}
+    for name, sub in RECORD_SCHEMA["properties"].items():
+        rules.add(f"$.{name}:type")
+        if "items" in sub:
+            rules.add(f"$.{name}[]:type")
+            rules |= {f"$.{name}[].{k}:required" for k in sub["items"]["required"]}
+            for k, leaf in sub["items"]["properties"].items():
+                rules |= {f"$.{name}[].{k}:type"} | ({f"$.{name}[].{k}:enum"} if "enum" in leaf else set())
+    df = recover(odd_predictions(spark.range(len(ODD)).withColumnRenamed("id", "example_id")))
+    got = {r.v for r in df.select(F.explode(violations(F.col("parsed"), F.col("is_object"))).alias("v")).collect()}
+    assert got == rules
