@@ -7,6 +7,7 @@ does not name is allowed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -98,79 +99,102 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def _codes(*conditions: tuple[Column, str]) -> Column:
-    return F.array(*[F.when(broken, F.lit(code)) for broken, code in conditions])
+def _types(schema: dict) -> list[str]:
+    t = schema.get("type", [])
+    return [t] if isinstance(t, str) else list(t)
 
 
-def _present(codes: Column) -> Column:
-    return F.filter(codes, lambda c: c.isNotNull())
+# What is found in a section is one whole number: for each field, by its place in the schema, a bit for every kind it has
+# in any element, and bits for what concerns a whole element or the section.  Rules are masks over it.
+FOUND = ("absent", "string", "number", "boolean", "null", "object", "array")
+BAD_NUMBER, BAD_ENUM, NO_ARRAY, NO_SECTION, NO_OBJECT = (1 << b for b in range(56, 61))
+_PREFIX = {names[:3]: kind for kind, all_names in KINDS.items() for names in all_names} | {"DEC": "number"}
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def _types(schema: dict) -> list[str]:
-    t = schema.get("type", [])
-    return [t] if isinstance(t, str) else list(t)
+def bits(place: int, *kinds: str) -> int:
+    return sum(1 << (len(FOUND) * place + FOUND.index(k)) for k in kinds)
+
+
+def others(place: int, *kinds: str) -> int:
+    """All kinds of a field but these."""
+    return bits(place, *[k for k in FOUND if k not in kinds])
+
 
+def has(found: Column, mask: int) -> Column:
+    return found.bitwiseAND(F.lit(mask).cast("long")) != 0
 
-def _fits(value: Column, schema: dict) -> Column:
-    """Whether a text or number field has an allowed type and value; null if it is absent."""
-    if "enum" in schema:
-        return F.when(is_kind(value, "string"), F.try_variant_get(value, "$", "string").isin(schema["enum"])).when(
-            value.isNotNull(), False
-        )
-    return is_kind(value, *_types(schema))
 
+def kind_bit(value: Column) -> Column:
+    """The bit of the value's kind in place 0; a kind is told by how its name begins."""
+    pairs = [x for prefix, kind in _PREFIX.items() for x in (F.lit(prefix), F.lit(bits(0, kind)).cast("long"))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.substring(F.schema_of_variant(value), 1, 3)), F.lit(1).cast("long"))
 
-def _leaf_codes(value: Column, schema: dict, path: str) -> list[tuple[Column, str]]:
-    """Rules a field breaks; an absent field (null column) breaks none."""
-    codes = [(~is_kind(value, *_types(schema)), f"{path}:type")]
-    if "enum" in schema:
-        codes.append((~_fits(value, schema), f"{path}:enum"))
-    return codes
 
+def is_number_text(text: Column) -> Column:
+    return F.coalesce(text.rlike(NUMBER_TEXT) & F.trim(text).try_cast("double").isNotNull(), F.lit(False))
 
-def _object_fits(value: Column, schema: dict) -> Column:
-    """Whether a value is an object that breaks no rule.  Something that is no object has no
-    fields, so a required one is missing."""
-    tests = [
-        F.coalesce(_fits(field(value, name), sub), F.lit(name not in schema["required"]))
-        for name, sub in schema["properties"].items()
-    ]
-    return reduce(lambda x, y: x & y, tests)
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _object(value: Column, schema: dict, path: str) -> Column:
-    """Codes of an object whose fields are text or numbers; a value that is no object
-    breaks only the type rule."""
-    codes = [(field(value, name).isNull(), f"{path}.{name}:required") for name in schema["required"]]
+
+def _element(e: Column, schema: dict) -> Column:
+    """What one element shows.  Something that is no object has no fields, and only that is told of it."""
+    facts, nothing, zero = [], 0, F.lit(0).cast("long")
+    for i, (name, sub) in enumerate(schema["properties"].items()):
+        value = field(e, name)
+        facts.append(F.shiftleft(kind_bit(value), len(FOUND) * i))
+        nothing |= bits(i, "absent")
+        if "enum" in sub:
+            allowed = F.coalesce(F.try_variant_get(e, f"$.{name}", "string").isin(sub["enum"]), F.lit(False))
+            facts.append(F.when(allowed | value.isNull(), zero).otherwise(F.lit(BAD_ENUM).cast("long")))
+        if _types(sub) == ["number"]:
+            wrong = is_kind(value, "string") & ~is_number_text(F.try_variant_get(e, f"$.{name}", "string"))
+            facts.append(F.when(wrong, F.lit(BAD_NUMBER).cast("long")).otherwise(zero))
+    found = reduce(lambda x, y: x.bitwiseOR(y), facts)
+    return _bound(found, lambda f: F.when((f == nothing) & ~is_kind(e, "object"), F.lit(NO_OBJECT).cast("long")).otherwise(f))
+
+
+def masks(value: Column, schema: dict = RECORD_SCHEMA, items: Callable[[str], Column] | None = None) -> Column:
+    """Struct of what an object shows, one whole number for each property of the schema: every section is gone through once.
+    ``items`` gives the elements of a section where they are at hand."""
+    items = items or (lambda name: members(value, f"$.{name}"))
+    out = []
     for name, sub in schema["properties"].items():
-        codes += _leaf_codes(field(value, name), sub, f"{path}.{name}")
-    return F.when(is_kind(value, "object"), _codes(*codes)).otherwise(_codes((F.lit(True), f"{path}:type")))
+        if "items" not in sub:
+            out.append(kind_bit(field(value, name)).alias(name))
+            continue
+        seen = _section(items(name), sub["items"])
+        gone = F.when(field(value, name).isNull(), F.lit(NO_SECTION)).otherwise(F.lit(NO_ARRAY)).cast("long")
+        out.append(F.coalesce(seen, gone).alias(name))
+    return F.struct(*out)
 
 
-def _array(root: Column, name: str, schema: dict, required: bool) -> Column:
-    """Codes of a section that is an array of objects; every code once, however many elements
-    break it.  Only elements that do not fit are looked at rule by rule, and the section itself
-    (a copy) only if it is no array."""
-    path, items = f"$.{name}", schema["items"]
-    bad = F.filter(members(root, path), lambda e: ~_object_fits(e, items))
-    inner = F.array_distinct(F.flatten(F.transform(bad, lambda e: _object(e, items, f"{path}[]"))))
-    absent = _codes((F.lit(required), f"{path}:required"))
-    return F.coalesce(
-        inner, F.when(field(root, name).isNull(), absent).otherwise(_codes((F.lit(True), f"{path}:type")))
-    )
+def _section(items: Column, schema: dict) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(_element(e, schema)))
 
 
-def violations(value: Column, is_object: Column, schema: dict = RECORD_SCHEMA) -> Column:
-    """Sorted codes of the broken rules; null for a null value."""
-    parts = []
+def broken_rules(found: Column, schema: dict = RECORD_SCHEMA) -> Column:
+    """Sorted codes of the rules that ``masks`` show broken."""
+    rules = []
     for name, sub in schema["properties"].items():
-        required = name in schema["required"]
+        path, m = f"$.{name}", found[name]
         if "items" in sub:
-            parts.append(_array(value, name, sub, required))
+            rules += [(m, NO_SECTION, f"{path}:required")] if name in schema["required"] else []
+            rules += [(m, NO_ARRAY, f"{path}:type"), (m, NO_OBJECT, f"{path}[]:type")]
+            fields, path = sub["items"], f"{path}[]."
         else:
-            missing = [(field(value, name).isNull(), f"$.{name}:required")] if required else []
-            parts.append(_codes(*missing, *_leaf_codes(field(value, name), sub, f"$.{name}")))
-    checked = F.when(is_object, F.array_sort(_present(F.concat(*parts)))).otherwise(
-        F.array(F.lit("$:type"))
-    )
+            fields, path = {"required": [n for n in schema["required"] if n == name], "properties": {name: sub}}, "$."
+        for i, (k, leaf) in enumerate(fields["properties"].items()):
+            rules += [(m, bits(i, "absent"), f"{path}{k}:required")] if k in fields["required"] else []
+            rules.append((m, others(i, "absent", *_types(leaf)), f"{path}{k}:type"))
+            rules += [(m, BAD_ENUM, f"{path}{k}:enum")] if "enum" in leaf else []
+    return F.array_sort(F.array_compact(F.array(*[F.when(has(m, mask), F.lit(code)) for m, mask, code in rules])))
+
+
+def violations(value: Column, is_object: Column, schema: dict = RECORD_SCHEMA) -> Column:
+    """Sorted codes of the broken rules; null for a null value."""
+    checked = F.when(is_object, _bound(masks(value, schema), lambda m: broken_rules(m, schema))).otherwise(F.array(F.lit("$:type")))
     return F.when(value.isNotNull(), checked)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.plan import staged
 from factloom.functions.recovery import recover
-from factloom.functions.schema_rules import field, is_kind, members, violations
+from factloom.functions.schema_rules import (
+    BAD_NUMBER, NO_ARRAY, NO_OBJECT, RECORD_SCHEMA, broken_rules, field, has, is_kind, is_number_text, masks, members, others,
+)
 
 MAX_CHARS = 8000
 TIMEOUT_MS = 120_000.0
@@ -133,9 +137,6 @@ SECTION_FIELDS = {
     "metrics": ("name", "value", "value_kind"),
 }
 
-NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-
-
 def _string(value: Column) -> Column:
     return F.when(is_kind(value, "string"), F.try_variant_get(value, "$", "string"))
 
@@ -146,73 +147,59 @@ def _as_float(value: Column) -> Column:
     return (
         F.when(is_kind(value, "number"), F.try_variant_get(value, "$", "double"))
         .when(is_kind(value, "boolean"), F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
-        .when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
+        .when(is_number_text(text), F.trim(text).try_cast("double"))
     )
 
 
-def _optional_string_ok(value: Column) -> Column:
-    return F.coalesce(is_kind(value, "string", "null"), F.lit(True))
+# Kinds the typed record takes; a text in place of a number has to be one.
+_TEXT, _OPTIONAL = ("string",), ("string", "null", "absent")
+TYPED_KINDS = {
+    "entities": {"type": _TEXT, "name": _TEXT},
+    "dates": {"raw": _TEXT, "normalized": _TEXT, "context": _OPTIONAL},
+    "financials": {"type": _TEXT, "amount": ("number", "string", "boolean"), "currency": _OPTIONAL},
+    "relationships": {"type": _TEXT, "subject": _TEXT, "object": _TEXT},
+    "metrics": {"name": _TEXT, "value": ("string", "number", "boolean")},
+}
 
 
-def _strings_ok(e: Column, *names: str) -> Column:
-    ok = is_kind(e, "object")
-    for n in names:
-        ok = ok & F.coalesce(is_kind(field(e, n), "string"), F.lit(False))
-    return ok
+def typed_fits(found: Column) -> Column:
+    """Whether a record with these ``masks`` can be typed; an absent section is an empty one."""
+    fits = ~has(found["event_type"], others(0, *_TEXT))
+    for name, kinds in TYPED_KINDS.items():
+        order = list(RECORD_SCHEMA["properties"][name]["items"]["properties"])
+        refused = [others(order.index(k), *allowed) for k, allowed in kinds.items()]
+        fits = fits & ~has(found[name], reduce(or_, refused, NO_ARRAY | NO_OBJECT | BAD_NUMBER))
+    return fits
 
 
-def _section(value: Column, name: str, ok: Callable[[Column], Column], build: Callable[[Column], Column]):
-    """(section fits, typed section) from the staged array ``_<name>``; an absent section is an empty one."""
-    items = F.col(f"_{name}")
-    fits = F.when(items.isNotNull(), F.forall(items, ok)).otherwise(field(value, name).isNull())
-    return fits, F.transform(F.coalesce(items, F.array().cast("array<variant>")), build)
+def with_masks(df: DataFrame, parsed: str = "parsed") -> DataFrame:
+    """Add the sections' elements (``_<name>``) and ``_masks``, what they show; validation and typing read both."""
+    df = staged(df, {f"_{n}": members(value, f"$.{n}") for n in SECTION_FIELDS})
+    return staged(df, {"_masks": F.when(F.col("is_object"), masks(F.col(parsed), items=lambda n: F.col(f"_{n}")))})
 
 
 def typed_projection(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     """Add ``typed_ok`` and ``result`` (struct of typed sections, null on mismatch).  Numbers are
     taken from numeric text; keys outside the type are dropped; this is independent of schema
-    validity."""
-    v = F.col(parsed)
-    df = staged(df, {f"_{n}": members(v, f"$.{n}") for n in SECTION_FIELDS})
-    s = lambda e, n: _string(field(e, n)).alias(n)
-    entities = _section(
-        v, "entities", lambda e: _strings_ok(e, "type", "name"), lambda e: F.struct(s(e, "type"), s(e, "name"))
-    )
-    dates = _section(
-        v, "dates",
-        lambda e: _strings_ok(e, "raw", "normalized") & _optional_string_ok(field(e, "context")),
-        lambda e: F.struct(s(e, "raw"), s(e, "normalized"), s(e, "context")),
-    )
-    financials = _section(
-        v, "financials",
-        lambda e: _strings_ok(e, "type") & _as_float(field(e, "amount")).isNotNull()
-        & _optional_string_ok(field(e, "currency")),
-        lambda e: F.struct(s(e, "type"), _as_float(field(e, "amount")).alias("amount"), s(e, "currency")),
+    validity.  Whether a record fits is told by its masks, so its fields are taken without looking at their kinds again."""
+    df = df if "_masks" in df.columns else with_masks(df, parsed)
+    s = lambda e, n: F.try_variant_get(e, f"$.{n}", "string").alias(n)
+    builders = {name: lambda e, fields=fields: F.struct(*[s(e, n) for n in fields]) for name, fields in SECTION_FIELDS.items()}
+    builders["financials"] = lambda e: F.struct(s(e, "type"), _as_float(field(e, "amount")).alias("amount"), s(e, "currency"))
+    builders["metrics"] = lambda e: F.struct(
+        s(e, "name"), _metric_text(field(e, "value")).alias("value"),
+        F.when(is_kind(field(e, "value"), "string"), "string").otherwise("number").alias("value_kind"),
     )
-    relationships = _section(
-        v, "relationships", lambda e: _strings_ok(e, "type", "subject", "object"),
-        lambda e: F.struct(s(e, "type"), s(e, "subject"), s(e, "object")),
-    )
-    metrics = _section(
-        v, "metrics",
-        lambda e: _strings_ok(e, "name") & F.coalesce(is_kind(field(e, "value"), "string", "number", "boolean"), F.lit(False)),
-        lambda e: F.struct(
-            s(e, "name"), _metric_text(field(e, "value")).alias("value"),
-            F.when(is_kind(field(e, "value"), "string"), "string").otherwise("number").alias("value_kind"),
-        ),
-    )
-    sections = {
-        "entities": entities, "dates": dates, "financials": financials,
-        "relationships": relationships, "metrics": metrics,
-    }
-    fits = F.coalesce(is_kind(field(v, "event_type"), "string"), F.lit(False))
-    for ok, _ in sections.values():
-        fits = fits & ok
-    df = staged(df, {"typed_ok": F.col("is_object") & fits})
-    result = F.struct(
-        _string(field(v, "event_type")).alias("event_type"), *[t.alias(n) for n, (_, t) in sections.items()]
-    )
-    return staged(df, {"result": F.when(F.col("typed_ok"), result)}).drop(*[f"_{n}" for n in SECTION_FIELDS])
+    none = F.array().cast("array<variant>")
+    sections = [F.transform(F.coalesce(f"_{n}", none), _of(build)).alias(n) for n, build in builders.items()]
+    df = staged(df, {"typed_ok": F.col("is_object") & F.coalesce(typed_fits(F.col("_masks")), F.lit(False))})
+    result = F.struct(s(F.col(parsed), "event_type"), *sections)
+    return staged(df, {"result": F.when(F.col("typed_ok"), result)}).drop("_masks", *[f"_{n}" for n in SECTION_FIELDS])
+
+
+def _of(build: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A function of one parameter, as a lambda over elements has to be."""
+    return lambda e: build(e)
 
 
 def _metric_text(value: Column) -> Column:
@@ -230,8 +217,8 @@ def respond(
 ) -> DataFrame:
     """Response rows from raw outputs: recover (no truncation repair), validate, project."""
     df = recover(outputs, raw)
-    broken = violations(F.col("parsed"), F.col("is_object"))
-    df = staged(df, {"schema_valid": F.coalesce(F.size(broken) == 0, F.lit(False))})
+    df = with_masks(df)
+    df = df.withColumn("schema_valid", F.coalesce(F.col("is_object") & (F.size(broken_rules(F.col("_masks"))) == 0), F.lit(False)))
     df = typed_projection(df)
     return df.select(
         key,

@@ -46,8 +46,13 @@ def fact_examples(spark: SparkSession, sf: str) -> DataFrame:
     return G.examples_from_slots(fact_slots(spark, sf).filter(F.size("missing") == 0).drop("missing"))
 
 
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples without their texts."""
+    return examples(spark, sf, "scenario", *G.RECORD_FIELDS, "record_json")
+
+
 def corrupted(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
-    return with_corruption(examples(spark, sf), kind=kind)
+    return with_corruption(records(spark, sf), kind=kind)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +61,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Raw outputs of the stand-in models."""
-    return predictions(examples(spark, sf))
+    return predictions(records(spark, sf))
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,13 +70,13 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the stand-in models.  The examples are generated once: what both sides need is written."""
-    ex = written(examples(spark, sf, "scenario", *G.RECORD_FIELDS, "record_json"), "examples")
+    ex = written(records(spark, sf), "examples")
     return score(predictions(ex), ex.select("example_id", "scenario", "record_json"))
 
 
 def stored_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Features of the stand-in models' outputs and of the truth, dealt alike, in tables of their own."""
-    ex = written(examples(spark, sf, "scenario", *G.RECORD_FIELDS, "record_json"), "examples")
+    ex = written(records(spark, sf), "examples")
     sides = {"predicted": prediction_side(predictions(ex)), "truth": truth_features(ex.select("example_id", "scenario", "record_json"))}
     base = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
     return tuple(stored_features(side, f"{base}/{name}", buckets=8) for name, side in sides.items())
