@@ -174,7 +174,7 @@ def typed_fits(found: Column) -> Column:
 
 def with_masks(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     """Add the sections' elements (``_<name>``) and ``_masks``, what they show; validation and typing read both."""
-    df = staged(df, {f"_{n}": members(value, f"$.{n}") for n in SECTION_FIELDS})
+    df = staged(df, {f"_{n}": members(F.col(parsed), f"$.{n}") for n in SECTION_FIELDS})
     return staged(df, {"_masks": F.when(F.col("is_object"), masks(F.col(parsed), items=lambda n: F.col(f"_{n}")))})
 
 
