@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
-from factloom.llm.common import configure, pieces, ragged, with_columns
+from factloom.llm.common import configure, give_back, pieces, ragged, with_columns
 
 #: Words a Python worker keeps, and the longest one kept.
 KEPT = 50_000
@@ -41,13 +44,15 @@ class Signs:
         small = {c: library.normalizer.normalize_str(c) for c in newer}
         self.small = str.maketrans({c: s for c, s in small.items() if c != s})
         self.newer = frozenset(newer)
+        # Plain characters: the same pattern for the faster module.
+        self.plain = re.compile(WORD.format(letter="a-z", number="0-9", space=r"\t-\r "))
         self.word = regex.compile(WORD.format(letter=r"\p{L}", number=r"\p{N}", space=SPACE))
         old = {name: rf"[{kind}--[{unknown or chr(0x10FFFF)}]]" for name, kind in (("letter", r"\p{L}"), ("number", r"\p{N}"))}
         self.strict = regex.compile(WORD.replace("[{number}]", "{number}").replace("[{letter}]+", "{letter}+").format(**old, space=SPACE), regex.V1)
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.word.findall(text.lower())
+            return self.plain.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if not self.newer.isdisjoint(text):
             return self.strict.findall(text.translate(self.small))
@@ -206,6 +211,41 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def coded(batches: Iterator[pa.RecordBatch], vocabulary: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Pieces of the batches with the ids of their texts."""
+    v = load(vocabulary)
+    for batch in pieces(batches, text_col, 1 << 22):
+        split = [v.words_of(x) if x else [] for x in batch.column(text_col).to_pylist()]
+        words = np.array([len(w) for w in split], np.int64)
+        flat = pa.array([w for some in split for w in some], pa.string()).dictionary_encode()
+        del split
+        number, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        place = np.array([v.known.get(w, -1) for w in distinct], np.int64)
+        new = [distinct[i] for i in np.flatnonzero(place < 0)]
+        ids, at = v.ids, v.at
+        if new:
+            found, lengths = v.encode(new)
+            place[place < 0] = len(v.known) + np.arange(len(new))
+            ids, at = np.concatenate([ids, found]), np.concatenate([at, at[-1] + np.cumsum(lengths)])
+        number = place[number] if len(place) else np.zeros(0, np.int64)
+        size = np.diff(at)[number]
+        spread = np.repeat(at[number] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(words))]
+        yield batch, ragged(ids[spread], np.diff(cuts), pa.int32())
+        if new and len(v.known) < KEPT:
+            short = np.array([len(w) <= KEPT_CHARS for w in new])
+            v.keep([w for w in new if len(w) <= KEPT_CHARS], found[np.repeat(short, lengths)], lengths[short])
+
+
+def strings_of(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list, joined by one blank; '' for a null list."""
+    texts = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values)), " ")
+    return pc.if_else(ids.is_valid(), texts, "")
+
+
+IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text as ``ids_col`` (array<int>).
 
@@ -218,30 +258,24 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
     docs = docs.drop(ids_col)
 
     def run(batches):
-        v = load(vocabulary)
-        for batch in pieces(batches, text_col, 1 << 21):
-            split = [v.words_of(x) if x else [] for x in batch.column(text_col).to_pylist()]
-            new = sorted(set().union(*split).difference(v.known))
-            ids, at, both = v.ids, v.at, v.known
-            if new:
-                found, lengths = v.encode(new)
-                base = len(both)
-                both = dict(zip(new, range(base, base + len(new))))
-                ids, at = np.concatenate([ids, found]), np.concatenate([at, at[-1] + np.cumsum(lengths)])
-                get = lambda w, first=v.known, then=both: first[w] if w in first else then[w]
-            else:
-                get = both.__getitem__
-            number = np.fromiter((get(w) for words in split for w in words), np.int64)
-            size = np.diff(at)[number]
-            spread = np.repeat(at[number] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            words = np.array([len(w) for w in split], np.int64)
-            cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(words))]
-            yield with_columns(batch, {ids_col: ragged(ids[spread], np.diff(cuts), pa.int32())})
-            if new and len(v.known) < KEPT:
-                short = np.array([len(w) <= KEPT_CHARS for w in new])
-                v.keep([w for w in new if len(w) <= KEPT_CHARS], found[np.repeat(short, lengths)], lengths[short])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+        for batch, ids in coded(batches, vocabulary, text_col):
+            yield with_columns(batch, {ids_col: ids})
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, IDS)]))
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` with what ``encode`` gives as ``ids_col`` and what ``decode`` makes of it as ``decoded_col``, in one pass:
+    two would hold the vocabulary in two Python workers a task.  Columns of these names are replaced, others pass."""
+    configure(docs.sparkSession)
+    docs = docs.drop(ids_col, decoded_col)
+
+    def run(batches):
+        tokens = pa.array(load(vocabulary).token, pa.string())
+        for batch, ids in coded(batches, vocabulary, text_col):
+            yield with_columns(batch, {ids_col: ids, decoded_col: strings_of(ids, tokens)})
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, IDS), T.StructField(decoded_col, TEXT)]))
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -253,9 +287,9 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: s
     tokens = tokens.drop(text_col)
 
     def run(batches):
-        token = load(vocabulary).token.__getitem__
+        give_back()
+        strings = pa.array(load(vocabulary).token, pa.string())
         for batch in batches:
-            texts = [" ".join(map(token, ids)) if ids else "" for ids in batch.column(ids_col).to_pylist()]
-            yield with_columns(batch, {text_col: pa.array(texts, pa.string())})
+            yield with_columns(batch, {text_col: strings_of(batch.column(ids_col), strings)})
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(text_col, T.StringType())]))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(text_col, TEXT)]))

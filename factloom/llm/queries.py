@@ -72,7 +72,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "text"), WORDS).select("doc_id", "ids"), WORDS)
+    tokens = bpe.encode_decode(docs.select("doc_id", "text"), WORDS)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 

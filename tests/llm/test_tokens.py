@@ -86,3 +86,21 @@ def test_other_vocabulary_order():
 def test_empty_table(spark, run, columns):
     out = run(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == columns and out.collect() == []
+
+
+def test_decoded_lists(spark):
+    """Null and empty lists, repeated rows and special tokens."""
+    rows = [(1, None), (2, []), (3, [49406, 320, 320]), (3, [49406, 320, 320]), (4, None), (5, [320] * 100_000)]
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1), WORDS).collect()
+    assert sorted((r.k, r.decoded) for r in got) == sorted((k, tokenizer.decode(ids or [], skip_special_tokens=False)) for k, ids in rows)
+
+
+def test_long_unbroken_words_and_repeated_rows(spark):
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdefghij") for _ in range(40_000)), "é" * 20_000]
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(table(spark, long * 3), WORDS), WORDS).collect()}
+    for k, text in enumerate(long * 3):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert got[k].ids == ids and got[k].decoded == tokenizer.decode(ids, skip_special_tokens=False)
