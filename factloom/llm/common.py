@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: texts are long, and Python holds a batch whole.
@@ -98,8 +101,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+@lru_cache(1)
+def give_back() -> None:
+    """Let a Python worker give large freed blocks back to the system, numpy's and Arrow's: workers live for many
+    tasks of many stages, and an executor's memory holds all of them."""
+    if TaskContext.get() is not None:
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except (AttributeError, OSError):
+            return  # another C library
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 900_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts hold about ``most`` bytes (one text may be longer)."""
+    give_back()
     for batch in batches:
         _, at = text_bytes(batch.column(text))
         row = 0

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
@@ -23,9 +23,6 @@ from factloom.llm.kernels import U, mix
 SLICES = 64
 #: Slot numbers a task gathers before it emits them.
 GATHER = 1 << 21
-#: Bytes of filters a Python worker keeps.
-KEPT_BYTES = 1 << 26
-_loaded: dict[str, np.ndarray] = {}
 
 
 def slots(hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:
@@ -92,26 +89,24 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[n
     return path
 
 
-def load(path: str, bits: int, plane: int | None = None) -> np.ndarray:
-    """A filter's slots, packed: of two Bloom filters the one of ``plane``, else the levels.
-    A small one is kept by the Python worker for its next tasks, a large one goes with the task."""
-    key = f"{path} {plane}"
-    if key not in _loaded:
-        width = (1 << bits) // (2 if plane is None else 8)
-        while _loaded and sum(map(len, _loaded.values())) + width > KEPT_BYTES:
-            del _loaded[next(iter(_loaded))]
-        out = np.zeros(width, np.uint8)
-        part = len(out) // SLICES
-        where, folder = fs.FileSystem.from_uri(path)
-        files = [f.path for f in where.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-")]
-        if files:
-            for batch in ds.dataset(files, filesystem=where, format="parquet").to_batches(batch_size=1):
-                for k, found in zip(*(batch.column(c).to_pylist() for c in ("slice", "planes"))):
-                    out[k * part : (k + 1) * part] = np.frombuffer(found[-1 if plane else 0], np.uint8)
-        if width > KEPT_BYTES:
-            return out
-        _loaded[key] = out
-    return _loaded[key]
+def load(path: str, bits: int, plane: int) -> np.ndarray:
+    """The packed slots of one of two Bloom filters.  They go with the task that asked for them: a Python worker
+    outlives its stage, and its executor pays for what it keeps."""
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    part = len(out) // SLICES
+    for k, planes in slices(path):
+        out[k * part : (k + 1) * part] = np.frombuffer(planes[len(planes) - 1 if plane else 0].as_buffer(), np.uint8)
+    return out
+
+
+def slices(path: str) -> Iterator[tuple[int, pa.Array]]:
+    """(number, planes) of the slices of a filter, one after the other."""
+    where, folder = fs.FileSystem.from_uri(path)
+    for f in where.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.startswith("part-"):
+            for batch in pq.ParquetFile(f.path, filesystem=where).iter_batches(batch_size=1, use_threads=False):
+                for k, planes in zip(batch.column("slice").to_pylist(), batch.column("planes")):
+                    yield k, planes.values
 
 
 def seen(plane: np.ndarray, hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:
@@ -120,15 +115,26 @@ def seen(plane: np.ndarray, hashes: np.ndarray, bits: int, probes: int) -> np.nd
     return np.logical_and.reduce([(plane[s >> 3] >> (7 - (s & 7))) & 1 for s in at]).astype(bool)
 
 
+def levels_of(path: str, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Level of each hash's count, which is the true count at least: 0 and 1 are exact bounds.
+
+    The filter is read slice by slice, and of many hashes at once those of a slice are looked up in it: a task holds
+    one slice, however large the filter is.
+    """
+    at = slots(hashes, bits, 1)[0]
+    of = (at >> np.uint32(bits - 6)).astype(np.uint8)
+    inside = np.uint32((1 << (bits - 6)) - 1)
+    out = np.zeros(len(at), np.uint8)
+    for k, planes in slices(path):
+        mine = np.flatnonzero(of == k)
+        plane, slot = np.frombuffer(planes[0].as_buffer(), np.uint8), at[mine] & inside
+        out[mine] = (plane[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8)) & 15
+    return out
+
+
 def packed_levels(counts: np.ndarray) -> np.ndarray:
     """Two levels to a byte: how many binary digits each count has."""
     level = np.zeros(len(counts), np.uint8)
     for digit in range(8):
         level[counts >= (1 << digit)] = digit + 1
     return level[::2] | (level[1::2] << 4)
-
-
-def levels(plane: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Level of each hash's count, which is the true count at least: 0 and 1 are exact bounds."""
-    at = slots(hashes, bits, 1)[0]
-    return (plane[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
