@@ -10,7 +10,8 @@ and no link is lost.  A counting filter gives the order and leaves out n-grams t
 Inside a region the most central document is the pivot.  Its distances settle most documents (linked to
 the pivot: same component); only documents of different components go on, to the pivots of their other
 regions, and at last to each other inside the triangle-inequality window |d(x,p) - d(y,p)| <= 1 -
-threshold.  Components, not pairs, are the result, so groups of copies never become all their pairs.
+threshold: pair by pair in regions of few, in blocks that give only links in regions of many.  Components, not
+pairs, are the result, so groups of copies never become all their pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ from factloom.llm.components import components
 from factloom.llm.kernels import _BASES, Words, prefix, spans
 
 
+#: Hashes that are looked up in the filter at once.
+LOOKED_UP = 3 << 20
+#: Regions of at most so many documents are joined by rows, others in blocks of so many documents and hashes.
+FEW, BLOCK, BLOCK_HASHES = 32, 512, 1 << 21
+
+
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     """Ascending distinct hashes of the ``size``-word shingles of each text; a shorter text is one."""
     begin, hashes = words.windows(size)
@@ -49,6 +56,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.select("x", "p", (1 - F.col("_i") / F.col("_u")).alias("d"), (100 * F.col("_i") >= percent * F.col("_u")).alias("link"))
 
 
+def linked(block: pa.Table, percent: int) -> pa.Table:
+    """Links (x, p) between the documents of two blocks of a region, as far as they join different components.  A pair that
+    shares an earlier region meets there."""
+    h, lo, hi = (block.column(c)[0].as_py() for c in ("h", "lo", "hi"))
+    x, n, i, part, b = (block.column(c).to_numpy() for c in ("x", "n", "i", "part", "b"))
+    d = block.column("d").to_numpy(zero_copy_only=False).astype(np.float64)  # null: not a number
+    lists = lambda c: [v.values.to_numpy() for v in block.column(c)]
+    sets, earlier = lists("_set"), []
+    sets = [np.sort(s.view(np.uint64)) for s in sets]
+    for head in lists("_head"):
+        earlier.append(set(head[: int(np.flatnonzero(head == h)[0])].tolist()))
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.get(k, k) != k:
+            k = root[k]
+        return k
+
+    found: list[tuple[int, int]] = []
+    second = np.flatnonzero(b == hi)
+    for one in np.flatnonzero(b == lo).tolist():
+        rest = np.minimum(n[one] - i[one], n[second] - i[second])
+        fits = (part[second] != part[one]) & ((100 + percent) * rest >= percent * (n[one] + n[second]))
+        fits &= ~(np.abs(d[one] - d[second]) > (100 - percent) / 100 + 1e-9)
+        if lo == hi:
+            fits &= x[second] > x[one]
+        for two in second[fits].tolist():
+            if find(part[one]) == find(part[two]) or not earlier[one].isdisjoint(earlier[two]):
+                continue
+            small, large = sorted((sets[one], sets[two]), key=len)
+            same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * same >= percent * (len(small) + len(large) - same):
+                root[find(part[one])] = find(part[two])
+                found.append((x[one], x[two]))
+    return pa.table({name: pa.array([pair[k] for pair in found], pa.int64()) for k, name in enumerate(("x", "p"))})
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bits: int = 28
 ) -> DataFrame:
@@ -73,10 +117,21 @@ def jaccard_components(
     path = filters.build(narrow.select("_text"), hashes, "shingles", bits, 1, 255)
 
     def sets_of(batches):
-        seen = filters.load(path, bits)
-        none = np.zeros(0, np.int64)
+        """Rows of the sets; those of some texts are looked up in the filter at once."""
+        held, n = [], 0
         for batch in pieces(batches, "_text"):
-            sets = shingle_sets(Words(*text_bytes(batch.column("_text")), lower=True), size)
+            held.append((batch.column("_id"), shingle_sets(Words(*text_bytes(batch.column("_text")), lower=True), size)))
+            n += sum(map(len, held[-1][1]))
+            if n >= LOOKED_UP:
+                yield from rows_of(held)
+                held, n = [], 0
+        if held:
+            yield from rows_of(held)
+
+    def rows_of(held):
+        levels = filters.levels_of(path, bits, np.concatenate([s for _, sets in held for s in sets]))
+        none, at = np.zeros(0, np.int64), 0
+        for ids, sets in held:
             a, b, mean, heads, places, kept = [], [], [], [], [], []
             for s in sets:
                 n = len(s)
@@ -87,7 +142,8 @@ def jaccard_components(
                 ends = np.array([0]), np.array([n])
                 for base, out in ((1, a), (2, b)):
                     out.append(int(spans(prefix(s, _BASES[base]), *ends, _BASES[base]).view(np.int64)[0]))
-                often = filters.levels(seen, s, bits)
+                often = levels[at : at + n]
+                at += n
                 head = np.lexsort((s, often))[: n - (percent * n + 99) // 100 + 1]
                 place = np.flatnonzero(often[head] > 1)
                 head = s[head[place]]
@@ -97,7 +153,7 @@ def jaccard_components(
                 kept.append(s.view(np.int64) if len(head) else none)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mean, pa.float64()),
+                    ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mean, pa.float64()),
                     *(ragged(np.concatenate(some), [len(x) for x in some], pa.int64()) for some in (heads, places, kept)),
                 ],
                 names=["_id", "_n", "_a", "_b", "_mean", "_head", "_place", "_set"],
@@ -146,14 +202,28 @@ def jaccard_components(
     # What is still apart, document by document inside the windows of the region's pivot.
     left = divided(tested).join(tested.select("x", "p", "d"), ["x", "p"], "left")
     left = written(left.select("h", "x", "n", "i", "part", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d")).alias("d")), "apart")
-    other = left.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("part_y"), F.col("d").alias("d_y"))
+    held = left.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    held = written(held.withColumn("nb", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("w") / BLOCK_HASHES)).cast("int")), "held")
+    few = left.join(held.where(F.col("k") <= FEW).select("h"), "h")
+    other = few.select("h", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("part").alias("part_y"), F.col("d").alias("d_y"))
     window = F.coalesce(F.abs(F.col("d") - F.col("d_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    pairs = left.join(other, "h").where((F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & able("n", "i", "m", "j") & window)
+    pairs = few.join(other, "h").where((F.col("x") < F.col("y")) & (F.col("part") != F.col("part_y")) & able("n", "i", "m", "j") & window)
     pairs = pairs.select("x", F.col("y").alias("p")).distinct()
     for done in (tested.select("x", "p"), tested.select(F.col("p").alias("x"), F.col("x").alias("p"))):
         pairs = pairs.join(done, ["x", "p"], "left_anti")
     links = tested.where("link").select("x", "p").union(_verified(pairs, sets, percent).where("link").select("x", "p"))
 
+    # Regions of many: blocks of their documents meet with their sets, and only links come out, no more than join components.
+    many = left.join(held.where(F.col("k") > FEW).select("h", "nb"), "h").withColumn("b", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int"))
+    many = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    many = many.select("h", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "x", "n", "i", "part", "d")
+    many = many.join(sets.select(F.col("_row").alias("x"), "_head", "_set"), "x")
+
+    def meet(block: pa.Table) -> pa.Table:
+        return linked(block, percent)
+
+    links = links.union(many.groupBy("h", "lo", "hi").applyInArrow(meet, "x long, p long"))
+
     parts = components(links, "x", "p").select(F.col("node").alias("_row"), "component")
     told = classes.join(parts, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
     names = told.groupBy("component").agg(F.min("_least").alias("component_id"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from factloom.llm import ngram_join
 from factloom.llm.components import components
 from factloom.llm.ngram_join import jaccard_components
 from tests.llm import brute, texts
@@ -40,6 +41,23 @@ def test_chains_of_near_copies(spark):
     assert run(spark, rows) == want
 
 
+def test_regions_of_many_are_joined_in_blocks(spark, monkeypatch):
+    """A family just below the threshold, with links here and there: no link is lost, and only links come out."""
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng = random.Random(11)
+    rows = []
+    for i in range(70):
+        v = [f"b{k}" for k in range(120)]
+        for k in rng.sample(range(120), 1 if i % 7 == 0 else 3):
+            v[k] = f"e{rng.randrange(25)}"
+        rows.append((i, " ".join(v)))
+    rows += texts.corpus(60, seed=9)
+    want = expected(rows)
+    assert 5 < len({c for i, _, c in want if i is not None and i < 70}) < 70
+    assert run(spark, rows) == want
+
+
 def test_threshold_is_exact(spark):
     base = [f"t{k}" for k in range(13)]  # 9 shingles
     rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(base[:-2])), (4, " ".join(base[1:-2]))]
