@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from factloom.functions.running import totals_before
 from factloom.llm.common import configure, text_bytes, written
 from factloom.llm.kernels import _BLANK
 
@@ -72,8 +73,9 @@ def mix(
 
     The mix takes each row ``copies`` times (0 and ``most`` at most); a source's taken words miss its target
     by half of its largest document at most.  Null or empty text: size 0.  Null is a source of its
-    own.  Draws hang on the id, so rows that repeat with id and size are taken together; a null id draws
-    too.  Columns of these names are replaced, others pass.  Runs agree.
+    own.  Draws hang on the id, a null id draws as the word ``null``; rows that agree in id and size stand side by side in
+    the order, and where the target ends among them as many as fit are taken, by a hash of the text.  Columns of
+    these names are replaced, others pass.  Runs agree.
     """
     configure(docs.sparkSession)
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
@@ -108,10 +110,18 @@ def mix(
     state = cut(joined(ranked, first).where("b1 = c1").drop("c1"), "b2", state.select("source", "need", "b1", "base"))
     at = joined(ranked, state.select("source", "need", "base", F.col("b1").alias("c1"), F.col("b2").alias("c2"))).where("b1 = c1 AND b2 = c2")
     key = F.struct("q", "id", "size")
+    # Rows that agree in rank and size are one group with a count; the need may end inside it.
+    groups = at.groupBy("source", "need", "base", "q", "id", "size").agg(F.count("*").alias("m"))
     order = W.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first(), "size")
-    fits = at.withColumn("run", F.col("base") + F.sum("size").over(order)).where("run <= need")
-    last = fits.groupBy("source").agg(F.max(key).alias("last"), F.max("run").alias("reached"))
-    state = written(joined(state.withColumnsRenamed({"b1": "c1", "b2": "c2"}), last, "left"), "cut")
+    groups = groups.withColumn("run", F.col("base") + F.sum(F.col("size") * F.col("m")).over(order))
+    last = groups.where("run <= need").groupBy("source").agg(F.max(key).alias("last"), F.max("run").alias("reached"))
+    begun = F.col("run") - F.col("size") * F.col("m")
+    fitting = F.floor((F.col("need") - begun) / F.col("size"))
+    partial = groups.where((begun <= F.col("need")) & (F.col("need") < F.col("run"))).select(
+        "source", key.alias("partial"), fitting.alias("fitting"), (begun + fitting * F.col("size")).alias("reached_in")
+    )
+    state = joined(joined(state.withColumnsRenamed({"b1": "c1", "b2": "c2"}), last, "left"), partial, "left")
+    state = written(state.withColumn("reached", F.coalesce("reached_in", "reached", "base", F.lit(0))).drop("reached_in"), "cut")
 
     chosen = F.coalesce(
         F.col("q").isNotNull() & (
@@ -122,16 +132,33 @@ def mix(
     )
     told = joined(ranked, state).withColumn("chosen", chosen)
     # One more document, the one whose size closes the gap best, if that is nearer to the target.
-    gap = F.col("need") - F.coalesce("reached", "base", F.lit(0))
+    gap = F.col("need") - F.col("reached")
     miss = F.abs(F.col("size") - gap)
     closing = told.where(~F.col("chosen") & F.col("q").isNotNull() & F.col("c1").isNotNull() & (miss < gap))
     closing = closing.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "id", "size")).alias("m"))
-    closing = closing.select("source", F.struct("m.q", "m.id", "m.size").alias("extra"))
-    final = written(joined(joined(plan, state, "left"), closing, "left"), "plan")
+    closing = closing.select("source", F.struct("m.q", "m.id", "m.size").alias("key"), F.lit(1).cast("long").alias("take"))
+    # Groups of which some rows are taken: at most two a source.
+    some = state.where("fitting > 0").select("source", F.col("partial").alias("key"), F.col("fitting").alias("take")).union(closing)
+    some = written(some.groupBy("source", "key").agg(F.sum("take").alias("take")).withColumnRenamed("source", "_source"), "some")
+    copies = ranked.where("q IS NOT NULL").join(F.broadcast(some), F.col("source").eqNullSafe(F.col("_source")) & key.eqNullSafe(F.col("key")))
+    copies = copies.groupBy("source", "key", "take").agg(F.count("*").alias("m"))
+    some = written(copies.groupBy("source").agg(F.collect_list(F.struct("key", "take", "m")).alias("some")), "some")
+    final = written(joined(joined(plan, state, "left"), some, "left"), "plan")
 
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    whole = joined(whole.withColumns(drawn).drop("text"), final).withColumns(ranks)
-    taken = F.col("sure") + F.when(chosen | F.coalesce(key == F.col("extra"), F.lit(False)), 1).otherwise(0)
+    whole = joined(whole.withColumns({**drawn, "h": F.xxhash64("text")}).drop("text"), final).withColumns(ranks)
+    mine = F.get(F.filter("some", lambda s: s["key"].eqNullSafe(key)), F.lit(0))
+    whole = whole.withColumns({"chosen": chosen, "mine": mine}).drop("some", "last", "partial").withColumnRenamed("total", "source_size")
+    inside = F.coalesce(F.col("mine.take") < F.col("mine.m"), F.lit(False))
+    more = F.col("chosen") | (F.col("mine").isNotNull() & ~inside)
+    whole = whole.withColumn("extra", F.when(more, 1).otherwise(0))
+    if not final.where(F.exists("some", lambda s: s["take"] < s["m"])).isEmpty():
+        # Rows of a group that is taken in part are numbered, however many they are.
+        group = {"group": F.struct("source", "q", "id", "size"), "one": F.lit(1)}
+        numbered = totals_before(whole.where(inside).withColumns(group), "group", [F.asc("h")], "one")
+        numbered = numbered.withColumn("extra", F.when(F.col("before") < F.col("mine.take"), 1).otherwise(0))
+        whole = whole.where(~inside).unionByName(numbered.select(*whole.columns))
+    taken = F.col("sure") + F.col("extra")
     return whole.withColumn("copies", taken.cast("int")).select(
-        "doc.*", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -69,6 +69,23 @@ def test_odd_rows(spark):
     check(spark, [(1, None, None)], 0)
 
 
+def test_rows_that_repeat_are_counted(spark):
+    """Many rows without id, many copies of one id: as many are taken as fit."""
+    for rows in (
+        [(None, "a b c", "s")] * 1000,
+        [(5, "a b c", "s")] * 300 + [(100 + k, "d e f", "s") for k in range(700)],
+        [(5, "a b c", "s")] * 300 + [(5, "a b c d e", "s")] * 300 + [(9, "w " * 40, "t")] * 50 + [(None, None, "t")] * 20,
+    ):
+        df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).repartition(5)
+        got = mix(df).collect()
+        assert len(got) == len(rows)
+        for source in {r[2] for r in rows}:
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2
+            assert all(0 <= r.copies <= 2 and r.taken == r.copies * r.size for r in mine)
+        assert sorted(map(str, mix(df.repartition(3)).collect())) == sorted(map(str, got))
+
+
 def test_empty_table(spark):
     out = mix(spark.createDataFrame([], SCHEMA))
     assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"] and out.collect() == []
