@@ -2,8 +2,11 @@
 
 On a bounded sample the neighbour graph is built and cut into balanced parts; a small classifier learns
 the part of a vector.  It then puts every row of the table into a part and routes each query to its most
-probable parts, whose rows are compared exactly.  How many parts a query visits is set on the sample, so
-that the wanted share of the true neighbours is found there.
+probable parts, whose rows are compared exactly.  How many parts a query visits is set on rows of the sample that
+were held out of the fit, so that the wanted share of their true neighbours is found.
+
+A query visits its first parts, which settles most of its answer; the later ones only tell what beats the last
+of it.  So what is compared is many times what is handed on, which grows with the queries and not with the parts.
 """
 
 from __future__ import annotations
@@ -32,6 +35,14 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def neighbours_of(x: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` rows of largest inner product of the rows ``asked``, without themselves."""
+    k = min(k, len(x) - 1)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    return np.argpartition(-near, k - 1, axis=1)[:, :k]
+
+
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 8, slack: float = 1.1) -> np.ndarray:
     """Part of each row: most edges inside parts, no part above ``slack`` times the mean size."""
     rng = np.random.Generator(np.random.PCG64(3))
@@ -102,18 +113,19 @@ def probabilities(model: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return softmax(np.maximum(x @ model[0] + model[1], 0) @ model[2] + model[3])
 
 
-def visits(model: list[np.ndarray], x: np.ndarray, graph: np.ndarray, recall: float) -> int:
-    """Fewest parts a query has to visit to find ``recall`` of the graph's neighbours, on average."""
-    p = probabilities(model, x)
+def visits(model: list[np.ndarray], x: np.ndarray, asked: np.ndarray, near: np.ndarray, recall: float) -> int:
+    """Fewest parts a query has to visit to find ``recall`` of its neighbours ``near`` (rows of x), on average."""
+    part = probabilities(model, x).argmax(1)
+    p = probabilities(model, asked)
     place = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1)
-    at = place[np.arange(len(x))[:, None], p.argmax(1)[graph]]
+    at = place[np.arange(len(asked))[:, None], part[near]]
     found = np.cumsum(np.bincount(at.ravel(), minlength=p.shape[1])) / at.size
-    return int(np.searchsorted(found, recall)) + 1
+    return min(int(np.searchsorted(found, recall)) + 1, p.shape[1])
 
 
 def nearest(
     rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20,
-    sample: int = 16_384, part_rows: int = 1024, most_parts: int = 256, recall: float = 0.97,
+    sample: int = 16_384, part_rows: int = 1024, most_parts: int = 256, recall: float = 0.94, first_parts: int = 4,
 ) -> DataFrame:
     """(query_id, rank from 1, id_col, score): the ``top`` rows of largest inner product found for each query.
 
@@ -123,9 +135,11 @@ def nearest(
     A query searches the rows whose vectors are as long as its own.  A query id that repeats is searched once,
     with its smallest vector.
 
-    Rows of a length are partitioned if there are more than ``part_rows``, and else searched whole.  A
-    partitioning is learned on ``sample`` rows (smallest hash of the id first); all rows are indexed.
-    ``recall``: share of the sample's neighbours that the visited parts have to hold.
+    A partitioning is learned for each length on ``sample`` rows (smallest hash of the id first), one row in eight
+    held out; all rows are indexed.  Parts have about ``part_rows`` rows; a smaller table has eight, or so many that
+    they have 64 (below 128 rows there is one, which is the whole), a larger one than the sample can cut has
+    ``most_parts``.  ``recall``: share of the held-out rows' neighbours that the visited parts have to hold;
+    ``first_parts``: how many a query visits before only better rows are handed on.
     """
     spark = rows.sparkSession
     configure(spark)
@@ -139,15 +153,17 @@ def nearest(
 
     def learned(size: int, n: int) -> tuple[list[np.ndarray], int, int]:
         """Classifier, number of parts and parts to visit, for the rows of one length."""
-        parts = int(np.clip(-(-n // part_rows), 1, most_parts))
+        parts = int(np.clip(max(-(-n // part_rows), min(8, n // 64)), 1, most_parts))
 
         def learn(batches):
             x = matrix(pa.Table.from_batches(list(batches)).column("v"), size)
-            k = max(1, min(parts, len(x) // 8))
-            graph = neighbour_graph(x, top) if len(x) > 1 else np.zeros((1, 0), np.int64)
-            part = balanced_parts(x, graph[:, :10], k)
-            model = fit_classifier(x, part, k)
-            depth = visits(model, x, graph, recall) if graph.size else 1
+            kept = len(x) - len(x) // 8 if len(x) >= 512 else len(x)
+            k = max(1, min(parts, kept // 8))
+            graph = neighbour_graph(x[:kept], min(top, 10)) if kept > 1 else np.zeros((1, 0), np.int64)
+            model = fit_classifier(x[:kept], balanced_parts(x[:kept], graph, k), k)
+            asked = np.arange(kept, len(x)) if kept < len(x) else np.arange(len(x))
+            near = neighbours_of(x, asked, top) if len(x) > 1 else np.zeros((1, 0), np.int64)
+            depth = visits(model, x, x[asked], near, recall) if near.size else 1
             yield pa.RecordBatch.from_arrays([pa.array([[w.tobytes() for w in model]], pa.list_(pa.binary())), pa.array([k]), pa.array([depth])], names=["w", "k", "depth"])
 
         chosen = rows.where(F.col("d") == size).orderBy(F.xxhash64("id"), "id").limit(sample).select("v")
@@ -155,7 +171,7 @@ def nearest(
         k = fitted.k
         return [np.frombuffer(w).reshape(s) for w, s in zip(fitted.w, ((size, -1), (-1,), (-1, k), (k,)))], k, fitted.depth
 
-    models = {size: learned(size, n) for size, n in sorted(lengths.items()) if n > part_rows}
+    models = {size: learned(size, n) for size, n in sorted(lengths.items()) if n >= 128}
 
     def by_length(batch):
         """(length, places, matrix) of the vectors in a batch that have a model."""
@@ -181,27 +197,19 @@ def nearest(
 
     def route(batches):
         for batch in batches:
-            parts = [np.zeros(1, np.int32)] * batch.num_rows
+            parts, later = [np.zeros(1, np.int32)] * batch.num_rows, [np.zeros(0, np.int32)] * batch.num_rows
             for size, at, x in by_length(batch):
                 model, k, depth = models[size]
-                order = np.argsort(-probabilities(model, x), axis=1, kind="stable")
+                order = np.argsort(-probabilities(model, x), axis=1, kind="stable").astype(np.int32)
                 enough = (np.cumsum(held[size][order], axis=1) < top + 1).sum(1) + 1
                 use = np.minimum(np.maximum(enough, depth), k)
-                for i, o, u in zip(at.tolist(), order, use):
-                    parts[i] = o[:u].astype(np.int32)
-            yield with_columns(batch, {"parts": pa.array(parts, pa.list_(pa.int32()))})
-
-    routed = asked.mapInArrow(route, f"id long, v {kind}, d int, parts array<int>").select("id", "v", "d", F.explode("parts").alias("part"))
-    routed = written(routed, "routed")
-    # Parts of any size: rows and queries of a part meet in blocks.
-    many = placed.groupBy("d", "part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nr")).join(
-        routed.groupBy("d", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), ["d", "part"]
-    )
-    many = F.broadcast(many)
-    numbered = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    left = placed.join(many, ["d", "part"]).select("d", "part", block("nr").alias("rb"), numbered("nq").alias("qb"), "id", "v")
-    right = routed.join(many, ["d", "part"]).select("d", "part", block("nq").alias("qb"), numbered("nr").alias("rb"), "id", "v")
+                begin = np.minimum(np.maximum(enough, first_parts), use)
+                for i, o, f, u in zip(at.tolist(), order, begin, use):
+                    parts[i], later[i] = o[:f], o[f:u]
+            kind = pa.list_(pa.int32())
+            yield with_columns(batch, {"parts": pa.array(parts, kind), "later": pa.array(later, kind)})
+
+    routed = written(asked.mapInArrow(route, f"id long, v {kind}, d int, parts array<int>, later array<int>"), "routed")
 
     def compare(rows_of: pa.Table, queries_of: pa.Table) -> pa.Table:
         ids, asks = rows_of.column("id").to_numpy(), queries_of.column("id").to_numpy()
@@ -212,21 +220,40 @@ def nearest(
             by_id = np.argsort(ids, kind="stable")
             ids, x = ids[by_id], x[by_id]
             scores = q @ x.T
+            beats = queries_of.column("t").to_numpy()
             room = 1e-12 * np.sqrt((q**2).sum(1) * max((x**2).sum(1).max(), 1e-300))
             for i, ask in enumerate(asks):
                 mine = scores[i]
                 mine[ids == ask] = -np.inf
-                least = np.partition(mine, -top)[-top] if len(mine) > top else -np.inf
-                near = np.flatnonzero((mine >= least - room[i]) & (mine > -np.inf))
+                near = np.flatnonzero((mine >= beats[i] - room[i]) & (mine > -np.inf))
+                if len(near) > top:
+                    least = np.partition(mine[near], -top)[-top]
+                    near = near[mine[near] >= least - room[i]]
                 exact = (x[near] * q[i]).sum(1)  # the same sum for the same vectors, in any block
                 best = np.lexsort((ids[near], -exact))[:top]
                 found.append((np.full(len(best), ask), ids[near][best], exact[best]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
+    numbered = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     keys = ["d", "part", "rb", "qb"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, id long, score double")
-    return best_of(pairs, top).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    def compared(visiting: DataFrame) -> DataFrame:
+        """(query_id, id, score) of the rows of the visited parts.  Parts of any size: rows and queries of a part meet in blocks."""
+        blocks = lambda df, most, name: df.groupBy("d", "part").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+        many = F.broadcast(blocks(placed, ROWS, "nr").join(blocks(visiting, QUERIES, "nq"), ["d", "part"]))
+        left = placed.join(many, ["d", "part"]).select("d", "part", block("nr").alias("rb"), numbered("nq").alias("qb"), "id", "v")
+        right = visiting.join(many, ["d", "part"]).select("d", "part", block("nq").alias("qb"), numbered("nr").alias("rb"), "id", "v", "t")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, id long, score double")
+
+    at_first = routed.select("id", "v", "d", F.explode("parts").alias("part"), F.lit(float("-inf")).alias("t"))
+    found = written(best_of(compared(at_first), top), "found")
+    # A query whose answer is not full yet takes whatever comes.
+    last = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("t"))
+    then = routed.select("id", "v", "d", F.explode("later").alias("part")).join(last, "id", "left").fillna(float("-inf"), ["t"])
+    both = found.drop("rank").unionByName(compared(then))
+    return best_of(both, top).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def best_of(pairs: DataFrame, top: int) -> DataFrame:

@@ -68,3 +68,26 @@ def test_odd_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 5.0), (0, 2, 2, -1.0)]
     assert nearest(df.limit(0), df).collect() == []
+
+
+@pytest.mark.parametrize("n,clusters", [(50_000, 1), (20_000, 300), (500, 1)])
+def test_recall_with_the_parameters_in_use(spark, folder, n, clusters):
+    """Tables beyond the sample, and a small one: the routing is measured on rows it was not fitted on."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    x = (rng.normal(0, 1, (clusters, 24))[np.arange(n) % clusters] + rng.normal(0, 1, (n, 24))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{folder}/v.parquet")
+    df = spark.read.parquet(f"{folder}/v.parquet").repartition(8)
+    step = n // 100
+    found = nearest(df, df.where(f"vec_id % {step} = 0")).collect()
+    asked = np.arange(0, n, step)
+    near = x[asked].astype(float) @ x.T.astype(float)
+    near[np.arange(len(asked)), asked] = -np.inf
+    want = {int(i): set(np.argsort(-row, kind="stable")[:20].tolist()) for i, row in zip(asked, near)}
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and all(len(g) == 20 for g in got.values())
+    assert np.mean([len(got[i] & want[i]) / 20 for i in want]) >= 0.9
