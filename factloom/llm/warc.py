@@ -34,10 +34,16 @@ def with_first_copies(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return out.withColumn("_first", F.when(~F.col("id").eqNullSafe(F.col("_first")), F.col("_first")))
 
 
+def page_urn(page_id, digest: str) -> str:
+    """Name of the response with this id and payload, by which revisits find it."""
+    return f"urn:page:{page_id}:{digest[:16]}"
+
+
 def record(page_id, url: str | None, html: str | None, digest: str, first, name: str, date: str) -> bytes:
     payload = (html or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:record:{name}>", f"WARC-Date: {date}"]
+    own = page_urn(page_id, digest) if first is None and page_id is not None else f"urn:record:{name}"
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {date}"]
     if page_id is not None:
         lines.append(f"Page-Id: {page_id}")
     if url is not None:
@@ -46,7 +52,7 @@ def record(page_id, url: str | None, html: str | None, digest: str, first, name:
     if first is None:
         block += payload
     else:
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{first}>"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{page_urn(first, digest)}>"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -55,8 +61,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a record per row to ``folder`` (a URI that executors reach); returns (file, bytes, records).
 
     The payload is the html in UTF-8 (null: empty).  Of equal payloads of at least 100 bytes the smallest
-    id is a response and the others revisit it; shorter ones are all responses.  Every task writes one file
-    under another name and moves it in place when it is whole, so a task that runs again replaces its file.
+    id is a response and the others revisit it; shorter ones are all responses.  Ids are whole numbers; rows without
+    id are written without one, and revisit if an equal payload has an id; rows that repeat id and payload are
+    responses of one name.  Every task writes one file under another name and moves it in place when it is whole,
+    so a task that runs again replaces its file.
     """
     spark = pages.sparkSession
     configure(spark)
@@ -136,7 +144,8 @@ def read_archives(files: DataFrame, split: int = 1 << 24) -> DataFrame:
     """Records of the archives in ``files`` (file, bytes), read by ranges of ``split`` bytes.
 
     (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload): digest and size are
-    those of the full payload, which a revisit names and does not hold.
+    those of the full payload, which a revisit names and does not hold.  Every record gives a row: repeated ones as
+    often as they were written, those without id with a null page_id.
     """
     configure(files.sparkSession)
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("begin"))
@@ -152,7 +161,7 @@ def read_archives(files: DataFrame, split: int = 1 << 24) -> DataFrame:
                     for content in members(file, begin, min(begin + split, size), size):
                         headers, http, payload = parse(content)
                         kind = headers["warc-type"]
-                        first = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get("warc-refers-to", ""))
+                        first = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]+>", headers.get("warc-refers-to", ""))
                         told = re.search(rb"(?i)^content-length: *(\d+)", http, re.M)
                         rows.append({
                             "page_id": int(headers["page-id"]) if "page-id" in headers else None, "url": headers.get("warc-target-uri"), "record_type": kind,

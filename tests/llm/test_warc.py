@@ -56,3 +56,18 @@ def test_other_members_are_no_records():
 def test_empty_table(spark):
     files = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), scratch(spark, "warc"))
     assert warc.read_archives(files).collect() == []
+
+
+def test_revisits_name_the_record_they_stand_for(spark, folder):
+    import glob
+
+    rows = [(i, f"http://x/{i}", "same payload " * 20) for i in (7, 3, 5)] + [(4, None, "short"), (None, "http://n", "same payload " * 20), (3, "http://x/3", "same payload " * 20)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{folder}/a")
+    names, refers = [], []
+    for path in glob.glob(f"{folder}/a/*.warc.gz"):
+        for line in gzip.open(path).read().decode().split("\r\n"):
+            if line.startswith("WARC-Record-ID: "):
+                names.append(line.split(": ", 1)[1])
+            elif line.startswith("WARC-Refers-To: "):
+                refers.append(line.split(": ", 1)[1])
+    assert len(names) == 6 and len(refers) == 3 and set(refers) <= set(names) and len(set(names)) == 5
