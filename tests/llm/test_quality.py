@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom.llm import quality_classifier as Q
@@ -53,3 +56,32 @@ def test_odd_rows(spark):
     none = Q.train(docs, labels.where(F.lit(False)))
     assert {r.score for r in Q.score(docs, none).collect()} == {0.5}
     assert Q.score(docs.limit(0), none).collect() == []
+
+
+def plain_features(text):
+    """The n-grams of a text as tuples."""
+    def shape(word):
+        kinds = [b"0" if 48 <= c < 58 else b"A" if 65 <= c < 91 else b"a" if 97 <= c < 123 or c > 127 else bytes([c]) for c in word]
+        return b"".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1])
+
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    out = {("word", x) for x in w} | {("words", x, y) for x, y in zip(w, w[1:])}
+    out |= {("shape", shape(x)) for x in w} | {("shapes", shape(x), shape(y)) for x, y in zip(w, w[1:])}
+    out |= {("share", 10 * len(set(w)) // max(1, len(w)))} | ({("again",)} if any(x == y for x, y in zip(w, w[1:])) else set())
+    return out
+
+
+def test_features_and_scores_against_plain_python(spark):
+    """Texts share as many hashed n-grams as they share n-grams, and a score is the sum of their weights."""
+    texts = ["The cat sat, the cat sat.", "the THE the the", "a1 b2 C3 d4!! a1", "é ß Ünder 12.5% 99", "one", "", None, "x " * 30, "Buy NOW!!! Buy NOW!!!"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    found, plain = Q.features(batch, "text"), [plain_features(t) for t in texts]
+    assert [len(f) for f in found] == [len(p) for p in plain]
+    for f, p in zip(found, plain):
+        assert [len(np.intersect1d(f, g)) for g in found] == [len(p & q) for q in plain]
+    weights = np.random.default_rng(4).normal(0, 1, (1 << Q.BITS) + 1).astype(np.float32)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for r in Q.score(docs, weights).collect():
+        f = found[r.doc_id].tolist()
+        margin = sum(float(weights[k]) for k in f) / len(f) ** 0.5 + float(weights[-1])
+        assert abs(r.score - 1 / (1 + np.exp(-Q.SLOPE * margin))) < 1e-9 and r.predicted == int(r.score >= 0.5)
