@@ -50,6 +50,15 @@ def rendered_pieces(pieces: DataFrame, generation_header: bool = False) -> DataF
     return pieces.select("conv_id", "piece", "last", F.size("messages").cast("long").alias("n_messages"), text.alias("rendered"))
 
 
+def rendered_whole(pieces: DataFrame, generation_header: bool = False) -> DataFrame:
+    """(conv_id, n_messages, rendered): every conversation as one text.  Its turns are dealt and rendered by piece, and only
+    the pieces' texts are put together."""
+    texts = F.array_sort(F.collect_list(F.struct("piece", "rendered")))
+    return rendered_pieces(pieces, generation_header).groupBy("conv_id").agg(
+        F.sum("n_messages").alias("n_messages"), F.array_join(F.transform(texts, lambda p: p["rendered"]), "").alias("rendered")
+    )
+
+
 def budget_pieces(
     turns: DataFrame, limit: int, counter: Callable[[Column], Column] = chat.count_words, opening: str = chat.OPEN, closing: str = chat.CLOSE
 ) -> DataFrame:

@@ -346,9 +346,9 @@ QUERIES["format_pairs"] = QUERIES.pop("format_preference_pairs")
 
 @query
 def render_chat(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as text, piece by piece."""
+    """Whole conversations as text."""
     pieces = conversations.message_pieces(table(configure(spark), sf, "conversations"))
-    return conversations.rendered_pieces(pieces).select("conv_id", "piece", "last", "rendered")
+    return conversations.rendered_whole(pieces).select("conv_id", "rendered")
 
 
 @query
