@@ -353,10 +353,10 @@ def render_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prompt_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of every conversation before its first answer, piece by piece, with one generation header."""
+    """The part of every conversation before its first answer, with a generation header."""
     turns = conversations.prompt_turns(table(configure(spark), sf, "conversations"))
-    pieces = conversations.rendered_pieces(conversations.message_pieces(turns), generation_header=True)
-    return pieces.withColumnRenamed("rendered", "prompt")
+    whole = conversations.rendered_whole(conversations.message_pieces(turns), generation_header=True)
+    return whole.withColumnRenamed("rendered", "prompt")
 
 
 @query
