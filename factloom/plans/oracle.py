@@ -500,7 +500,10 @@ q("schema_violations", RCR + f" SELECT model, rule, count(*) AS n FROM (SELECT m
 _n = lambda s: f"CASE WHEN typed_ok THEN len(json_extract(json_text, '$.{s}[*]')) END AS n_{s}"
 q("typed_projection", RC + "," + typed_ctes() + f" SELECT model, example_id, typed_ok, CASE WHEN typed_ok THEN json_extract_string(json_text, '$.event_type') END AS event_type, {', '.join(_n(s) for s in E.SECTION_FIELDS)}, CASE WHEN typed_ok THEN coalesce(list_sum(list_transform(json_extract(json_text, '$.financials[*]'), lambda x: json_extract_string(x, '$.amount')::DOUBLE)), 0.0) END AS amount_total FROM typed")
 q("extraction_response", RC + "," + typed_ctes() + f" SELECT substr(sha256(model || ':' || example_id), 1, 8) AS request_id, NULL::VARCHAR AS raw_output, valid_json, coalesce(len({violations_sql()}) = 0, FALSE) AS schema_valid, typed_ok AS has_result, CASE WHEN typed_ok THEN json_extract_string(json_text, '$.event_type') END AS event_type FROM typed")
-q("request_status", f"SELECT lang, CASE WHEN coalesce(length(text), 0) = 0 THEN 'rejected' WHEN length(text) > {E.MAX_CHARS} THEN 'too_large' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY ALL")
+q("request_status", RC + f""", st AS ({draws_sql('rec', 'example_id', 'status', ['latency', 'error', 'size'], '*')})
+SELECT model, CASE WHEN d_size % 25 = 0 THEN 'too_large' WHEN d_latency % 130000 > {E.TIMEOUT_MS} THEN 'timeout' WHEN d_error % 50 = 0 THEN 'error'
+  WHEN valid_json THEN 'ok' ELSE 'invalid_json' END AS status, count(*) AS n FROM st GROUP BY ALL""")
+q("document_request_status", f"SELECT lang, CASE WHEN coalesce(length(text), 0) = 0 THEN 'rejected' WHEN length(text) > {E.MAX_CHARS} THEN 'too_large' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY ALL")
 _odd = f"outputs AS (SELECT 'odd' AS model, example_id, replace({arr(ODD)}[example_id % {len(ODD)} + 1], '#n#', example_id::VARCHAR) AS raw_output FROM ex)"
 q("odd_recovery", EX + "," + _odd + "," + recover_ctes("outputs") + " SELECT example_id, valid_json, is_object, json_text FROM rec")
 q("odd_violations", EX + "," + _odd + "," + recover_ctes("outputs") + f" SELECT rule, count(*) AS n FROM (SELECT unnest({violations_sql()}) AS rule FROM rec) GROUP BY rule")

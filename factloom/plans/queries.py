@@ -627,6 +627,18 @@ def extraction_response(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome of every output as a request; latency and failures are drawn per request."""
+    df = recover(I.outputs(spark, sf))
+    df = with_draws(df, "example_id", SEED, "status", ["latency", "error", "size"])
+    latency = F.pmod("draw_latency", F.lit(130_000)).cast("double")
+    error = F.when(F.pmod("draw_error", F.lit(50)) == 0, "boom")
+    admission = F.when(F.pmod("draw_size", F.lit(25)) == 0, "too_large").otherwise("ok")
+    status = extraction.request_status(admission, latency, error, F.col("valid_json"), F.lit(True))
+    return df.select("model", status.alias("status")).groupBy("model", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def document_request_status(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of every document as a request, by language: admission, measured latency and errors, what was found."""
     docs = table(configure(spark), sf, "documents")
     generate = jobs.model_generator(_pattern_model(), "doc_id", "text")
