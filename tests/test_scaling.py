@@ -3,6 +3,8 @@
 
 from pyspark.sql import functions as F
 
+from factloom.functions.draws import pick, pick_from, places_of
+from factloom.operators import generate as G
 from factloom.operators import scoring
 
 
@@ -22,3 +24,14 @@ def test_truth_is_not_broadcast(spark, capsys):
     plan = plan_of(scores, capsys)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [r.n for r in scores.groupBy("entity_f1").agg(F.count("*").alias("n")).collect()] == [20]
+
+
+def test_places_give_what_the_rest_of_the_array_gives(spark, capsys):
+    pool, free = ["a", "b", "c", "d", "e"], [None, "a", "c", "e", "other"]
+    df = spark.range(9).crossJoin(spark.createDataFrame([(x, y) for x in free for y in free], "x string, y string"))
+    avoided = [F.col("x"), F.col("y")]
+    items = F.array(*[F.lit(v) for v in pool])
+    for taken in ([], avoided[:1], avoided):
+        same = pick(items, F.col("id"), taken) == pick_from(pool, F.col("id"), [places_of(pool, c) for c in taken])
+        assert df.filter(~F.coalesce(same, F.lit(False))).count() == 0
+    assert "array_except" not in plan_of(G.with_slots(spark.range(3), "id"), capsys)
