@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from factloom.functions.draws import pick, pick_from, places_of
+from factloom.functions.recovery import SPACE, recover, strip
 from factloom.operators import generate as G
 from factloom.operators import scoring
 
@@ -35,3 +36,18 @@ def test_places_give_what_the_rest_of_the_array_gives(spark, capsys):
         same = pick(items, F.col("id"), taken) == pick_from(pool, F.col("id"), [places_of(pool, c) for c in taken])
         assert df.filter(~F.coalesce(same, F.lit(False))).count() == 0
     assert "array_except" not in plan_of(G.with_slots(spark.range(3), "id"), capsys)
+
+
+def test_odd_ends_and_fences(spark, capsys):
+    ends = ["", *SPACE, " \n", "　\t", "x", "}", "é "]
+    texts = [a + b + c for a in ends for b in ("", "a b", "{}") for c in ends]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = [r.s for r in df.select("id", strip(F.col("t")).alias("s")).orderBy("id").collect()]
+    assert got == [t.strip(SPACE) for t in texts]
+    cases = {
+        '````{"a":1}```': '{"a":1}', '```json{"a":1}``` {"b":2}': '{"a":1}', 'x ```json\n{"a":1}': '{"a":1}', "``````": None,
+        '{"a":1} and {': '{"a":1}', '} {"a":1}': '{"a":1}', "}{": None, "{}": "{}", "{": None, "}": None, '[1] ': "[1]", 'a{"b":1}c': '{"b":1}',
+    }
+    df = recover(spark.createDataFrame([(t,) for t in cases], "raw_output string"))
+    assert {r.raw_output: r.json_text for r in df.collect()} == cases
+    assert "$[0]" not in plan_of(df.select("valid_json", "json_text"), capsys)
