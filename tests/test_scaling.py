@@ -1,5 +1,6 @@
 """Steps whose cost has to stay small on large tables: the join of scores, picking, recovery, elements, written pairs."""
 
+import os
 
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from factloom.functions.draws import pick, pick_from, places_of
 from factloom.functions.recovery import SPACE, recover, strip
 from factloom.operators import generate as G
 from factloom.operators import scoring
+from factloom.sources import jsonl
 
 
 def plan_of(df, capsys):
@@ -51,3 +53,12 @@ def test_odd_ends_and_fences(spark, capsys):
     df = recover(spark.createDataFrame([(t,) for t in cases], "raw_output string"))
     assert {r.raw_output: r.json_text for r in df.collect()} == cases
     assert "$[0]" not in plan_of(df.select("valid_json", "json_text"), capsys)
+
+
+def test_pairs_are_written_compressed(spark, folder):
+    df = spark.createDataFrame([("train", 1, "ä"), ("eval", 2, None)], "split string, id int, t string")
+    jsonl.save_splits(df, f"{folder}/p", ["id", "t"])
+    back = jsonl.scan_splits(spark, {s: f"{folder}/p/split={s}" for s in ("train", "eval")}, "id int, t string")
+    assert sorted(map(tuple, back.collect())) == [(1, "ä", "train"), (2, None, "eval")]
+    files = [f for _, _, names in os.walk(f"{folder}/p") for f in names if f.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
