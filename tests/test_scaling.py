@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.draws import pick, pick_from, places_of
 from factloom.functions.recovery import SPACE, recover, strip
+from factloom.functions.schema_rules import is_kind, objects
 from factloom.operators import generate as G
 from factloom.operators import scoring
 from factloom.sources import jsonl
@@ -17,8 +18,6 @@ def plan_of(df, capsys):
     return capsys.readouterr().out
 
 
-
-
 def test_truth_is_not_broadcast(spark, capsys):
     record = F.lit('{"event_type":"x","entities":[{"type":"person","name":"A"}]}')
     ids = spark.range(20).withColumnRenamed("id", "example_id")
@@ -55,6 +54,18 @@ def test_odd_ends_and_fences(spark, capsys):
     assert "$[0]" not in plan_of(df.select("valid_json", "json_text"), capsys)
 
 
+def test_elements_as_structs(spark):
+    text = '{"entities":[{"name":"A","type":null,"more":1},5,null,"x",{},[{"name":"B"}]],"dates":{"raw":"r"},"metrics":null}'
+    v = F.try_parse_json(F.lit(text))
+    df = spark.range(1).select(objects(v, "entities").alias("e"), *[objects(v, n).alias(n) for n in ("dates", "metrics", "financials")])
+    r = df.select(
+        F.transform("e", lambda e: e.isNotNull()).alias("there"), F.transform("e", lambda e: is_kind(e["name"], "string")).alias("text"),
+        F.transform("e", lambda e: is_kind(e["type"], "null")).alias("null"), "dates", "metrics", "financials",
+    ).collect()[0]
+    assert r.there == [True, False, False, False, True, False] and r.text == [True, None, None, None, None, None]
+    assert r.null == [True, None, None, None, None, None] and (r.dates, r.metrics, r.financials) == (None, None, None)
+
+
 def test_pairs_are_written_compressed(spark, folder):
     df = spark.createDataFrame([("train", 1, "ä"), ("eval", 2, None)], "split string, id int, t string")
     jsonl.save_splits(df, f"{folder}/p", ["id", "t"])
