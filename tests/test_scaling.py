@@ -9,6 +9,7 @@ from factloom.functions.recovery import SPACE, recover, strip
 from factloom.functions.schema_rules import is_kind, objects
 from factloom.operators import generate as G
 from factloom.operators import scoring
+from factloom.session import spread, written
 from factloom.sources import jsonl
 
 
@@ -73,3 +74,11 @@ def test_pairs_are_written_compressed(spark, folder):
     assert sorted(map(tuple, back.collect())) == [(1, "ä", "train"), (2, None, "eval")]
     files = [f for _, _, names in os.walk(f"{folder}/p") for f in names if f.startswith("part-")]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_more_tasks_than_cores(spark):
+    tasks = lambda df: df.groupBy(F.spark_partition_id().alias("p")).count().count()
+    ids = spread(spark.range(400_000), "id")
+    assert ids.count() == 400_000 and tasks(ids) >= 2 * spark.sparkContext.defaultParallelism
+    assert tasks(written(ids, "ids")) >= 2 * spark.sparkContext.defaultParallelism
+    assert tasks(spread(spark.range(10), "id")) <= spark.sparkContext.defaultParallelism  # the data decide
