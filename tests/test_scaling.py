@@ -82,3 +82,18 @@ def test_more_tasks_than_cores(spark):
     assert ids.count() == 400_000 and tasks(ids) >= 2 * spark.sparkContext.defaultParallelism
     assert tasks(written(ids, "ids")) >= 2 * spark.sparkContext.defaultParallelism
     assert tasks(spread(spark.range(10), "id")) <= spark.sparkContext.defaultParallelism  # the data decide
+
+
+def test_only_what_a_metric_is_made_from(spark, capsys):
+    texts = [
+        '{"event_type":"x","entities":[{"type":"person","name":"A"},"b"],"dates":[{"raw":"r","normalized":"n"}],"financials":[{"type":"t","amount":5.0}]}',
+        '{"event_type":"x","entities":[{"type":"person","name":"A"}],"dates":[{"raw":"q"}],"financials":[]}', "[1]", "null", '{"entities":{}}', "no",
+    ]
+    out = spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)], "model string, example_id long, raw_output string")
+    truth = out.select("example_id", F.lit(texts[0]).alias("record_json"))
+    whole = {r.example_id: r for r in scoring.score(out, truth).collect()}
+    for metrics in [["schema_compliance"], ["entity_f1"], *[[m] for m in scoring.METRICS if m != "entity_f1"], scoring.METRICS]:
+        some = scoring.score(out, truth, metrics=metrics)
+        assert [[whole[r.example_id][m] for m in metrics] for r in some.collect()] == [[r[m] for m in metrics] for r in some.collect()]
+    plan = plan_of(scoring.score(out, truth, metrics=["date_normalization_recall"]), capsys)
+    assert "$.dates" in plan and "$.entities" not in plan and "$.financials" not in plan and "$.metrics" not in plan
