@@ -22,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
-from factloom.llm.common import configure, give_back, pieces, ragged, with_columns
+from factloom.llm.common import configure, give_back, pieces, ragged, release, with_columns
 
 #: Words a Python worker keeps, and the longest one kept.
 KEPT = 50_000
 KEPT_CHARS = 64
+#: Bytes of text that are split into words at once: as Python strings and positions they take some thirty times as much.
+PIECE_BYTES = 1 << 20
 #: White space and the word pattern of the vocabulary: fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+"
@@ -68,6 +70,8 @@ def byte_letters() -> list[str]:
 
 class Vocabulary:
     def __init__(self, path: str):
+        self.signs = Signs(Tokenizer.from_file(path))  # the library is gone before the tables are made
+        release()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -87,7 +91,6 @@ class Vocabulary:
         order = np.argsort(key, kind="stable")
         self.keys, self.rank = key[order], order
         self.none = len(merges)
-        self.signs = Signs(Tokenizer.from_file(path))
         self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -208,13 +211,15 @@ class Vocabulary:
 
 @lru_cache(2)
 def load(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    made = Vocabulary(path)
+    release()
+    return made
 
 
 def coded(batches: Iterator[pa.RecordBatch], vocabulary: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
     """Pieces of the batches with the ids of their texts."""
     v = load(vocabulary)
-    for batch in pieces(batches, text_col, 1 << 22):
+    for batch in pieces(batches, text_col, PIECE_BYTES):
         split = [v.words_of(x) if x else [] for x in batch.column(text_col).to_pylist()]
         words = np.array([len(w) for w in split], np.int64)
         flat = pa.array([w for some in split for w in some], pa.string()).dictionary_encode()
@@ -235,6 +240,8 @@ def coded(batches: Iterator[pa.RecordBatch], vocabulary: str, text_col: str) ->
         if new and len(v.known) < KEPT:
             short = np.array([len(w) <= KEPT_CHARS for w in new])
             v.keep([w for w in new if len(w) <= KEPT_CHARS], found[np.repeat(short, lengths)], lengths[short])
+        del batch, flat, number, distinct, place, new, ids, at, size, spread, cuts
+        release()
 
 
 def strings_of(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:

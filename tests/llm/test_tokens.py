@@ -2,6 +2,7 @@ import random
 import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -104,3 +105,12 @@ def test_long_unbroken_words_and_repeated_rows(spark):
     for k, text in enumerate(long * 3):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert got[k].ids == ids and got[k].decoded == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_texts_are_split_into_words_in_small_pieces():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"some words {i} and more of them\n" * 4_000 for i in range(20)]
+    found = list(bpe.coded(iter([pa.RecordBatch.from_pydict({"text": texts})]), path, "text"))
+    assert len(found) > 1 and all(sum(map(len, b.column("text").to_pylist())) <= 1 << 20 for b, _ in found)
+    whole = [x for _, ids in found for x in ids.to_pylist()]
+    assert whole == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
