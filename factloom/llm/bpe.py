@@ -22,11 +22,15 @@ import regex
 from pyspark.sql import DataFrame, types as T
 from tokenizers import Tokenizer
 
-from factloom.llm.common import configure, give_back, pieces, ragged, release, with_columns
+from factloom.llm.common import configure, give_back, pieces, ragged, release, text_bytes, with_columns
 
-#: Words a Python worker keeps, and the longest one kept.
-KEPT = 50_000
+#: Words a Python worker keeps (as Arrow arrays, some forty bytes each), and the longest one kept.
+KEPT = 300_000
 KEPT_CHARS = 64
+#: Bytes of text whose new words are encoded together, and of such words at once: every rank that occurs costs the same
+#: few calls however many words there are, but each byte of a word takes some fifty bytes of positions.
+GROUP_BYTES = 4 << 20
+WORD_BYTES = 1 << 19
 #: Bytes of text that are split into words at once: as Python strings and positions they take some thirty times as much.
 PIECE_BYTES = 1 << 20
 #: White space and the word pattern of the vocabulary: fixed values.
@@ -81,8 +85,8 @@ class Vocabulary:
         for table in (vocab, self.special):
             for text, i in table.items():
                 self.token[i] = text
-        self.inner = np.array([vocab[c] for c in byte_letters()], np.int64)
-        self.final = np.array([vocab[c + end] for c in byte_letters()], np.int64)
+        self.inner = np.array([vocab[c] for c in byte_letters()], np.int32)
+        self.final = np.array([vocab[c + end] for c in byte_letters()], np.int32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.left = np.array([vocab[a] for a, _ in merges], np.int64)
         self.right = np.array([vocab[b] for _, b in merges], np.int64)
@@ -92,19 +96,19 @@ class Vocabulary:
         self.keys, self.rank = key[order], order
         self.none = len(merges)
         self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.keep(list(self.special), np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
+        self.keep(pa.array(list(self.special), pa.string()), np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
-    def keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def keep(self, words: pa.StringArray, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remember the ids of words for later batches."""
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.known = pa.concat_arrays([self.known, words])
         self.ids = np.concatenate([self.ids, ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``none`` where it has none."""
-        key = left * len(self.token) + right
+        key = left.astype(np.int64) * len(self.token) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], self.none)
 
@@ -115,18 +119,26 @@ class Vocabulary:
             return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.signs.words(part))]
         return self.signs.words(text)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.StringArray | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has."""
-        raw = [w.encode() for w in words]
-        lengths = np.array([len(r) for r in raw], np.int64)
-        ends = np.cumsum(lengths)
-        codes = np.frombuffer(b"".join(raw), np.uint8)
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        found, row = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], 0
+        _, at = text_bytes(words)
+        while row < len(words):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + WORD_BYTES, "right")) - 1)
+            found.append(self.encode_some(words.slice(row, end - row)))
+            row = end
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def encode_some(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        codes, ends = text_bytes(words)
+        ends, lengths = ends[1:], np.diff(ends)
         n = len(codes)
         symbol = self.inner[codes]
         symbol[ends - 1] = self.final[codes[ends - 1]]
         start = symbol.copy()
-        owner = np.repeat(np.arange(len(words)), lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - lengths] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -139,25 +151,28 @@ class Vocabulary:
                 return
             order = np.argsort(ranks, kind="stable")
             ranks, places = ranks[order], places[order]
-            cuts = np.flatnonzero(np.diff(ranks)) + 1
-            for rank, some in zip(ranks[np.append(0, cuts)].tolist(), np.split(places, cuts)):
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for i, rank in enumerate(ranks[cuts[:-1]].tolist()):
+                some = places[cuts[i] : cuts[i + 1]]
                 if rank in index:
                     index[rank].append(some)
                 else:
                     index[rank] = [some]
                     heapq.heappush(active, rank)
 
-        inside = np.flatnonzero(after >= 0)
+        inside = np.flatnonzero(after >= 0).astype(np.int32)
         add(self.rank_of(symbol[inside], symbol[inside + 1]), inside)
         again: list[np.ndarray] = []
         while active:
             rank = heapq.heappop(active)
             lists = index.pop(rank)
-            at = np.unique(np.concatenate(lists))
+            at = np.concatenate(lists)
             at = at[(symbol[at] == self.left[rank]) & (after[at] >= 0)]
             at = at[symbol[after[at]] == self.right[rank]]
             if not len(at):
                 continue
+            at.sort()
+            at = at[np.append(True, at[1:] != at[:-1])]
             if self.left[rank] == self.right[rank] and len(at) > 1:  # of a run, every other pair
                 begin = np.ones(len(at), bool)
                 begin[1:] = before[at[1:]] != at[:-1]
@@ -167,18 +182,23 @@ class Vocabulary:
             gone = after[at]
             following = after[gone]
             has = following >= 0
-            # A better pair that arises before all places are done would go first: such words are redone.
-            early = at[has][self.rank_of(np.full(has.sum(), merged), symbol[following[has]]) < rank]
+            led_to, following = at[has], following[has]
+            then = symbol[following]
             symbol[at], symbol[gone] = merged, -1
-            after[at] = following
-            before[following[has]] = at[has]
-            led = before[at] >= 0
-            leading = before[at[led]]
-            one, two = self.rank_of(symbol[leading], symbol[at[led]]), self.rank_of(symbol[at[has]], symbol[following[has]])
-            for found in (early, leading[one < rank], at[has][two < rank]):
-                if len(found):
-                    again.append(owner[found])
-            add(np.concatenate([one, two]), np.concatenate([leading, at[has]]))
+            after[at] = after[gone]
+            before[following] = led_to
+            leading = before[at]
+            leading = leading[leading >= 0]
+            # New pairs with the symbol before and behind; the last ones are those with what stood behind until now.
+            places = np.concatenate([leading, led_to, led_to])
+            right = np.concatenate([symbol[after[leading]], symbol[following], then])
+            ranks = self.rank_of(np.append(symbol[places[: -len(led_to) or None]], np.full(len(led_to), merged, np.int32)), right)
+            # A better pair that arises before all places are done would go first: such words are redone.
+            better = ranks < rank
+            if better.any():
+                again.append(owner[places[better]])
+            real = len(ranks) - len(led_to)
+            add(ranks[:real], places[:real])
         ids, count = symbol[symbol >= 0], np.bincount(owner[symbol >= 0], minlength=len(words))
         if again:
             parts = np.split(ids, np.cumsum(count)[:-1])
@@ -219,31 +239,41 @@ def load(path: str) -> Vocabulary:
 def coded(batches: Iterator[pa.RecordBatch], vocabulary: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
     """Pieces of the batches with the ids of their texts."""
     v = load(vocabulary)
-    for batch in pieces(batches, text_col, PIECE_BYTES):
-        split = [v.words_of(x) if x else [] for x in batch.column(text_col).to_pylist()]
-        words = np.array([len(w) for w in split], np.int64)
-        flat = pa.array([w for some in split for w in some], pa.string()).dictionary_encode()
-        del split
-        number, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-        place = np.array([v.known.get(w, -1) for w in distinct], np.int64)
-        new = [distinct[i] for i in np.flatnonzero(place < 0)]
+    for group in pieces(batches, text_col, GROUP_BYTES):
+        parts = list(pieces(iter([group]), text_col, PIECE_BYTES))
+        split = [numbered(v, part.column(text_col)) for part in parts]
+        flat = pa.chunked_array([words for words, _ in split]).unify_dictionaries()
+        distinct = flat.chunk(0).dictionary
+        place = pc.fill_null(pc.index_in(distinct, v.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = distinct.filter(pa.array(place < 0))
         ids, at = v.ids, v.at
-        if new:
+        if len(new):
             found, lengths = v.encode(new)
             place[place < 0] = len(v.known) + np.arange(len(new))
             ids, at = np.concatenate([ids, found]), np.concatenate([at, at[-1] + np.cumsum(lengths)])
-        number = place[number] if len(place) else np.zeros(0, np.int64)
-        size = np.diff(at)[number]
-        spread = np.repeat(at[number] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(words))]
-        yield batch, ragged(ids[spread], np.diff(cuts), pa.int32())
-        if new and len(v.known) < KEPT:
-            short = np.array([len(w) <= KEPT_CHARS for w in new])
-            v.keep([w for w in new if len(w) <= KEPT_CHARS], found[np.repeat(short, lengths)], lengths[short])
-        del batch, flat, number, distinct, place, new, ids, at, size, spread, cuts
+            if len(v.known) < KEPT:
+                short = pc.less_equal(pc.utf8_length(new), KEPT_CHARS).to_numpy(zero_copy_only=False)
+                v.keep(new.filter(pa.array(short)), found[np.repeat(short, lengths)], lengths[short])
+            del found, lengths
+        del distinct, new
+        for part, words, (_, count) in zip(parts, flat.chunks, split):
+            number = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            size = np.diff(at)[number]
+            spread = np.repeat(at[number] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            cuts = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))]
+            yield part, ragged(ids[spread], np.diff(cuts), pa.int32())
+            del number, size, spread, cuts
+        del group, parts, part, split, flat, words, place, ids, at
         release()
 
 
+def numbered(v: Vocabulary, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' words, one after the other, as numbers of distinct words, and how many each text has."""
+    split = [v.words_of(x) if x else [] for x in texts.to_pylist()]
+    count = np.array([len(w) for w in split], np.int64)
+    return pa.array([w for some in split for w in some], pa.string()).dictionary_encode(), count
+
+
 def strings_of(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
     """The tokens of each list, joined by one blank; '' for a null list."""
     texts = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values)), " ")
