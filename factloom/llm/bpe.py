@@ -25,12 +25,12 @@ from tokenizers import Tokenizer
 from factloom.llm.common import configure, give_back, pieces, ragged, release, text_bytes, with_columns
 
 #: Words a Python worker keeps (as Arrow arrays, some forty bytes each), and the longest one kept.
-KEPT = 300_000
+KEPT = 200_000
 KEPT_CHARS = 64
 #: Bytes of text whose new words are encoded together, and of such words at once: every rank that occurs costs the same
 #: few calls however many words there are, but each byte of a word takes some fifty bytes of positions.
-GROUP_BYTES = 4 << 20
-WORD_BYTES = 1 << 19
+GROUP_BYTES = 2 << 20
+WORD_BYTES = 1 << 18
 #: Bytes of text that are split into words at once: as Python strings and positions they take some thirty times as much.
 PIECE_BYTES = 1 << 20
 #: White space and the word pattern of the vocabulary: fixed values.
