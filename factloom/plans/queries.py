@@ -712,7 +712,7 @@ def top_hallucinations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def missed_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.missed_names(I.scores(spark, sf)).groupBy("model", "name").agg(F.count("*").alias("n"))
+    return scoring.missed_names(I.scores(spark, sf, ["entity_recall"])).groupBy("model", "name").agg(F.count("*").alias("n"))
 
 
 @query

@@ -1,7 +1,9 @@
 """The Arrow pass over recovered texts: one a side, and the same parts as the column expressions over VARIANT."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.record_parts import MOST_LEVELS, with_parts
@@ -9,7 +11,9 @@ from factloom.functions.recovery import recover, with_candidate
 from factloom.functions.schema_rules import violations
 from factloom.operators import scoring
 from factloom.plans.pseudo_models import ODD
+from factloom.plans.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 NUMBERS = ["5", "5.0", "5.50", "-0", "1e3", "1E-4", "0.0001", "9223372036854775808", "1" * 1000, "1" * 1001, "01", "+1", ".5", "1.", "NaN", "-Infinity"]
 VALUES = [*NUMBERS, '"5"', '"organization"', "true", "null", "{}", "[1]", '"\\ud83d\\ude00"', '"\tx"', '"\\x"', "'a'", '" "']
 
@@ -67,3 +71,11 @@ def test_one_pass_a_side(spark, capsys):
     errors().explain()
     plan = capsys.readouterr().out
     assert plan.count("ArrowEvalPython [") == 2 and "variant" not in plan and "get_json_object" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["missed_entities", "top_hallucinations", "sample_report", "error_samples"])
+def test_queries_about_names_read_names_alone(spark, capsys, name):
+    QUERIES[name](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "$.entities" in plan and not [s for s in ("$.dates", "$.financials", "$.metrics") if s in plan]
