@@ -706,7 +706,7 @@ for _name, _metrics in METRIC_QUERIES.items():
 
 @query
 def top_hallucinations(spark: SparkSession, sf: str) -> DataFrame:
-    names = scoring.hallucinated_names(I.scores(spark, sf))
+    names = scoring.hallucinated_names(I.scores(spark, sf, ["hallucination_count"]))
     return names.groupBy("model", "name").agg(F.count("*").alias("n"))
 
 
