@@ -10,6 +10,7 @@ from factloom.functions.record_parts import MOST_LEVELS, with_parts
 from factloom.functions.recovery import recover, with_candidate
 from factloom.functions.schema_rules import violations
 from factloom.operators import scoring
+from factloom.operators.extraction import respond, typed_projection
 from factloom.plans.pseudo_models import ODD
 from factloom.plans.queries import QUERIES
 
@@ -54,7 +55,7 @@ def test_odd_letters(spark):
     """Lower case is the engine's; half a surrogate pair and bytes that are no UTF-8 do not stop the job."""
     names = ["ÉCOLE", "École", "İx", "ΑΣ", "Bo", "BO"]
     texts = [json.dumps({"entities": [{"name": n} for n in names]}), '{"entities":["\\ud800x"],"\\udc00":1}']
-    got = {r.id: r for r in _parts(spark, list(enumerate(texts)), ["names"]).collect()}
+    got = {r.id: r for r in _parts(spark, list(enumerate(texts)), ["keys", "names"]).collect()}
     lower = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").select(F.lower("n").alias("n")).collect()]
     assert sorted(got[0].names) == sorted(set(lower)) and got[1].names == ["?x"] and sorted(got[1].keys) == ["?", "entities"]
     df = spark.range(1).select(F.concat(F.lit('{"a":"'), F.unhex(F.lit("FF")).cast("string"), F.lit('"}')).alias("raw_output"))
@@ -79,3 +80,24 @@ def test_queries_about_names_read_names_alone(spark, capsys, name):
     QUERIES[name](spark, SF).explain()
     plan = capsys.readouterr().out
     assert "$.entities" in plan and not [s for s in ("$.dates", "$.financials", "$.metrics") if s in plan]
+
+
+def test_typed_in_one_pass(spark, capsys):
+    """Numbers keep all their digits; a text has to be one number; the record is typed without a VARIANT."""
+    metric = lambda v: f'{{"event_type":"e","metrics":[{{"name":"n","value":{v}}}]}}'
+    amount = lambda v: f'{{"event_type":"e","financials":[{{"type":"t","amount":{v}}}]}}'
+    values = {"5.0": "5", "0.1000": "0.1", "100": "100", "-0": "0", "123456789012345678901234567890.5": "123456789012345678901234567890.5", "1e3": "1000.0", "true": "1.0", '"x"': "x", "[1]": None, "null": None}
+    amounts = {"5": 5.0, '" 5 "': 5.0, '"5\\n"': 5.0, '"+.5"': 0.5, '"1e400"': float("inf"), "true": 1.0, '"1_0"': None, '"NaN"': None, '"5 5"': None, '"٥"': None, "{}": None}
+    texts = [*map(metric, values), *map(amount, amounts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, raw_output string")
+    typed = typed_projection(with_candidate(df))
+    rows = {r.id: r for r in typed.collect()}
+    got = [rows[i].result for i in range(len(texts))]
+    assert [r and r.metrics[0].value for r in got[: len(values)]] == list(values.values())
+    assert [r and r.financials[0].amount for r in got[len(values) :]] == list(amounts.values())
+    assert {r.id: (r.typed_ok, r.result) for r in typed_projection(recover(df)).collect()} == {i: (r.typed_ok, r.result) for i, r in rows.items()}
+    capsys.readouterr()
+    typed_projection(with_candidate(df)).explain()
+    respond(df.withColumnRenamed("id", "request_id")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython [") == 2 and "variant" not in plan
